@@ -28,8 +28,8 @@ def p4_zone_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_zone_estimates": p4_zone_estimates}
 
-#: p3 compares by DuckDB over the ASCII amounts of the tables; the pattern rules are those of functions.money.
-_P3_AMOUNT = r"""
+#: Value of an amount text b, for oracle SQL over ASCII amounts; the pattern rules are those of functions.money.
+AMOUNT_SQL = r"""
 CASE WHEN regexp_full_match(b, '[+-]?\d+(\.\d{1,2})?') THEN CAST(b AS DECIMAL(38,2))
      WHEN regexp_full_match(b, '[+-]?\d{1,3}(,\d{3})+\.\d{1,2}|[+-]?\d{1,3}(,\d{3}){2,}|[+-]?\d+,\d{3}') THEN CAST(replace(b, ',', '') AS DECIMAL(38,2))
      WHEN regexp_full_match(b, '[+-]?\d+,\d{1,2}') THEN CAST(replace(b, ',', '.') AS DECIMAL(38,2)) END
@@ -42,7 +42,7 @@ SELECT DISTINCT sample_id, page_index, row_index, k,
        CASE WHEN k NOT IN ('transaction_amount', 'balance') THEN v
             WHEN amount IS NULL THEN '?' || v
             ELSE '=' || CAST(CASE WHEN wrapped THEN -amount ELSE amount END AS VARCHAR) END AS v
-FROM (SELECT *, {_P3_AMOUNT} AS amount
+FROM (SELECT *, {AMOUNT_SQL} AS amount
       FROM (SELECT *, regexp_replace(CASE WHEN wrapped THEN substr(a, 2, length(a) - 2) ELSE a END, '^¥?(CNY)?', '') AS b
             FROM (SELECT *, starts_with(a, '(') AND ends_with(a, ')') AS wrapped
                   FROM (SELECT sample_id, t.page_index AS page_index, t.row_index AS row_index, e.key AS k, e.value AS v,
