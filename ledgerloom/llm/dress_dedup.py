@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import parse_amount_text
 from ledgerloom.functions.text import casefold, nfkc
+from ledgerloom.operators.skew import salted_lookup
 
 MONEY_FIELDS = ("transaction_amount", "balance")
 #: Unicode punctuation and separators, white space, and the ASCII signs that Unicode files as symbols.
 DROPPED = r"[\p{P}\p{Z}\s$+<=>^`|~]"
-#: From so many copies on a set is spread over salts; at most rows / HOT_COPIES sets are, which bounds the broadcast.
-HOT_COPIES = 100_000
-SALTS = 64
 
 
 def plain_text(text: Column) -> Column:
@@ -56,14 +54,9 @@ def collapse(records: DataFrame, key: str = "candidate_id", fields: str = "field
 def copy_pairs(records: DataFrame, key: str = "candidate_id", fields: str = "fields") -> DataFrame:
     """(key_a, key_b): the smallest key of each set of copies beside each other key of the set.
 
-    Sets of HOT_COPIES and more are spread over SALTS partitions, so a set of a third of all rows meets no
+    Very large sets are spread over salts, so a set of a third of all rows meets no
     single task; membership of the others is a plain equi-join of 24-byte keys.
     """
     rows = record_keys(records, key, fields)
     sets = rows.groupBy("h", "c").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = sets.where(F.col("n") >= HOT_COPIES).select("h", "c", F.lit(True).alias("hot"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).otherwise(0)
-    rows = rows.join(F.broadcast(hot), ["h", "c"], "left").select(key, "h", "c", salt.alias("salt"))
-    salts = F.when(F.col("n") >= HOT_COPIES, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    sets = sets.select("h", "c", "first", F.explode(salts).alias("salt"))
-    return rows.join(sets, ["h", "c", "salt"]).where(F.col(key) != F.col("first")).select(F.col("first").alias(f"{key}_a"), F.col(key).alias(f"{key}_b"))
+    return salted_lookup(rows, sets, ["h", "c"], key).where(F.col(key) != F.col("first")).select(F.col("first").alias(f"{key}_a"), F.col(key).alias(f"{key}_b"))

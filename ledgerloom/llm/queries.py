@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import canonical_text, dress_dedup, packing, tokenize
+from ledgerloom.llm import canonical_text, dress_dedup, name_link, packing, tokenize
 from ledgerloom.plans.general_data import AMOUNT_SQL
 from ledgerloom.session import table
 
@@ -13,6 +13,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_text.same_look(table(spark, sf_dir, "field_values").select("field_id", "raw_text", "suggested_text"), "raw_text", "suggested_text").select("field_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_link.link_records(table(spark, sf_dir, "ledger_transactions"), table(spark, sf_dir, "counterparties"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dress_dedup.copy_pairs(table(spark, sf_dir, "candidates"))
 
@@ -31,6 +35,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p5_found": p5_found,
     "p5_records": p5_records,
     "p6_ids": p6_ids,
