@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import canonical_text, dress_dedup, name_link, packing, tokenize
+from ledgerloom.llm import canonical_text, dress_dedup, name_link, packing, reading_level, tokenize
 from ledgerloom.plans.general_data import AMOUNT_SQL
 from ledgerloom.session import table
 
@@ -33,6 +33,14 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_level.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).where("demanding > 0.5").select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -40,6 +48,8 @@ QUERIES = {
     "p5_records": p5_records,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_levels": p8_levels,
 }
 
 _P5_KEYS = rf"""
