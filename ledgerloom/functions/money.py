@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import ascii_digits, let, nfkc, no_space
+from ledgerloom.functions.text import WHITE, ascii_digits, let, nfkc, no_space
 
 PLAIN = r"^[+-]?\d+(\.\d{1,2})?$"
 GROUPED_FRACTION = r"^[+-]?\d{1,3}(,\d{3})+\.\d{1,2}$"
@@ -53,15 +53,15 @@ def parse_amount(raw: Column | str) -> Column:
 def net_amount(income: Column, expense: Column) -> Column:
     """Income less expense; a missing side is zero, both missing is null."""
     zero = F.lit(0).cast("decimal(18,2)")
-    return F.when(income.isNotNull() | expense.isNotNull(), F.coalesce(income, zero) - F.coalesce(expense, zero))
+    return F.when(income.isNotNull() | expense.isNotNull(), F.try_subtract(F.coalesce(income, zero), F.coalesce(expense, zero)))
 
 
 def account_ok(text: Column) -> Column:
-    """6 to 30 digits once spaces and hyphens are dropped."""
-    return F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("-"), F.lit("")).rlike(r"^\d{6,30}$")
+    """6 to 30 digits once white space and hyphens are dropped."""
+    return ascii_digits(F.regexp_replace(text, f"(?:{WHITE}|-)+", "")).rlike(r"^\d{6,30}$")
 
 
 def currency_ok(text: Column) -> Column:
     """Three capital letters, or one of the accepted spellings of renminbi."""
-    code = F.upper(F.replace(text, F.lit(" "), F.lit("")))
+    code = F.upper(no_space(text))
     return code.isin("RMB", "人民币", "人民币元") | code.rlike("^[A-Z]{3}$")
