@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,34 +102,40 @@ def deduplicate_blocks(blocks: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Blocks of each page without repeats, in order: the first match among the blocks kept so far decides, and a native block takes an OCR block's place (J7, exact form).
 
     The outcome depends on order and overlap is not transitive, so each page is folded on its own; only
-    blocks of equal text meet, and a page is bounded. Every column is kept.
+    blocks of equal text meet. Pages are gathered in the JVM and only keys and boxes go through Python.
     """
-    keyed = blocks.withColumn("_k", normalize_block("text"))
-    names = blocks.columns
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[str, list[int]] = {}
-        place: list[int] = []
-        page = page.sort_values("block_index", kind="stable").reset_index(drop=True)
-        box = page[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        native = page["source_type"].isin(["native_pdf", "native_text"]).to_numpy()
-        for i, text in enumerate(page["_k"]):
-            for slot in kept.setdefault(text, []):
-                j = place[slot]
-                w = max(0.0, min(box[i, 2], box[j, 2]) - max(box[i, 0], box[j, 0]))
-                h = max(0.0, min(box[i, 3], box[j, 3]) - max(box[i, 1], box[j, 1]))
-                area = [max(0.0, box[k, 2] - box[k, 0]) * max(0.0, box[k, 3] - box[k, 1]) for k in (i, j)]
-                whole = sum(area) - w * h
-                if whole > 0 and w * h / whole >= threshold:
-                    if native[i] and not native[j]:
-                        place[slot] = i
-                    break
-            else:
-                kept[text].append(len(place))
-                place.append(i)
-        return page.iloc[place][names]
-
-    return keyed.groupBy(*PAGE).applyInPandas(fold, blocks.schema)
+
+    @F.pandas_udf("array<int>")
+    def kept(keys: pd.Series, natives: pd.Series, boxes: pd.Series) -> pd.Series:
+        def one(texts, native, flat) -> list[int]:
+            box = np.asarray(flat, float).reshape(-1, 4)
+            slots: dict[str, list[int]] = {}
+            place: list[int] = []
+            for i, text in enumerate(texts):
+                for slot in slots.setdefault(text, []):
+                    j = place[slot]
+                    w = max(0.0, min(box[i, 2], box[j, 2]) - max(box[i, 0], box[j, 0]))
+                    h = max(0.0, min(box[i, 3], box[j, 3]) - max(box[i, 1], box[j, 1]))
+                    whole = sum(max(0.0, box[k, 2] - box[k, 0]) * max(0.0, box[k, 3] - box[k, 1]) for k in (i, j)) - w * h
+                    if whole > 0 and w * h / whole >= threshold:
+                        if native[i] and not native[j]:
+                            place[slot] = i
+                        break
+                else:
+                    slots[text].append(len(place))
+                    place.append(i)
+            return place
+
+        return pd.Series([one(*x) for x in zip(keys, natives, boxes)])
+
+    rest = [c for c in blocks.columns if c not in PAGE]
+    keyed = blocks.withColumn("_k", normalize_block(F.coalesce("text", F.lit(""))))
+    part = F.struct("block_index", F.col("_k").alias("k"), F.coalesce(is_native(F.col("source_type")), F.lit(False)).alias("native"), F.struct(*rest).alias("block"))
+    page = keyed.groupBy(*PAGE).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    box = F.flatten(F.transform("parts", lambda p: F.array(*[p["block"][c] for c in ("x0", "y0", "x1", "y1")])))
+    page = page.withColumn("kept", kept(F.transform("parts", lambda p: p["k"]), F.transform("parts", lambda p: p["native"]), box))
+    found = F.transform("kept", lambda k: F.get("parts", k)["block"])
+    return page.select(*PAGE, F.inline(found)).select(*blocks.columns)
 
 
 def block_evidence(blocks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import general_data, ledger_queries
+from ledgerloom.plans import general_data, layout_queries, ledger_queries
 
-MODULES = [ledger_queries, general_data]
+MODULES = [ledger_queries, layout_queries, general_data]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
