@@ -96,7 +96,7 @@ def gate_metrics(truth: DataFrame, predicted: DataFrame, reviewed: DataFrame, ke
         for n in reversed(names):
             hit = F.when(has(n), predicted_value("p", n) == F.element_at("t", n)).otherwise(hit)
             wanted = wanted | has(n)
-        return F.count_if(F.col("in_truth") & wanted), F.count_if(F.col("in_truth") & F.col("in_prediction") & wanted & F.coalesce(hit, F.lit(False)))
+        return F.col("in_truth") & wanted, F.col("in_truth") & F.col("in_prediction") & wanted & F.coalesce(hit, F.lit(False))
 
     wrong = F.lit(False)
     for n in CRITICAL_FIELDS:
@@ -104,10 +104,12 @@ def gate_metrics(truth: DataFrame, predicted: DataFrame, reviewed: DataFrame, ke
         wrong = wrong | (expected.isNotNull() & ~F.coalesce(predicted_value("p", n) == expected, F.lit(False)))
     both = F.col("in_truth") & F.col("in_prediction")
     kinds = {"date": exact(DATE_FIELDS), "amount": exact(AMOUNT_FIELDS), "balance": exact(BALANCE_FIELDS)}
-    counts = df.agg(
+    marks = {f"{k}_{n}": c for k, pair in kinds.items() for n, c in zip(("total", "hit"), pair)}
+    marked = df.select("in_truth", "in_prediction", "in_review", wrong.alias("wrong"), *[c.alias(n) for n, c in marks.items()])
+    counts = marked.agg(
         F.count_if("in_truth").alias("truth_rows"), F.count_if("in_prediction").alias("predicted_rows"), F.count_if(both).alias("matched"),
-        F.count_if(F.col("in_prediction") & F.col("in_review")).alias("reviewed"), F.count_if(both & ~F.col("in_review") & wrong).alias("silent_critical_errors"),
-        *[c.alias(f"{k}_{n}") for k, (total, hit) in kinds.items() for n, c in (("total", total), ("hit", hit))],
+        F.count_if(F.col("in_prediction") & F.col("in_review")).alias("reviewed"), F.count_if(both & ~F.col("in_review") & F.col("wrong")).alias("silent_critical_errors"),
+        *[F.count_if(n).alias(n) for n in marks],
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     values = {

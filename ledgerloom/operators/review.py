@@ -31,7 +31,8 @@ def apply_review(candidates: DataFrame, events: DataFrame) -> DataFrame:
     edits = events.where("action = 'edit' and value <> ''").join(last, KEY).where("ord < d.ord")
     # An earlier decision on the row used up the edits before it.
     spent = decisions.where(F.col("action").isin("accept", "reject")).select(*KEY, F.col("ord").alias("spent"))
-    edits = edits.join(spent, KEY, "left").groupBy(*KEY, "field_name", "ord", "value", F.col("d.ord").alias("at")).agg(F.max(F.when(F.col("spent") < F.col("at"), F.col("spent"))).alias("spent"))
+    edits = edits.select(*KEY, "field_name", "ord", "value", F.col("d.ord").alias("_at")).join(spent, KEY, "left")
+    edits = edits.groupBy(*KEY, "field_name", "ord", "value", "_at").agg(F.max(F.when(F.col("spent") < F.col("_at"), F.col("spent"))).alias("spent"))
     edits = edits.where("spent is null or ord > spent").groupBy(*KEY, "field_name").agg(F.max_by("value", "ord").alias("value"))
     corrections = edits.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("field_name", "value"))).alias("corrections"))
     df = candidates.join(last, KEY, "left").join(corrections, KEY, "left")
