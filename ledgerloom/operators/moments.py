@@ -199,7 +199,8 @@ def candidate_zones(accounts: DataFrame) -> list[str]:
 def account_moments(accounts: DataFrame, ledger: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
     """parse_moments over the ledger's transaction dates and the transaction_time fields, each with the zone its account states."""
     spark = accounts.sparkSession
-    source = accounts.select("account_number", "tz_name", "date_order").dropDuplicates(["account_number"])
+    # An account stated twice counts by its smallest statement, so the result does not depend on row order.
+    source = accounts.groupBy("account_number").agg(F.min(F.struct("tz_name", "date_order")).alias("s")).select("account_number", "s.*")
     a = ledger.where("transaction_date is not null").select("account_number", "candidate_id", F.col("record_id").alias("row_id"), F.col("transaction_date").alias("text"), "ingested_at")
     b = fields.where("field_name = 'transaction_time' and raw_text is not null").select("account_number", "candidate_id", F.col("field_id").alias("row_id"), F.col("raw_text").alias("text"), "ingested_at")
     return tuple(parse_moments(x.join(source, "account_number", "left"), spark) for x in (a, b))
