@@ -77,7 +77,7 @@ def font_size(y0: Column, y1: Column) -> Column:
 
 
 def box_text(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """'x0,y0,x1,y1' with up to six significant digits and no trailing zeros (F12), for values from 0.001 to 999999."""
+    """'x0,y0,x1,y1' with up to six significant digits and no trailing zeros (F12), for values from 0.001 to 999999; a tie in the seventh digit rounds up."""
 
     def short(v: Column) -> Column:
         whole = F.greatest(F.floor(F.log10(F.greatest(F.abs(v), F.lit(1e-9)))) + 1, F.lit(1)).cast("int")

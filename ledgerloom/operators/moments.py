@@ -61,7 +61,7 @@ def _iso(p: Column) -> Column:
     at = F.instr(F.lit(_MONTHS), F.lower(F.substring(part[1], 1, 3)))
     month = F.when(part[1].rlike(r"^\d+$"), part[1]).when(at % 3 == 1, ((at + 2) / 3).cast("int").cast("string"))
     clock = F.upper(part[7])
-    hour = F.when(clock == "", part[3]).when(part[3].try_cast("int").between(1, 12), ((part[3].try_cast("int") % 12) + F.when(clock == "PM", 12).otherwise(0)).cast("string"))
+    hour = F.when(clock == "", part[3]).when(part[3].try_cast("int").between(1, 12), ((part[3].try_cast("int") % 12) + F.when(clock == "PM", 12).otherwise(0)).cast("string")).otherwise("no hour")
     two = lambda c: F.lpad(F.coalesce(F.nullif(c, F.lit("")), F.lit("0")), 2, "0")
     time = F.concat(two(hour), F.lit(":"), two(part[4]), F.lit(":"), two(part[5]), F.lit("."), F.rpad(F.substring(part[6], 1, 6), 6, "0"), F.lit("Z"))
     return F.when(year != "0000", F.concat(year, F.lit("-"), two(month), F.lit("-"), two(part[2]), F.lit("T"), time))
