@@ -9,7 +9,7 @@ packing at scale costs.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,22 +65,25 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: s
     shards = max(1, -(-documents.count() // shard_documents))
     sized = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(rows["shard"].iloc[0])
-        rows = rows.assign(full=np.maximum(rows["n_tokens"].astype(np.int64) - 1, 0) // capacity)
-        rows = rows.assign(rest=rows["n_tokens"] - rows["full"] * capacity).sort_values(["rest", "doc_id", "full"], ascending=[False, True, True])
-        ids, n, full = rows["doc_id"].to_numpy(), rows["n_tokens"].to_numpy().astype(np.int64), rows["full"].to_numpy()
-        boxes = pack((n - full * capacity).tolist(), capacity)
-        last = pd.DataFrame({"doc_id": ids, "piece": full, "n_tokens": n - full * capacity, "container": [f"{shard}-{b}" for b in boxes]})
+    def run(rows: pa.Table) -> pa.Table:
+        shard = rows.column("shard")[0].as_py()
+        n = rows.column("n_tokens").to_numpy().astype(np.int64)
+        full = np.maximum(n - 1, 0) // capacity
+        rest = n - full * capacity
+        order = rows.append_column("rest", pa.array(-rest)).append_column("full", pa.array(full))
+        order = order.append_column("place", pa.array(np.arange(len(n)))).sort_by([("rest", "ascending"), ("doc_id", "ascending"), ("full", "ascending"), ("place", "ascending")]).column("place").to_numpy()
+        full, rest = full[order], rest[order]
+        boxes = pack(rest.tolist(), capacity)
         whole = int(full.sum())
-        if not whole:
-            return last
-        piece = np.arange(whole) - np.repeat(np.cumsum(full) - full, full)
-        split = pd.DataFrame({"doc_id": np.repeat(ids, full), "piece": piece, "n_tokens": capacity, "container": [f"{shard}-full-{k}" for k in range(whole)]})
-        return pd.concat([split, last])
+        # The last pieces, then the full ones of split documents, each a container of its own.
+        take = np.concatenate([order, np.repeat(order, full)])
+        piece = np.concatenate([full, np.arange(whole) - np.repeat(np.cumsum(full) - full, full)])
+        size = np.concatenate([rest, np.full(whole, capacity)])
+        names = [f"{shard}-{b}" for b in boxes] + [f"{shard}-full-{k}" for k in range(whole)]
+        return pa.table({"doc_id": rows.column("doc_id").take(pa.array(take)), "piece": pa.array(piece, pa.int32()), "n_tokens": pa.array(size, pa.int32()), "container": pa.array(names, pa.string())})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return sized.groupBy("shard").applyInPandas(run, f"doc_id {kind}, piece int, n_tokens int, container string")
+    return sized.groupBy("shard").applyInArrow(run, f"doc_id {kind}, piece int, n_tokens int, container string")
 
 
 def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -259,7 +259,7 @@ _INK = r"[^\s\p{Z}\p{Cf}]"
 def graded_sample(documents: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS) -> tuple[list[str], np.ndarray]:
     """Texts and grade shares of at most ``most`` graded documents with text, those of smallest hashed id."""
     counts = [F.count_if(F.col("reading_level") == k).alias(f"g{k}") for k in range(1, LEVELS + 1)]
-    grades = labels.where(F.col("reading_level").between(1, LEVELS)).groupBy("doc_id").agg(*counts).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    grades = labels.where(F.col("doc_id").isNotNull() & F.col("reading_level").between(1, LEVELS)).groupBy("doc_id").agg(*counts).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = documents.where(F.col("text").rlike(_INK)).select("doc_id", "text")
     rows = texts.join(F.broadcast(grades), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most ``most`` rows
     given = np.array([[r[f"g{k}"] for k in range(1, LEVELS + 1)] for r in rows], np.float64).reshape(len(rows), LEVELS)
