@@ -60,9 +60,14 @@ def quarter_turn(width: float, height: float, degrees: int) -> list[float]:
 
 
 def crop_bounds(x0: Column, y0: Column, x1: Column, y1: Column, width: int, height: int) -> list[Column]:
-    """Whole-pixel crop around a box, inside the image."""
-    clamp = lambda c, most: F.greatest(F.lit(0), F.least(F.lit(most), c.cast("int")))
-    return [clamp(F.floor(x0), width).alias("left"), clamp(F.floor(y0), height).alias("top"), clamp(F.ceil(x1), width).alias("right"), clamp(F.ceil(y1), height).alias("bottom")]
+    """Whole-pixel crop around a box (F26): inside the image and never empty."""
+
+    def side(low: Column, high: Column, most: int) -> tuple[Column, Column]:
+        first = F.greatest(F.lit(0), F.least(F.lit(most - 1), F.floor(low).cast("int")))
+        return first, F.greatest(first + 1, F.least(F.lit(most), F.ceil(high).cast("int")))
+
+    (left, right), (top, bottom) = side(x0, x1, width), side(y0, y1, height)
+    return [left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")]
 
 
 def clip(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:

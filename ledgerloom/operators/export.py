@@ -56,7 +56,7 @@ def field_names(candidates: DataFrame, most: int = 2_000) -> list[str]:
 
 
 def transactions_wide(candidates: DataFrame, reports: DataFrame, records: DataFrame, boxes: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
-    """The wide transactions sheet (K1, P13): seven canonical columns, the technical ones, then four text layers per field name.
+    """The wide transactions sheet (K1, P13): seven canonical columns, typed values of four of them (P21), the technical ones, then four text layers per field name.
 
     The layers come straight from the field map, so the pivot needs no shuffle. Duplicate rows have no
     transaction; a row whose page has no report is 'unknown'.
@@ -72,8 +72,10 @@ def transactions_wide(candidates: DataFrame, reports: DataFrame, records: DataFr
     else:
         df = df.withColumn("source_box", F.lit(None).cast("string"))
     layers = [F.try_element_at("fields", F.lit(n))[text].alias(f"{n}.{layer}") for n in names for layer, text in LAYERS.items()]
+    typed = {name: typed_value(name, shown_text(*CANONICAL[name])) for name in ("date", "income", "expense", "balance")}
     return df.select(
         *[shown_text(*aliases).alias(name) for name, aliases in CANONICAL.items()],
+        typed["date"][0].alias("date_value"), *[typed[n][1].alias(f"{n}_value") for n in ("income", "expense", "balance")],
         (F.col("page_index") + 1).alias("page"), "status", "comparison_id", (F.col("page_index") + 1).alias("source_page"), "source_box",
         F.when(F.col("source_box").isNull(), "unlocated").otherwise("located").alias("source_location_status"),
         F.when(F.col("duplicate_of").isNotNull(), F.concat_ws(":", "duplicate_of.page_index", "duplicate_of.row_index")).alias("duplicate_reference"),

@@ -181,6 +181,21 @@ def validation_issues(candidates: DataFrame, min_confidence: float = MIN_CONFIDE
     return rows.select(*KEY, ORDER, F.inline(F.concat(F.array_compact(fixed), low)))
 
 
+def attach_provenance(issues: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Issues with the source blocks of their field and the box around them (J8, V12): adds source_block_indices, x0, y0, x1, y1.
+
+    Row-level issues, absent fields and unlocated blocks have null. blocks hold statement_id, page_index,
+    block_index and a box; where a row key repeats, the last ingested row is the source.
+    """
+    page = [DOC, "page_index"]
+    last = candidates.groupBy(*KEY).agg(F.max_by("fields", ORDER).alias("_fields"))
+    df = issues.join(last, KEY, "left").withColumn("source_block_indices", F.try_element_at("_fields", F.col("field_name"))["source_block_indices"]).drop("_fields")
+    wanted = df.select(*page, F.col("source_block_indices").alias("_i")).where(F.size("_i") > 0).distinct()
+    parts = wanted.select(*page, "_i", F.explode("_i").alias("block_index")).join(blocks.select(*page, "block_index", "x0", "y0", "x1", "y1"), [*page, "block_index"])
+    boxes = parts.groupBy(*page, F.col("_i").alias("source_block_indices")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return df.join(boxes, [*page, "source_block_indices"], "left").select(*issues.columns, "source_block_indices", "x0", "y0", "x1", "y1")
+
+
 def page_reports(candidates: DataFrame, issues: DataFrame, outcomes: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """Risk report per page (A7, A9, A10, R1-R7): checked_rows, status, risk_score, reasons, final_balances.
 

@@ -73,11 +73,22 @@ def marker_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.marker_colors(c, reports, issues).select("candidate_id", "color")
 
 
+def _indexed_blocks(c: DataFrame) -> DataFrame:
+    """Blocks for all source indices of the candidates, laid out by their index."""
+    index = c.select(*PAGE, F.explode(F.flatten(F.transform(F.map_values("fields"), lambda v: v["source_block_indices"]))).alias("block_index")).where("block_index is not null").distinct()
+    return index.select(*PAGE, "block_index", (F.col("block_index") * 10.0).alias("x0"), (F.col("block_index") * 3.0).alias("y0"), (F.col("block_index") * 10.0 + 8).alias("x1"), (F.col("block_index") * 3.0 + 2).alias("y1"))
+
+
+def issue_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "candidates")
+    df = ledger.attach_provenance(ledger.validation_issues(c), c, _indexed_blocks(c))
+    return df.select("candidate_id", "emit_ord", F.array_join(F.transform("source_block_indices", lambda i: i.cast("string")), ",").alias("indices"), "x0", "y1")
+
+
 def candidate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box around each candidate's source blocks, clipped to the page, over blocks laid out by their index."""
     c = table(spark, sf_dir, "candidates")
-    index = c.select(*PAGE, F.explode(F.flatten(F.transform(F.map_values("fields"), lambda v: v["source_block_indices"]))).alias("block_index")).where("block_index is not null").distinct()
-    blocks = index.select(*PAGE, "block_index", (F.col("block_index") * 10.0).alias("x0"), (F.col("block_index") * 3.0).alias("y0"), (F.col("block_index") * 10.0 + 8).alias("x1"), (F.col("block_index") * 3.0 + 2).alias("y1"))
+    blocks = _indexed_blocks(c)
     df = export.candidate_boxes(c, blocks)
     box = geometry.clip(*[F.col(x) for x in ("x0", "y0", "x1", "y1")], F.lit(300.0), F.lit(100.0))
     return df.select(*KEY, "x0", "y0", "x1", "y1", box["x1"].alias("clipped_x1"), box.isNotNull().alias("visible"))
@@ -261,7 +272,7 @@ def streaming_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        comparison_ids, wide_pivot, processing_report, source_index, review_queue, unresolved_count, review_grid, layout_index, marker_colors, candidate_boxes, run_summaries, truth_join, field_accuracy, v1_metrics,
+        comparison_ids, wide_pivot, processing_report, source_index, review_queue, unresolved_count, review_grid, layout_index, marker_colors, issue_sources, candidate_boxes, run_summaries, truth_join, field_accuracy, v1_metrics,
         review_keys, char_accuracy, reading_baseline, resume_pages, page_status_rollup, refreshed_pages, upsert_snapshot, review_fold, reviewed_candidates, review_order, merged_rows, split_rows, snapshot_faults,
         slot_rollback, task_states, manifest_diff, pack_fingerprints, streaming_ledger,
     )
@@ -299,7 +310,8 @@ _LOG = """log AS (
 ORACLE = {
     "comparison_ids": oracle.ledger("SELECT candidate_id, comparison_id FROM comparison"),
     "wide_pivot": oracle.ledger(f"""
-SELECT {", ".join(f"{e.replace('fields[', 'c.fields[')} AS {n}" for n, e in _CANON.items())}, c.page_index + 1 AS page, c.status, comparison_id, c.page_index + 1 AS source_page, 'unlocated' AS source_location_status,
+SELECT {", ".join(f"{e.replace('fields[', 'c.fields[')} AS {n}" for n, e in _CANON.items())}, {oracle.date(oracle.shown("transaction_date").replace("fields[", "c.fields["))} AS date_value, CAST(NULL AS DECIMAL(38,2)) AS income_value, CAST(NULL AS DECIMAL(38,2)) AS expense_value,
+       {oracle.amount(oracle.shown("balance").replace("fields[", "c.fields["))} AS balance_value, c.page_index + 1 AS page, c.status, comparison_id, c.page_index + 1 AS source_page, 'unlocated' AS source_location_status,
        CASE WHEN c.duplicate_of IS NOT NULL THEN c.duplicate_of.page_index || ':' || c.duplicate_of.row_index END AS duplicate_reference, p.status AS validation_status,
        r.statement_stream_id || ':' || lpad(CAST(c.page_index AS VARCHAR), 4, '0') || ':' || lpad(CAST(c.row_index AS VARCHAR), 4, '0') AS transaction_id, r.statement_stream_id,
        c.page_index, c.row_index, c.candidate_id, {_LAYER_SQL}
@@ -344,6 +356,9 @@ FROM (SELECT candidate_id, e.key AS k, e.value AS v FROM (SELECT candidate_id, u
 , r AS (SELECT statement_id, page_index, row_index, bool_or(severity = 'critical' AND rule_state = 'fail') AS crit, bool_or(true) AS found FROM issues GROUP BY ALL)
 SELECT candidate_id, CASE WHEN c.status IN ('rejected', 'duplicate') THEN 'grey' WHEN crit THEN 'red' WHEN found THEN 'amber' WHEN c.status = 'accepted' AND p.status = 'pass' THEN 'green' ELSE 'amber' END AS color
 FROM candidates c LEFT JOIN r USING (statement_id, page_index, row_index) LEFT JOIN reports p ON p.statement_id = c.statement_id AND p.page_index = c.page_index"""),
+    "issue_sources": oracle.ledger("""
+SELECT i.candidate_id, CAST(i.emit_ord AS INTEGER) AS emit_ord, array_to_string(s, ',') AS indices, list_min(s) * 10.0::DOUBLE AS x0, (list_max(s) * 3.0 + 2)::DOUBLE AS y1
+FROM (SELECT i.*, c.fields[i.field_name].source_block_indices AS s FROM issues i JOIN candidates c USING (candidate_id)) i"""),
     "candidate_boxes": """
 SELECT statement_id, page_index, row_index, min(i) * 10.0::DOUBLE AS x0, min(i) * 3.0::DOUBLE AS y0, (max(i) * 10.0 + 8)::DOUBLE AS x1, (max(i) * 3.0 + 2)::DOUBLE AS y1,
        CASE WHEN min(i) * 10 < 300 AND min(i) * 3 < 100 THEN least(max(i) * 10.0 + 8, 300.0)::DOUBLE END AS clipped_x1, min(i) * 10 < 300 AND min(i) * 3 < 100 AS visible

@@ -236,6 +236,20 @@ def variant_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.variant_scores(reduce(DataFrame.unionByName, parts)).select("region_id", "variant")
 
 
+def ruling_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries of each order's page from lines drawn by its order lines."""
+    rows = table(spark, sf_dir, "lineitem")
+    y = F.col("l_suppkey").cast("double")
+    lines = rows.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.lit(0.0).alias("x0"), y.alias("y0"), (F.col("l_quantity") * 5).alias("x1"), (y + (F.col("l_quantity") > 40).cast("int") * 10).alias("y1"), F.lit(2.0).alias("thickness"))
+    return layout.ruling_boundaries(lines, 50.0).select("doc_id", F.array_join(F.transform("boundaries", lambda b: b.cast("int").cast("string")), ",").alias("boundaries"))
+
+
+def header_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page, blocks = printed_pages(spark, sf_dir)
+    df = layout.header_suggestions(blocks.where("y0 < 20"))
+    return df.select("doc_id", "page_index", F.array_join("suggestions", "|").alias("suggestions"))
+
+
 def geometry_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_partkey") % 500).cast("double").alias("y"))
     m = geometry.compose(geometry.quarter_turn(600.0, 800.0, 90), [0.5, 0.0, 0.0, 0.5, 10.0, 20.0])
@@ -249,7 +263,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_classify, repeated_pages, preflight, text_quality, block_dedup, block_dedup_exact, block_evidence, column_assign, band_assign, anchor_attach, cell_assembly, template_match, grid_parse,
-        required_missing, anchor_parse, generic_layouts, page_parse, row_grouping, cell_regions, topk_targets, field_regions, variant_choice, geometry_transform,
+        required_missing, anchor_parse, generic_layouts, page_parse, row_grouping, cell_regions, topk_targets, field_regions, variant_choice, ruling_boundaries, header_suggestions, geometry_transform,
     )
 }
 
@@ -317,9 +331,11 @@ FROM (SELECT doc_id, page_index, unnest(range(1, n + 1)) AS band FROM sizes), co
                        0 AS k) f),
 numbered AS (SELECT statement_id, page_index, row_index, name, min(struct_pack(r := row_index, e := emit_ord, k := k)) AS pos FROM wide GROUP BY ALL)
 SELECT statement_id, page_index, row_index, name AS field_name, o AS target_order FROM (SELECT *, row_number() OVER (PARTITION BY statement_id, page_index ORDER BY pos) AS o FROM numbered) WHERE o <= 24"""),
+    "ruling_boundaries": """WITH g AS (SELECT DISTINCT l_orderkey AS doc_id, l_suppkey AS y FROM lineitem WHERE l_quantity * 5 >= 50 AND l_quantity <= 40)
+SELECT doc_id, string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) AS boundaries FROM g GROUP BY 1""",
+    "header_suggestions": f"""WITH {_RANKED}, {_COLS} SELECT doc_id, page_index, string_agg(header, '|' ORDER BY k) AS suggestions FROM sizes, cols WHERE (n + k) % 4 <> 0 GROUP BY ALL""",
     "geometry_transform": """
 WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, CAST(l_partkey % 500 AS DOUBLE) AS y FROM lineitem), t AS (SELECT *, (800 - y) * 0.5 + 10 AS px, x * 0.5 + 20 AS py FROM p)
 SELECT l_orderkey, l_linenumber, round(px, 6) AS px, round(py, 6) AS py, round(x, 6) AS bx, round(y, 6) AS by,
-       CAST(greatest(0, least(300, floor(px - 1.5))) AS INTEGER) AS left, CAST(greatest(0, least(200, floor(py - 1.5))) AS INTEGER) AS top,
-       CAST(greatest(0, least(300, ceil(px + 1.5))) AS INTEGER) AS right, CAST(greatest(0, least(200, ceil(py + 1.5))) AS INTEGER) AS bottom, greatest(3.0, least(x / 2, 12.0)) AS font FROM t""",
+       CAST(l AS INTEGER) AS left, CAST(u AS INTEGER) AS top, CAST(greatest(l + 1, least(300, ceil(px + 1.5))) AS INTEGER) AS right, CAST(greatest(u + 1, least(200, ceil(py + 1.5))) AS INTEGER) AS bottom, greatest(3.0, least(x / 2, 12.0)) AS font FROM (SELECT *, greatest(0, least(299, floor(px - 1.5))) AS l, greatest(0, least(199, floor(py - 1.5))) AS u FROM t)""",
 }

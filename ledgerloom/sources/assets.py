@@ -61,3 +61,16 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """Paths of files that begin like a PDF (S15), whatever they are called."""
     files = spark.read.format("binaryFile").load(path)
     return files.where(F.substring("content", 1, 5) == F.lit("%PDF-").cast("binary")).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def write_manifest(digests: DataFrame, path: str) -> None:
+    """Write name, size and SHA-256 of a pack's files as one JSON part, sorted by name (K12); a pack is a few files."""
+    digests.orderBy("name").coalesce(1).write.mode("overwrite").json(path)
+
+
+def verify_pack(spark: SparkSession, files: str, manifest: str) -> DataFrame:
+    """Files of a pack that are missing, unlisted or changed against its manifest (J20, J23); empty means intact."""
+    from ledgerloom.operators.runs import manifest_diff
+
+    expected = spark.read.schema("name string, size bigint, sha256 string").json(manifest)
+    return manifest_diff(expected, file_digests(spark, files), "name", "sha256")
