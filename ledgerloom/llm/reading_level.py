@@ -25,7 +25,7 @@ LEVELS = 5
 DEMANDING = 4
 
 BITS = 18
-PASS_CHARS = 1 << 20
+PASS_CHARS = 1 << 19
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,6 +138,25 @@ def sentences(texts: list[str]) -> Sentences:
     return Sentences(buckets, owners, text, ink)
 
 
+def sentences_by_pass(texts: list[str]) -> Sentences:
+    """sentences(), some texts at a time, so that its working arrays stay small whatever the texts' total length."""
+    done: list[Sentences] = []
+    a = count = 0
+    while a < len(texts):
+        b, chars = a, 0
+        while b < len(texts) and (b == a or chars + len(texts[b]) <= PASS_CHARS):
+            chars += len(texts[b])
+            b += 1
+        s = sentences(texts[a:b])
+        done.append(Sentences(s.buckets, [(o + count).astype(np.int32) for o in s.owners], s.text + a, s.size))
+        count += len(s.text)
+        a = b
+    none = np.zeros(0, np.int64)
+    return Sentences(
+        [b for s in done for b in s.buckets], [o for s in done for o in s.owners], np.concatenate([none, *[s.text for s in done]]), np.concatenate([none, *[s.size for s in done]])
+    )
+
+
 class LevelModel:
     """Sentence model and document calibration."""
 
@@ -236,7 +255,7 @@ def train(texts: list[str], grades: np.ndarray, epochs: int = 3, folds: int = 2,
     blank = np.zeros((4 * LEVELS + 1, LEVELS))
 
     def fit(rows: np.ndarray) -> LevelModel:
-        s = sentences([texts[k] for k in rows])
+        s = sentences_by_pass([texts[k] for k in rows])
         given = grades[rows][s.text]
         weight = np.ones(len(s.text))
         model = LevelModel(*_fit_sentences(s, given, weight, epochs, seed), blank)
@@ -247,7 +266,7 @@ def train(texts: list[str], grades: np.ndarray, epochs: int = 3, folds: int = 2,
     for f in range(folds):
         rows = np.flatnonzero(fold == f)
         model = fit(np.flatnonzero(fold != f))
-        s = sentences([texts[k] for k in rows])
+        s = sentences_by_pass([texts[k] for k in rows])
         profiles[rows] = model.profile(s, model.sentence_levels(s), len(rows))
     final = fit(np.arange(len(texts)))
     return LevelModel(final.weights, final.bias, _fit_calibration(profiles, grades))
