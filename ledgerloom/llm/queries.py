@@ -13,10 +13,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_text.same_look(table(spark, sf_dir, "field_values").select("field_id", "raw_text", "suggested_text"), "raw_text", "suggested_text").select("field_id")
 
 
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of both texts of every field value."""
+    rows = table(spark, sf_dir, "field_values")
+    return rows.select("field_id", canonical_text.canonical_text("raw_text").alias("raw_form"), canonical_text.canonical_text("suggested_text").alias("suggested_form"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_link.link_records(table(spark, sf_dir, "ledger_transactions"), table(spark, sf_dir, "counterparties"))
 
 
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register entry that every record means, if any, names written exactly like it included."""
+    return name_link.link_records(table(spark, sf_dir, "ledger_transactions"), table(spark, sf_dir, "counterparties"), exact_too=True)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dress_dedup.copy_pairs(table(spark, sf_dir, "candidates"))
 
@@ -33,6 +44,10 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.container_fill(p7_containers(spark, sf_dir))
+
+
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
@@ -43,11 +58,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_forms": p1_forms,
     "p2_found": p2_found,
+    "p2_links": p2_links,
     "p5_found": p5_found,
     "p5_records": p5_records,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_levels": p8_levels,
 }
