@@ -23,20 +23,29 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _bound(text: Column | str, body: Callable[[Column], Column]) -> Column:
+    """body of a column by name, or of an expression that is bound once."""
+    return body(F.col(text)) if isinstance(text, str) else let(text, body)
+
+
+def _by_icu(text: Column | str, owner: str, method: str, plain: Callable[[Column], Column]) -> Column:
+    """A static string function of ICU where the text goes beyond ASCII, else its plain equivalent; null stays null."""
+
+    def body(t: Column) -> Column:
+        call = F.call_function("reflect", F.lit(owner), F.lit(method), F.coalesce(t, F.lit("")), F.lit(True))
+        return F.when(t.isNull(), F.lit(None).cast("string")).when(t.rlike(NON_ASCII), call).otherwise(plain(t))
+
+    return _bound(text, body)
+
+
 def nfkc(text: Column | str) -> Column:
-    """NFKC form; null stays null. ASCII text skips the call."""
-    text = _col(text)
-    safe = F.coalesce(text, F.lit(""))
-    call = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), safe, F.lit(True))
-    return F.when(text.isNull(), F.lit(None).cast("string")).when(text.rlike(NON_ASCII), call).otherwise(text)
+    """NFKC form; null stays null."""
+    return _by_icu(text, "com.ibm.icu.text.Normalizer", "compose", lambda t: t)
 
 
 def casefold(text: Column | str) -> Column:
     """Full Unicode case folding (ß → ss), unlike lower(); null stays null."""
-    text = _col(text)
-    safe = F.coalesce(text, F.lit(""))
-    call = F.call_function("reflect", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), safe, F.lit(True))
-    return F.when(text.isNull(), F.lit(None).cast("string")).when(text.rlike(NON_ASCII), call).otherwise(F.lower(text))
+    return _by_icu(text, "com.ibm.icu.lang.UCharacter", "foldCase", F.lower)
 
 
 def squeeze(text: Column | str) -> Column:
@@ -88,8 +97,7 @@ def _digits() -> tuple[str, str]:
 
 def ascii_digits(text: Column | str) -> Column:
     """Decimal digits of any script as ASCII digits."""
-    text = _col(text)
-    return F.when(text.rlike(NON_ASCII), F.translate(text, *_digits())).otherwise(text)
+    return _bound(text, lambda t: F.when(t.rlike(NON_ASCII), F.translate(t, *_digits())).otherwise(t))
 
 
 def present(text: Column | str) -> Column:
