@@ -113,3 +113,14 @@ def suggested_text(name: Column | str, raw: Column | str) -> Column:
     lowered = F.lower(_col(name))
     money = lowered.contains("amount") | lowered.contains("balance")
     return F.when(lowered.contains("date"), parse_date(raw).cast("string")).when(money, parse_amount_text(raw)).otherwise(normalize_text(raw))
+
+
+def safe_name(name: Column | str, default: str = "results") -> Column:
+    """A name fit for a file (F15): reserved and control characters become '_', outer blanks and dots go; the default where nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(_col(name), r'[<>:"/\\|?*\x00-\x1f]+', "_"), "^[ .]+|[ .]+$", "")
+    return F.coalesce(F.nullif(plain, F.lit("")), F.lit(default))
+
+
+def needs_wide_font(text: Column | str) -> Column:
+    """Whether a text holds characters beyond Latin-1 (F16)."""
+    return F.coalesce(_col(text).rlike("[^\\x00-\\xff]"), F.lit(False))

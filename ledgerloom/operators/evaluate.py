@@ -143,3 +143,11 @@ def reading_baseline(blocks: DataFrame, page: list[str], confident: float = 0.80
     """Blocks, characters and weak blocks per page (A20); an unknown confidence counts as 0."""
     weak = F.coalesce("confidence", F.lit(0.0)) < confident
     return blocks.groupBy(*page).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("characters"), F.count_if(weak).alias("weak_blocks"))
+
+
+def write_gate_report(metrics: DataFrame, path: str) -> bool:
+    """Write release metrics as JSON and CSV below path (K11); whether the gate is passed, for an exit code."""
+    row = metrics.withColumn("gate_reasons", F.array_join("gate_reasons", ";"))
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    row.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    return bool(metrics.select("gate_passed").first()[0])

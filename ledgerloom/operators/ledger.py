@@ -250,6 +250,20 @@ def page_reports(candidates: DataFrame, issues: DataFrame, outcomes: DataFrame |
     )
 
 
+def plain_reports(candidates: DataFrame, issues: DataFrame) -> DataFrame:
+    """Reports before risk is assessed (V13): review where any issue is open, score 100, 40, 20 or 0 by the worst, and the distinct codes in order."""
+    page = [DOC, "page_index"]
+    state, severity = F.col("rule_state"), F.col("severity")
+    order = F.struct("page_index", (F.col("code") == "date_order").cast("int").alias("late"), "row_index", ORDER, "emit_ord", "code")
+    found = issues.groupBy(*page).agg(
+        F.bool_or((state == "fail") & (severity == "critical")).alias("critical"), F.bool_or(state == "fail").alias("fail"), F.bool_or(state == "indeterminate").alias("unsure"),
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(order)), lambda i: i["code"])).alias("reasons"),
+    )
+    rows = candidates.groupBy(*page).agg(F.count(F.lit(1)).cast("int").alias("checked_rows")).join(found, page, "left")
+    score = F.when(F.col("critical"), 100).when(F.col("fail"), 40).when(F.col("unsure"), 20).otherwise(0)
+    return rows.select(*page, "checked_rows", F.when(score > 0, "review").otherwise("pass").alias("status"), score.alias("risk_score"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
+
+
 def transaction_records(candidates: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Ledger records of all candidates not marked duplicate (D18): ids, stream, date, amount, balance, and their order in the document.
 

@@ -138,6 +138,23 @@ def deduplicate_blocks(blocks: DataFrame, threshold: float = 0.75) -> DataFrame:
     return page.select(*PAGE, F.inline(found)).select(*blocks.columns)
 
 
+def merge_layers(native: DataFrame, ocr: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Blocks of a page's text layer and of its reading, as one list without repeats.
+
+    Read blocks are numbered after the native ones of their page, and native evidence wins.
+    """
+    last = native.groupBy(*PAGE).agg((F.max("block_index") + 1).alias("_n"))
+    after = ocr.join(last, PAGE, "left").withColumn("block_index", (F.col("block_index") + F.coalesce("_n", F.lit(0))).cast("int")).select(*native.columns)
+    return deduplicate_blocks(native.unionByName(after), threshold)
+
+
+def reading_text(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """Text of each group of blocks from top to bottom, then left to right (F8): the by columns and text."""
+    word = F.trim(F.coalesce("text", F.lit("")))
+    parts = F.array_sort(F.collect_list(F.when(word != "", F.struct("y0", "x0", "block_index", word.alias("t")))))
+    return blocks.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"))
+
+
 def block_evidence(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Blocks as shown for mapping columns (P26): index, text, box text, ratio of the centre to the page width."""
     from ledgerloom.functions.geometry import box_text

@@ -80,6 +80,21 @@ def refresh_pages(pages: DataFrame, reports: DataFrame, page: list[str], promote
     return df.select(*[F.when(done, F.lit(None)).otherwise(F.col(c)).alias(c) if c == "error" else status.alias(c) if c == "status" else F.col(c) for c in pages.columns])
 
 
+def finalize_runs(pages: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reports, page states and run states after validating whole documents (M8, E9): (reports, pages, runs).
+
+    Pages without candidates have no new report (Q16). pages hold statement_id, page_index, status and error.
+    """
+    from ledgerloom.operators import ledger
+
+    page = [ledger.DOC, "page_index"]
+    issues = ledger.validation_issues(candidates)
+    reports = ledger.page_reports(candidates, issues)
+    found = issues.groupBy(*page).agg(F.count_if(~F.col("rule_state").isin("pass", "not_applicable")).alias("open_issues"))
+    fresh = refresh_pages(pages, reports.join(found, page, "left").fillna(0, ["open_issues"]), page)
+    return reports, fresh, run_status(fresh, [ledger.DOC])
+
+
 def manifest_diff(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
     """Files that are missing, unlisted or changed (J20, J23): key, verdict. Empty means equal."""
     a, b = expected.select(key, F.col(value).alias("_e"), F.lit(True).alias("_x")), actual.select(key, F.col(value).alias("_a"), F.lit(True).alias("_y"))
