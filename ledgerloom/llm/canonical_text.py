@@ -217,7 +217,7 @@ def same_look(values: DataFrame, left: str, right: str) -> DataFrame:
     Null on either side is no case. Two texts of printable ASCII that differ always differ visibly, so
     they never reach Python; this is exact, not a sample.
     """
-    plain = "^[ -~]*$"
+    plain = r"\A[ -~]*\z"
     may = values.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)) & ~(F.col(left).rlike(plain) & F.col(right).rlike(plain)))
 
     @F.pandas_udf("boolean")

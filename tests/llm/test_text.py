@@ -50,9 +50,9 @@ def test_case_and_ascii_are_kept(canon):
 
 
 def test_same_look(spark):
-    rows = [(1, "ＡＢ", "AB"), (2, "AB", "AB"), (3, "a​b", "ab"), (4, "a", "A"), (5, None, "x"), (6, "x", None), (7, "", "​"), (8, "Ω" * 60_000, "Ω" * 60_000 + "­"), (1, "ＡＢ", "AB"), (9, "a\tb", "a b")]
+    rows = [(1, "ＡＢ", "AB"), (2, "AB", "AB"), (3, "a​b", "ab"), (4, "a", "A"), (5, None, "x"), (6, "x", None), (7, "", "​"), (8, "Ω" * 60_000, "Ω" * 60_000 + "­"), (1, "ＡＢ", "AB"), (9, "a\tb", "a b"), (10, "a\n", "a "), (11, "a\n", "a")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "field_id bigint, raw_text string, suggested_text string, value string")
-    assert sorted(r["field_id"] for r in canonical_text.same_look(df, "raw_text", "suggested_text").collect()) == [1, 1, 3, 7, 8, 9]
+    assert sorted(r["field_id"] for r in canonical_text.same_look(df, "raw_text", "suggested_text").collect()) == [1, 1, 3, 7, 8, 9, 10]
     assert canonical_text.same_look(df.limit(0), "raw_text", "suggested_text").count() == 0
     shown = {r[0]: r[1] for r in df.select("field_id", canonical_text.canonical_text("raw_text")).collect()}
     assert shown[1] == "AB" and shown[5] is None and shown[7] == ""
