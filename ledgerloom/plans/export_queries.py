@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import geometry
 from ledgerloom.functions.ids import template_fingerprint
+from ledgerloom.functions.nested import fields_from_json, fields_to_json
 from ledgerloom.operators import evaluate, export, ledger, review, runs
 from ledgerloom.plans import oracle
 from ledgerloom.session import table
@@ -166,6 +167,22 @@ def refreshed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.refresh_pages(_page_table(spark, sf_dir), reports.join(found, PAGE, "left").fillna(0, ["open_issues"]), PAGE)
 
 
+def finalized_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of each statement's run after validating it whole."""
+    return runs.finalize_runs(_page_table(spark, sf_dir), table(spark, sf_dir, "candidates"))[2]
+
+
+def stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of fields and the amount text of every candidate after a round trip through JSON text."""
+    c = table(spark, sf_dir, "candidates").select("candidate_id", fields_from_json(fields_to_json("fields")).alias("f"))
+    return c.select("candidate_id", F.size(F.map_keys("f")).alias("fields"), F.try_element_at("f", F.lit("transaction_amount"))["raw_text"].alias("amount_text"))
+
+
+def plain_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "candidates")
+    return ledger.plain_reports(c, ledger.validation_issues(c)).withColumn("reasons", F.array_join("reasons", ","))
+
+
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last delivery of each field of each candidate."""
     rows = table(spark, sf_dir, "field_values").select("candidate_id", "field_name", "field_id", "raw_text", "ingested_at")
@@ -273,7 +290,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         comparison_ids, wide_pivot, processing_report, source_index, review_queue, unresolved_count, review_grid, layout_index, marker_colors, issue_sources, candidate_boxes, run_summaries, truth_join, field_accuracy, v1_metrics,
-        review_keys, char_accuracy, reading_baseline, resume_pages, page_status_rollup, refreshed_pages, upsert_snapshot, review_fold, reviewed_candidates, review_order, merged_rows, split_rows, snapshot_faults,
+        review_keys, char_accuracy, reading_baseline, resume_pages, page_status_rollup, refreshed_pages, finalized_runs, stored_fields, plain_reports, upsert_snapshot, review_fold, reviewed_candidates, review_order, merged_rows, split_rows, snapshot_faults,
         slot_rollback, task_states, manifest_diff, pack_fingerprints, streaming_ledger,
     )
 }
@@ -384,6 +401,16 @@ FROM states GROUP BY 1""",
     "refreshed_pages": oracle.ledger(f""", {_STATES}, iss AS (SELECT statement_id, page_index, count(*) AS n FROM issues GROUP BY ALL)
 SELECT statement_id, page_index, CASE WHEN s.status IN ('failed', 'pending', 'running') THEN s.status WHEN error IS NOT NULL OR n > 0 OR r.status IN ('review', 'page_review') THEN 'needs_review' ELSE 'completed' END AS status, error
 FROM states s LEFT JOIN reports r USING (statement_id, page_index) LEFT JOIN iss USING (statement_id, page_index)"""),
+    "finalized_runs": oracle.ledger(f""", {_STATES}, iss AS (SELECT statement_id, page_index, count(*) AS n FROM issues GROUP BY ALL),
+fresh AS (SELECT statement_id, CASE WHEN s.status IN ('failed', 'pending', 'running') THEN s.status WHEN error IS NOT NULL OR n > 0 OR r.status IN ('review', 'page_review') THEN 'needs_review' ELSE 'completed' END AS status
+          FROM states s LEFT JOIN reports r USING (statement_id, page_index) LEFT JOIN iss USING (statement_id, page_index))
+SELECT statement_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'needs_review') THEN 'needs_review' WHEN bool_and(status = 'completed') THEN 'completed' ELSE 'running' END AS status, count(*) AS pages FROM fresh GROUP BY 1"""),
+    "stored_fields": "SELECT candidate_id, CAST(len(map_keys(fields)) AS INTEGER) AS fields, fields['transaction_amount'].raw_text AS amount_text FROM candidates",
+    "plain_reports": oracle.ledger("""
+, codes AS (SELECT statement_id, page_index, code, min(seq) AS seq FROM ranked GROUP BY ALL), told AS (SELECT statement_id, page_index, string_agg(code, ',' ORDER BY seq) AS reasons FROM codes GROUP BY ALL)
+SELECT p.statement_id, p.page_index, CAST(checked_rows AS INTEGER) AS checked_rows, CASE WHEN fails > 0 OR unsure > 0 THEN 'review' ELSE 'pass' END AS status,
+       CAST(CASE WHEN criticals > 0 THEN 100 WHEN fails > 0 THEN 40 WHEN unsure > 0 THEN 20 ELSE 0 END AS INTEGER) AS risk_score, coalesce(reasons, '') AS reasons
+FROM page_rows p LEFT JOIN sums USING (statement_id, page_index) LEFT JOIN told USING (statement_id, page_index)"""),
     "upsert_snapshot": "SELECT candidate_id, field_name, field_id, raw_text FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id, field_name ORDER BY ingested_at DESC, field_id DESC) AS k FROM field_values) WHERE k = 1",
     "review_fold": f"WITH {_LOG} SELECT statement_id, page_index, row_index, field_name, CAST(max(ord) AS VARCHAR) AS value FROM log WHERE action = 'edit' GROUP BY ALL",
     "reviewed_candidates": f"""WITH {_LOG}, d AS (SELECT candidate_id, max(ord) AS last, arg_max(action, ord) AS action FROM log WHERE action <> 'edit' GROUP BY 1),

@@ -200,6 +200,27 @@ def row_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.group_rows(blocks).select("doc_id", "page_index", "block_index", "row_index", "place")
 
 
+def row_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows won back by height alone, without ruling lines or dates."""
+    page, blocks = printed_pages(spark, sf_dir)
+    return _cells(layout.parse_rows(page.withColumn("template_id", F.lit("printed_v1")), blocks, templates(spark))[0])
+
+
+def second_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balance of every candidate after a second reading that equals the printed text."""
+    c = table(spark, sf_dir, "candidates")
+    key = ["statement_id", "page_index", "row_index"]
+    value = F.try_element_at("fields", F.lit("balance"))
+    readings = c.where(value.isNotNull()).select(*key, F.lit("balance").alias("field_name"), value["raw_text"].alias("text"))
+    return layout.apply_readings(c, readings, key).where(value.isNotNull()).select("candidate_id", value["secondary_text"].alias("secondary_text"), value["suggested_text"].alias("suggested_text"))
+
+
+def hybrid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native boxes of the order lines merged with the read ones."""
+    lines = line_blocks(spark, sf_dir)
+    return pages.merge_layers(lines.where("source_type = 'native_pdf'"), lines.where("source_type = 'ocr'")).select("doc_id", "block_index", "source_type")
+
+
 def cell_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     page, _ = printed_pages(spark, sf_dir)
     df = layout.cell_regions(page.withColumn("template_id", F.lit("printed_v1")), templates(spark))
@@ -263,7 +284,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_classify, repeated_pages, preflight, text_quality, block_dedup, block_dedup_exact, block_evidence, column_assign, band_assign, anchor_attach, cell_assembly, template_match, grid_parse,
-        required_missing, anchor_parse, generic_layouts, page_parse, row_grouping, cell_regions, topk_targets, field_regions, variant_choice, ruling_boundaries, header_suggestions, geometry_transform,
+        required_missing, anchor_parse, generic_layouts, page_parse, row_grouping, row_parse, second_readings, hybrid_blocks, cell_regions, topk_targets, field_regions, variant_choice, ruling_boundaries, header_suggestions, geometry_transform,
     )
 }
 
@@ -311,6 +332,9 @@ SELECT event_id, row_index FROM e JOIN a USING (user_id) WHERE m >= top AND m <
     "template_match": f"""WITH {_RANKED}, {_COLS}, heads AS (SELECT doc_id, page_index, count(*) AS hits, bool_or(name = 'transaction_amount') AS amount FROM sizes, cols WHERE (n + k) % 4 <> 0 GROUP BY ALL)
 SELECT doc_id, page_index, 'printed_v1' AS template_id, round(hits / 5.0, 6) AS score FROM heads WHERE hits * 10 >= 5 * 6""",
     "grid_parse": f"WITH {_RANKED}, {_ALL_CELLS} SELECT doc_id, page_index, CAST(place AS INTEGER) AS row_index, field_name, t AS raw_text FROM cells WHERE t <> ''",
+    "row_parse": f"WITH {_RANKED}, {_ALL_CELLS} SELECT doc_id, page_index, CAST(place AS INTEGER) AS row_index, field_name, t AS raw_text FROM cells WHERE t <> ''",
+    "second_readings": f"""SELECT candidate_id, CASE WHEN trim(raw) <> '' THEN raw ELSE old2 END AS secondary_text, CASE WHEN trim(raw) <> '' THEN coalesce(CAST({oracle.amount("raw")} AS VARCHAR), old) ELSE old END AS suggested_text
+FROM (SELECT candidate_id, fields['balance'].raw_text AS raw, fields['balance'].suggested_text AS old, fields['balance'].secondary_text AS old2 FROM candidates WHERE fields['balance'] IS NOT NULL)""",
     "required_missing": f"""WITH {_RANKED}, {_ALL_CELLS}, want AS (SELECT doc_id, page_index, place, count_if(t <> '' AND field_name IN ('balance', 'counterparty_name')) AS got, count_if(t <> '') AS some FROM cells GROUP BY ALL)
 SELECT doc_id, page_index, CASE WHEN min(got) = 2 THEN 'success' ELSE 'failed' END AS status, CAST(CASE WHEN min(got) = 2 THEN count(*) ELSE 0 END AS INTEGER) AS candidates FROM want GROUP BY ALL""",
     "anchor_parse": f"""WITH {_RANKED}, {_ALL_CELLS}, rows_ AS (SELECT doc_id, page_index, place, {oracle.date("t")} IS NOT NULL AS dated FROM cells WHERE field_name = 'transaction_date'),
