@@ -14,6 +14,8 @@ from ledgerloom.functions.text import WHITE, ascii_digits, let, nfkc, no_space
 PLAIN = r"^[+-]?\d+(\.\d{1,2})?$"
 GROUPED_FRACTION = r"^[+-]?\d{1,3}(,\d{3})+\.\d{1,2}$"
 GROUPED_MANY = r"^[+-]?\d{1,3}(,\d{3}){2,}$"
+#: A text that is its own canonical form, as most are.
+CANONICAL = r"^(?!-0\.00\z)-?(?:0|[1-9]\d*)\.\d\d\z"
 COMMA_DECIMAL = r"^[+-]?\d+,\d{1,2}$"
 COMMA_THOUSAND = r"^[+-]?\d+,\d{3}$"
 
@@ -42,7 +44,10 @@ def parse_amount_text(raw: Column | str) -> Column:
         bare = F.when(wrapped, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
         return let(let(F.regexp_replace(bare, "^¥?(CNY)?", ""), number), lambda n: canonical(n, wrapped))
 
-    return let(ascii_digits(no_space(nfkc(raw))), unwrapped)
+    def read(text: Column) -> Column:
+        return F.when(text.rlike(CANONICAL), text).otherwise(let(ascii_digits(no_space(nfkc(text))), unwrapped))
+
+    return read(F.col(raw)) if isinstance(raw, str) else let(raw, read)
 
 
 def parse_amount(raw: Column | str) -> Column:
