@@ -267,9 +267,10 @@ def streaming_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from pyspark.sql.functions import concat_ws
 
-    from ledgerloom.session import ensure_checkpoint_dir
+    from ledgerloom.session import ensure_checkpoint_dir, share_code
     from ledgerloom.streaming.ledger_stream import validate_stream
 
+    share_code(spark)
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get() or tempfile.gettempdir()
     mark = f"{base}/ledger-stream-{uuid.uuid4().hex}"
