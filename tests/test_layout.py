@@ -101,6 +101,20 @@ def test_dispatch(spark):
     assert [r["status"] for r in unknown.collect()] == ["page_review"]
 
 
+def test_inferred_layout_is_the_pages_own(spark):
+    def rows(date, amount, balance, summary):
+        heads = zip(("交易日期", "收入金额", "账户余额", "摘要"), (date, amount, balance, summary))
+        cells = zip(("2026-08-01", "10.00", "9.00", "rent"), (date, amount, balance, summary))
+        return [(t, c - 4, 5.0, c + 4, 9.0) for t, c in heads] + [(t, c - 4, 100.0, c + 4, 108.0) for t, c in cells]
+
+    both = page(spark).unionByName(page(spark).withColumn("page_index", F.lit(1))).drop("template_id")
+    text = blocks(spark, rows(10.0, 35.0, 60.0, 85.0)).unionByName(blocks(spark, rows(5.0, 17.0, 29.0, 70.0), page=1))
+    found, outcome = layout.parse_pages(both, text, template(spark, COLUMNS, ("无", "没有")))
+    assert sorted((r["page_index"], r["status"], r["candidates"]) for r in outcome.collect()) == [(0, "success", 1), (1, "success", 1)]
+    want = {"accounting_date": "2026-08-01", "income_amount": "10.00", "balance": "9.00", "transaction_summary": "rent"}
+    assert {r["page_index"]: {n: v["raw_text"] for n, v in r["fields"].items()} for r in found.collect()} == {0: want, 1: want}
+
+
 def test_recovery(spark, candidates):
     from ledgerloom.operators.ledger import validation_issues
 
