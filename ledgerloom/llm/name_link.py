@@ -203,6 +203,17 @@ def assign(costs: list[list[float]], skip: list[float]) -> float:
     return min(best.values(), default=NEVER)
 
 
+def without_titles(words: tuple[str, ...], meant: tuple[str, ...]) -> tuple[str, ...]:
+    """Words of a person's typed name that are no titles; the last ones that are names in the entry itself stay."""
+    spare, kept = list(meant), []
+    for w in reversed(words):
+        if w not in TITLES or w in spare:
+            kept.append(w)
+            if w in spare:
+                spare.remove(w)
+    return tuple(reversed(kept))
+
+
 def link_cost(typed: str, registered: str, kind: str, chinese: Chinese, core_letters: frozenset[str]) -> float:
     """Cost of a typed name standing for a register entry, NEVER where it does not."""
     if _CJK.search(registered):
@@ -222,7 +233,7 @@ def link_cost(typed: str, registered: str, kind: str, chinese: Chinese, core_let
     words, meant = tokens(typed), tokens(registered)
     cut = len(typed) >= CUT_LENGTH
     if kind == "person":
-        words = tuple(w for w in words if w not in TITLES)
+        words = without_titles(words, meant)
         if not words:
             return NEVER
         if len(meant) == 2 and is_chinese_latin(*meant):
@@ -268,10 +279,13 @@ def _typed_keys(name: str, chinese: Chinese, shared: frozenset[str]) -> set[int]
     if _CJK.search(name):
         core = chinese.parts(name)[1]
         return {_hash("z", core)} | {_hash("z", core[:i] + core[i + 1 :]) for i in range(len(core)) if len(core) > 1}
-    words = [w for w in tokens(name) if w not in TITLES]
-    keys = {_hash("p", "".join(words[k:] + words[:k])) for k in range(len(words))} if len(words) <= 4 else set()
-    for w in words:
-        if len(w) > 3 and w not in shared and w not in LEGAL:
+    all_words = tokens(name)
+    words = [w for w in all_words if w not in TITLES]
+    keys = {_hash("p", "".join([*ws[k:], *ws[:k]])) for ws in (words, all_words) if len(ws) <= 4 for k in range(len(ws))}
+    for w in {*all_words, *company_words(name)}:
+        if len(w) < 3:  # stands only for itself
+            keys.add(_hash("e", w))
+        elif w not in shared:
             keys.update(_hash("w", v) for v in within_two_deletions(w))
     if len(name) >= CUT_LENGTH and words and len(words[-1]) > 3:
         keys.add(_hash("c", words[-1]))
@@ -289,7 +303,8 @@ def _entry_keys(name: str, kind: str, chinese: Chinese) -> set[int]:
     if kind == "person" and len(words) == 2 and is_chinese_latin(*words):
         return {_hash("p", words[0] + words[1]), _hash("p", words[1] + words[0])}
     anchor = words[-1] if kind == "person" else words[0]
-    return {_hash("w", v) for v in within_two_deletions(anchor)} | {_hash("c", anchor[:k]) for k in range(4, len(anchor))}
+    own = {_hash("e", anchor)} if len(anchor) < 3 else set()
+    return own | {_hash("w", v) for v in within_two_deletions(anchor)} | {_hash("c", anchor[:k]) for k in range(4, len(anchor))}
 
 
 def _vocabulary(register: DataFrame) -> tuple[Chinese, frozenset[str], frozenset[str]]:
@@ -363,7 +378,9 @@ def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
     pairs = looked.join(index, "key").select("nid", "counterparty_id").distinct()
     full = pairs.join(names, "nid").join(register, "counterparty_id").select("name", "counterparty_id", "registered_name", "kind")
     costs = full.mapInPandas(decide, f"name string, counterparty_id {id_type}, cost double")
-    by_cost = costs.groupBy("name", F.round("cost", 6).alias("cost")).agg(F.count(F.lit(1)).alias("entries"), F.min("counterparty_id").alias("counterparty_id"))
+    # A name written exactly like an entry means it, whatever its words are.
+    same = names.join(register, names["name"] == register["registered_name"]).select("name", "counterparty_id", F.lit(-1.0).alias("cost")).distinct()
+    by_cost = costs.unionByName(same).groupBy("name", F.round("cost", 6).alias("cost")).agg(F.count(F.lit(1)).alias("entries"), F.min("counterparty_id").alias("counterparty_id"))
     best = by_cost.groupBy("name").agg(F.min(F.struct("cost", "entries", "counterparty_id")).alias("b"))
     return best.where("b.entries = 1").select("name", F.col("b.counterparty_id").alias("counterparty_id"))
 

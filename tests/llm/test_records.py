@@ -41,6 +41,15 @@ def test_links(spark, register):
     assert name_link.link_records(records, register.limit(0)).count() == 0
 
 
+def test_short_and_class_words_are_looked_up(spark):
+    entries = [(1, "Anna Lee", "person"), (2, "BMW Bakery Products GmbH", "organisation"), (3, "J. Smith Ltd", "organisation"), (4, "Maria Herr", "person"), (5, "Limited Brands Trading AG", "organisation"), (6, "Wu", "organisation")]
+    names = {"Lee, Anna": 1, "bmw bakery products": 2, "Smith J Ltd": 3, "Herr Maria": 4, "Limited Brands Trading": 5, "Wu": 6, "Frau Maria Herr": 4, "Tom Lee": None}
+    records = spark.createDataFrame(list(enumerate(names)), "record_id bigint, counterparty_name string")
+    register = spark.createDataFrame(entries, "counterparty_id bigint, registered_name string, kind string")
+    got = {r["record_id"]: r["counterparty_id"] for r in name_link.link_records(records, register, exact_too=True).collect()}
+    assert {n: got.get(k) for k, n in enumerate(names)} == names
+
+
 def test_index_finds_all_near_words():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(6, 9)))
