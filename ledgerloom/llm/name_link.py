@@ -47,7 +47,7 @@ FAMILY_NAMES = frozenset(
 
 #: A typed name as long as this may be cut off inside its last word.
 CUT_LENGTH = 16
-#: Words of the register, at other places than an anchor, that so many entries share are not looked up; they can anchor nothing.
+#: Words of the register, at other places than an anchor, that so many entries share are not looked up where no anchor is near them.
 SHARED_WORDS = 5
 _SYLLABLE = re.compile(r"(?:zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?(?:iang|iong|uang|ang|eng|ing|ong|ian|iao|uai|uan|ai|an|ao|ei|en|er|ia|ie|in|iu|ou|ua|ui|un|uo|ue|a|e|i|o|u)")
 _CJK = re.compile("[㐀-鿿]")
@@ -338,9 +338,17 @@ def _vocabulary(register: DataFrame) -> tuple[Chinese, frozenset[str], frozenset
     def anchor(names: pd.Series, kinds: pd.Series) -> pd.Series:
         return pd.Series([(tokens(n)[-1] if k == "person" else tokens(n)[0]) if tokens(n) else "" for n, k in zip(names, kinds)])
 
+    @F.pandas_udf("array<string>")
+    def near(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: sorted(within_two_deletions(w)))
+
+    # Only a word that shares no key with any anchor is left out: it can anchor nothing, not even misspelt. Words beyond the most frequent are looked up.
     words = register.select(F.explode(rest("registered_name", "kind")).alias("w"))
-    anchors = register.select(anchor("registered_name", "kind").alias("w")).distinct()
-    shared = frozenset(top(words.join(anchors, "w", "left_anti"), "w", SHARED_WORDS))
+    often = sorted({*top(words, "w", SHARED_WORDS), *LEGAL, *TITLES})
+    anchors = register.select(anchor("registered_name", "kind").alias("w")).where("w <> ''").distinct()
+    keys = register.sparkSession.createDataFrame([(w,) for w in often], "w string").select("w", F.explode(near("w")).alias("k"))
+    hit = keys.join(anchors.select(F.explode(near("w")).alias("k")).distinct(), "k", "left_semi")
+    shared = frozenset(often) - {r[0] for r in hit.select("w").distinct().collect()}
     return model, letters, shared
 
 

@@ -50,6 +50,13 @@ def test_short_and_class_words_are_looked_up(spark):
     assert {n: got.get(k) for k, n in enumerate(names)} == names
 
 
+def test_shared_word_may_be_a_misspelt_anchor(spark):
+    entries = [(1, "Deborah Martins", "person"), *[(10 + k, f"Martin Q{a}", "person") for k, a in enumerate(("uibblex", "orfandel", "ezzomir", "wyrstan", "ubbelin", "ylgaard"))]]
+    records = spark.createDataFrame([(1, "Deborah Martin"), (2, "Debbie Martin")], "record_id bigint, counterparty_name string")
+    register = spark.createDataFrame(entries, "counterparty_id bigint, registered_name string, kind string")
+    assert sorted(map(tuple, name_link.link_records(records, register).collect())) == [(1, 1), (2, 1)]
+
+
 def test_index_finds_all_near_words():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(6, 9)))
