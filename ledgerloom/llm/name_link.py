@@ -121,10 +121,10 @@ class Chinese:
     """Parts of Chinese names: place, core, trade and legal form, by the register's own places and trades."""
 
     def __init__(self, places: list[str], trades: list[str]) -> None:
-        self.places = sorted(places, key=len, reverse=True)
-        self.trades = sorted(trades, key=len, reverse=True)
+        self.places, self.trades = frozenset(places), frozenset(trades)
         #: Abbreviations that a trade may be written by are parts of it, cut the same way from the end of a name.
-        self.short = sorted({"".join(c) for t in trades if len(t) > 2 for k in range(2, len(t)) for c in combinations(t, k)} - set(trades), key=len, reverse=True)
+        self.short = frozenset("".join(c) for t in trades if len(t) > 2 for k in range(2, len(t)) for c in combinations(t, k)) - self.trades
+        self.longest = max(map(len, self.places), default=0)
 
     def parts(self, name: str) -> tuple[str, str, str, str]:
         """(place, core, trade, legal form); what is missing is empty."""
@@ -136,9 +136,10 @@ class Chinese:
             text = text[: m.start()] + text[m.end() :]
         legal = next((x for x in CHINESE_LEGAL if text.endswith(x)), "")
         text = text[: len(text) - len(legal)]
-        if not place and (lead := next((p for p in self.places if text.startswith(p) and len(text) > len(p) + 1), "")):
+        if not place and (lead := next((text[:n] for n in range(min(self.longest, len(text) - 2), 0, -1) if text[:n] in self.places), "")):
             place, text = lead, text[len(lead) :]
-        trade = next((t for t in [*self.trades, *self.short] if text.endswith(t) and len(text) > len(t) + 1), "")
+        tails = [text[k:] for k in range(2, len(text))]  # the longest first; a core has two letters at least
+        trade = next((t for known in (self.trades, self.short) for t in tails if t in known), "")
         return place, text[: len(text) - len(trade)], trade, legal
 
 
@@ -308,11 +309,10 @@ def _entry_keys(name: str, kind: str, chinese: Chinese) -> set[int]:
 
 
 def _vocabulary(register: DataFrame) -> tuple[Chinese, frozenset[str], frozenset[str]]:
-    """Places, trades, letters of cores and shared words of the register: vocabularies, each of at most 10,000 entries by frequency."""
-    most = 10_000
-    top = lambda df, c, n: [r[0] for r in df.groupBy(c).count().where(F.col("count") >= n).orderBy(F.desc("count"), c).limit(most).collect()]
+    """Places, trades and letters of cores of the register, whole vocabularies, and its frequent words that no anchor is near."""
+    often_in = lambda df, c, n: [r[0] for r in df.groupBy(c).count().where(F.col("count") >= n).select(c).collect()]
     chinese = register.where(F.col("registered_name").rlike("[㐀-鿿]")).select(F.regexp_replace(F.translate("registered_name", "（）", "()"), r"\s", "").alias("t"))
-    places = top(chinese.select(F.regexp_extract("t", r"\((.+?)\)", 1).alias("p")).where("p <> ''"), "p", 2)
+    places = often_in(chinese.select(F.regexp_extract("t", r"\((.+?)\)", 1).alias("p")).where("p <> ''"), "p", 2)
     bare = chinese.select(F.regexp_replace(F.regexp_replace("t", r"\(.+?\)", ""), f"({'|'.join(CHINESE_LEGAL)})$", "").alias("t"))
     tails = bare.select(F.explode(F.array(*[F.when(F.length("t") > k, F.expr(f"right(t, {k})")) for k in (2, 3, 4, 5, 6)])).alias("s")).where("s is not null")
     counts = tails.groupBy("s").count().where("count >= 5")
@@ -322,13 +322,13 @@ def _vocabulary(register: DataFrame) -> tuple[Chinese, frozenset[str], frozenset
     parent = counts.select(F.col("s").alias("short"), F.col("count").alias("all"))
     trades = counts.join(longer, "s", "left").join(parent, shorter == F.col("short"), "left")
     trades = trades.where("coalesce(more, 0) * 4 < count and (all is null or count * 4 >= all)")
-    model = Chinese(places, [r[0] for r in trades.orderBy(F.desc("count"), "s").limit(most).collect()])
+    model = Chinese(places, [r[0] for r in trades.select("s").collect()])
 
     @F.pandas_udf("string")
     def core(names: pd.Series) -> pd.Series:
         return names.map(lambda n: model.parts(n)[1])
 
-    letters = frozenset(top(chinese.select(F.explode(F.split(core("t"), "")).alias("c")).where("c <> ''"), "c", 1))
+    letters = frozenset(often_in(chinese.select(F.explode(F.split(core("t"), "")).alias("c")).where("c <> ''"), "c", 1))
 
     @F.pandas_udf("array<string>")
     def rest(names: pd.Series, kinds: pd.Series) -> pd.Series:
@@ -342,9 +342,9 @@ def _vocabulary(register: DataFrame) -> tuple[Chinese, frozenset[str], frozenset
     def near(words: pd.Series) -> pd.Series:
         return words.map(lambda w: sorted(within_two_deletions(w)))
 
-    # Only a word that shares no key with any anchor is left out: it can anchor nothing, not even misspelt. Words beyond the most frequent are looked up.
+    # Only a word that shares no key with any anchor is left out: it can anchor nothing, not even misspelt.
     words = register.select(F.explode(rest("registered_name", "kind")).alias("w"))
-    often = sorted({*top(words, "w", SHARED_WORDS), *LEGAL, *TITLES})
+    often = sorted({*often_in(words, "w", SHARED_WORDS), *LEGAL, *TITLES})
     anchors = register.select(anchor("registered_name", "kind").alias("w")).where("w <> ''").distinct()
     keys = register.sparkSession.createDataFrame([(w,) for w in often], "w string").select("w", F.explode(near("w")).alias("k"))
     hit = keys.join(anchors.select(F.explode(near("w")).alias("k")).distinct(), "k", "left_semi")

@@ -57,6 +57,14 @@ def test_shared_word_may_be_a_misspelt_anchor(spark):
     assert sorted(map(tuple, name_link.link_records(records, register).collect())) == [(1, 1), (2, 1)]
 
 
+def test_vocabularies_are_whole(spark):
+    n = 10_005
+    place = lambda k: "".join(chr(0x4E00 + 200 * j + k // 22**j % 22) for j in range(3))
+    rows = [(k, f"翎岚铭机械({place(k % n)})有限公司", "organisation") for k in range(2 * n)]
+    register = spark.createDataFrame(rows, "counterparty_id bigint, registered_name string, kind string")
+    assert len({place(k) for k in range(n)}) == n and len(name_link._vocabulary(register)[0].places) == n
+
+
 def test_index_finds_all_near_words():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(6, 9)))
