@@ -16,6 +16,8 @@ GROUPED_FRACTION = r"^[+-]?\d{1,3}(,\d{3})+\.\d{1,2}$"
 GROUPED_MANY = r"^[+-]?\d{1,3}(,\d{3}){2,}$"
 #: A text that is its own canonical form, as most are.
 CANONICAL = r"^(?!-0\.00\z)-?(?:0|[1-9]\d*)\.\d\d\z"
+#: A text that is canonical but for a plus sign and groups of thousands.
+NEARLY_CANONICAL = r"^[+-]?[1-9]\d{0,2}(?:,\d{3})*\.\d\d\z"
 COMMA_DECIMAL = r"^[+-]?\d+,\d{1,2}$"
 COMMA_THOUSAND = r"^[+-]?\d+,\d{3}$"
 
@@ -45,7 +47,7 @@ def parse_amount_text(raw: Column | str) -> Column:
         return let(let(F.regexp_replace(bare, "^¥?(CNY)?", ""), number), lambda n: canonical(n, wrapped))
 
     def read(text: Column) -> Column:
-        return F.when(text.rlike(CANONICAL), text).otherwise(let(ascii_digits(no_space(nfkc(text))), unwrapped))
+        return F.when(text.rlike(CANONICAL), text).when(text.rlike(NEARLY_CANONICAL), F.translate(text, "+,", "")).otherwise(let(ascii_digits(no_space(nfkc(text))), unwrapped))
 
     return read(F.col(raw)) if isinstance(raw, str) else let(raw, read)
 
