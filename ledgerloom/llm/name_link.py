@@ -1,17 +1,19 @@
 """Problem 2: variant spellings of names typed by people, linked to a register.
 
 Candidates come from a symmetric-delete index: a register entry's anchor (surname, leading word of an
-organisation, core of a Chinese name) and the words of a typed name meet where deleting at most two
-characters of each gives the same text. The join is an ordinary equi-join of hashes, so register and
-names may be of any size. Each candidate pair is then decided by an optimal assignment of tokens that
-permits typos, initials, short forms and abbreviations.
+organisation, core of a Chinese name, a Chinese name in Latin letters as a whole) and the words of a typed
+name meet where deleting at most two characters of each gives the same text. The index holds distinct
+anchors and is asked for distinct words, so no word is looked up twice; the joins are ordinary equi-joins
+of hashes and words, salted where a word is frequent, so register and names may be of any size. Each
+candidate pair is then decided by an optimal assignment of tokens that permits typos, initials, short forms
+and abbreviations.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -47,9 +49,19 @@ FAMILY_NAMES = frozenset(
 
 #: A typed name as long as this may be cut off inside its last word.
 CUT_LENGTH = 16
-#: Words of the register, at other places than an anchor, that so many entries share are not looked up where no anchor is near them.
-SHARED_WORDS = 5
-_SYLLABLE = re.compile(r"(?:zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?(?:iang|iong|uang|ang|eng|ing|ong|ian|iao|uai|uan|ai|an|ao|ei|en|er|ia|ie|in|iu|ou|ua|ui|un|uo|ue|a|e|i|o|u)")
+#: An organisation may be called by the initials of so many words or more.
+ACRONYM_LENGTH = 3
+# The finals of Mandarin syllables in Latin letters, by groups of initials.
+_SYLLABLE = (
+    "(?:[bpmf](?:ai?|ang?|ao|ei|eng?|e|iang?|ian|iao|ie|ing?|iu|i|ou?|u)"
+    "|[dtnl](?:ai?|ang?|ao|ei|eng?|e|iang?|iao|ian|ia|ie|ing?|iu|i|ong|ou|uan|ue|ui|un|uo|u)"
+    "|[gkh](?:ai?|ang?|ao|ei|eng?|e|ong|ou|uai|uang?|ua|ui|un|uo|u)"
+    "|[jqx](?:iang?|iao|ian|ia|ie|ing?|iong|iu|i|uan|ue|un|u)"
+    "|(?:[zcs]h?|r)(?:ai?|ang?|ao|ei|eng?|e|i|ong|ou|uai|uang?|ua|ui|un|uo|u)"
+    "|y(?:ang?|ao|a|e|ing?|i|ong|ou|o|uan|ue|un|u)"
+    "|w(?:ai?|ang?|ei|eng?|o|u)"
+    "|ang?|ai|ao|a|er|eng?|e|ou)"
+)
 _CJK = re.compile("[㐀-鿿]")
 
 
@@ -78,9 +90,29 @@ def company_words(name: str) -> tuple[str, ...]:
     return tuple(reversed(out))
 
 
+_GIVEN = re.compile(f"{_SYLLABLE}{{1,2}}")
+
+
 def is_chinese_latin(family: str, given: str) -> bool:
     """A Chinese name in Latin letters: a family name and one or two syllables."""
-    return family in FAMILY_NAMES and re.fullmatch(rf"(?:{_SYLLABLE.pattern}){{1,2}}", given) is not None
+    return family in FAMILY_NAMES and _GIVEN.fullmatch(given) is not None
+
+
+@lru_cache(200_000)
+def reads_as_chinese(whole: str) -> bool:
+    """Whether letters without spaces are a family name and one or two syllables, in either order."""
+    return any(is_chinese_latin(whole[:k], whole[k:]) or is_chinese_latin(whole[-k:], whole[:-k]) for k in range(2, min(6, len(whole))))
+
+
+def turns(words: tuple[str, ...]) -> list[str]:
+    """The words written together from each of them on, the ones before it at the end."""
+    return ["".join((*words[k:], *words[:k])) for k in range(len(words))]
+
+
+def acronym(words: tuple[str, ...]) -> str:
+    """Initials of the words of an organisation that are no legal form; empty where they are too few."""
+    initials = "".join(w[0] for w in words if w not in LEGAL)
+    return initials if len(initials) >= ACRONYM_LENGTH else ""
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -190,18 +222,44 @@ def anchor_cost(typed: str, anchor: str, cut: bool) -> float:
 
 
 def assign(costs: list[list[float]], skip: list[float]) -> float:
-    """Least total of giving each typed word its own word of the register, or for skip[k] none; NEVER at most where impossible."""
-    best = {0: 0.0}
-    for k, row in enumerate(costs):
-        new: dict[int, float] = {}
-        for used, total in best.items():
-            if skip[k] < NEVER and total + skip[k] < new.get(used, NEVER):
-                new[used] = total + skip[k]
-            for j, c in enumerate(row):
-                if c < NEVER and not used >> j & 1 and total + c < new.get(used | 1 << j, NEVER):
-                    new[used | 1 << j] = total + c
-        best = new
-    return min(best.values(), default=NEVER)
+    """Least total of giving each typed word its own word of the register, or for skip[k] none; NEVER at most where impossible.
+
+    Shortest augmenting paths with potentials, cubic in the number of words: every row has a column of
+    its own for going without.
+    """
+    n = len(costs)
+    if not n:
+        return 0.0
+    width = len(costs[0])
+    if n == 1:
+        return min([skip[0], *costs[0]])
+    wide = width + n
+    price = [[*row, *[NEVER] * k, skip[k], *[NEVER] * (n - 1 - k)] for k, row in enumerate(costs)]
+    by_row, by_column, owner = [0.0] * n, [0.0] * (wide + 1), [-1] * (wide + 1)
+    for start in range(n):
+        owner[wide], at = start, wide
+        dearest, came, done = [float("inf")] * wide, [wide] * wide, [False] * (wide + 1)
+        while owner[at] >= 0:
+            done[at], row, step, best = True, owner[at], float("inf"), -1
+            for j in range(wide):
+                if not done[j]:
+                    reduced = price[row][j] - by_row[row] - by_column[j]
+                    if reduced < dearest[j]:
+                        dearest[j], came[j] = reduced, at
+                    if dearest[j] < step:
+                        step, best = dearest[j], j
+            for j in range(wide + 1):
+                if done[j]:
+                    by_row[owner[j]] += step
+                    by_column[j] -= step
+                elif j < wide:
+                    dearest[j] -= step
+            at = best
+        while at != wide:
+            owner[at], at = owner[came[at]], came[at]
+        owner[wide] = -1
+    total = sum(price[owner[j]][j] for j in range(wide) if owner[j] >= 0)
+    return min(total, NEVER)
 
 
 def without_titles(words: tuple[str, ...], meant: tuple[str, ...]) -> tuple[str, ...]:
@@ -215,6 +273,14 @@ def without_titles(words: tuple[str, ...], meant: tuple[str, ...]) -> tuple[str,
     return tuple(reversed(kept))
 
 
+def whole_cost(words: tuple[str, ...], meant: str) -> float:
+    """Cost of typed words for a Chinese name in Latin letters, written together: one slip, unless what is typed is a name itself."""
+    ways = turns(words)
+    if meant in ways:
+        return 0.1
+    return 1.0 if any(distance(w, meant, 1) <= 1 and not reads_as_chinese(w) for w in ways) else NEVER
+
+
 def link_cost(typed: str, registered: str, kind: str, chinese: Chinese, core_letters: frozenset[str]) -> float:
     """Cost of a typed name standing for a register entry, NEVER where it does not."""
     if _CJK.search(registered):
@@ -238,8 +304,7 @@ def link_cost(typed: str, registered: str, kind: str, chinese: Chinese, core_let
         if not words:
             return NEVER
         if len(meant) == 2 and is_chinese_latin(*meant):
-            whole = "".join(words)
-            return 0.1 if whole in (meant[0] + meant[1], meant[1] + meant[0]) or any("".join(words[k:] + words[:k]) == meant[0] + meant[1] for k in range(len(words))) else NEVER
+            return whole_cost(words, meant[0] + meant[1])
         if len(words) < 2 or len(words) > len(meant):
             return NEVER
         best = NEVER
@@ -259,7 +324,7 @@ def link_cost(typed: str, registered: str, kind: str, chinese: Chinese, core_let
     words, meant = company_words(typed), company_words(registered)
     if not words or not meant:
         return NEVER
-    best = NEVER
+    best = 1.4 if words[0] == acronym(meant) and all(w in LEGAL and w in meant for w in words[1:]) else NEVER
     for at, word in enumerate(words):
         last = cut and at == len(words) - 1
         head = anchor_cost(word, meant[0], last)
@@ -275,81 +340,116 @@ def link_cost(typed: str, registered: str, kind: str, chinese: Chinese, core_let
     return best
 
 
-def _typed_keys(name: str, chinese: Chinese, shared: frozenset[str]) -> set[int]:
-    """Keys of the index that a typed name is looked up by."""
+#: Kinds of index words: a word of a name, a Chinese core, a whole Chinese name in Latin letters, a word cut off, an acronym.
+WORD, CORE, WHOLE, CUT, ACRONYM = "wzpca"
+
+
+def typed_words(name: str, chinese: Chinese, longest: int) -> set[tuple[str, str]]:
+    """(kind, word) pairs that a typed name is looked up by; longest bounds the whole Chinese names of the register."""
     if _CJK.search(name):
-        core = chinese.parts(name)[1]
-        return {_hash("z", core)} | {_hash("z", core[:i] + core[i + 1 :]) for i in range(len(core)) if len(core) > 1}
+        return {(CORE, chinese.parts(name)[1])}
     all_words = tokens(name)
-    words = [w for w in all_words if w not in TITLES]
-    keys = {_hash("p", "".join([*ws[k:], *ws[:k]])) for ws in (words, all_words) if len(ws) <= 4 for k in range(len(ws))}
-    for w in {*all_words, *company_words(name)}:
-        if len(w) < 3:  # stands only for itself
-            keys.add(_hash("e", w))
-        elif w not in shared:
-            keys.update(_hash("w", v) for v in within_two_deletions(w))
+    words = tuple(w for w in all_words if w not in TITLES)
+    found = {(WORD, w) for w in (*all_words, *company_words(name))}
+    found |= {(WHOLE, t) for ws in {words, all_words} if sum(map(len, ws)) <= longest + 1 for t in turns(ws)}
     if len(name) >= CUT_LENGTH and words and len(words[-1]) > 3:
-        keys.add(_hash("c", words[-1]))
-    return keys
+        found.add((CUT, words[-1]))
+    if len(company := company_words(name)) and len(company[0]) >= ACRONYM_LENGTH and all(w in LEGAL for w in company[1:]):
+        found.add((ACRONYM, company[0]))
+    return found
 
 
-def _entry_keys(name: str, kind: str, chinese: Chinese) -> set[int]:
-    """Keys of the index that a register entry is found by."""
+def anchors(name: str, kind: str, chinese: Chinese) -> set[tuple[str, str]]:
+    """(kind, word) pairs that a register entry is found by."""
     if _CJK.search(name):
-        core = chinese.parts(name)[1]
-        return {_hash("z", core)} | {_hash("z", core[:i] + core[i + 1 :]) for i in range(len(core)) if len(core) > 1}
+        return {(CORE, chinese.parts(name)[1])}
     words = tokens(name)
     if not words:
         return set()
-    if kind == "person" and len(words) == 2 and is_chinese_latin(*words):
-        return {_hash("p", words[0] + words[1]), _hash("p", words[1] + words[0])}
-    anchor = words[-1] if kind == "person" else words[0]
-    own = {_hash("e", anchor)} if len(anchor) < 3 else set()
-    return own | {_hash("w", v) for v in within_two_deletions(anchor)} | {_hash("c", anchor[:k]) for k in range(4, len(anchor))}
-
-
-def _vocabulary(register: DataFrame) -> tuple[Chinese, frozenset[str], frozenset[str]]:
-    """Places, trades and letters of cores of the register, whole vocabularies, and its frequent words that no anchor is near."""
-    often_in = lambda df, c, n: [r[0] for r in df.groupBy(c).count().where(F.col("count") >= n).select(c).collect()]
-    chinese = register.where(F.col("registered_name").rlike("[㐀-鿿]")).select(F.regexp_replace(F.translate("registered_name", "（）", "()"), r"\s", "").alias("t"))
-    places = often_in(chinese.select(F.regexp_extract("t", r"\((.+?)\)", 1).alias("p")).where("p <> ''"), "p", 2)
-    bare = chinese.select(F.regexp_replace(F.regexp_replace("t", r"\(.+?\)", ""), f"({'|'.join(CHINESE_LEGAL)})$", "").alias("t"))
-    tails = bare.select(F.explode(F.array(*[F.when(F.length("t") > k, F.expr(f"right(t, {k})")) for k in (2, 3, 4, 5, 6)])).alias("s")).where("s is not null")
-    counts = tails.groupBy("s").count().where("count >= 5")
-    # A trade ends cores of many letters: no longer ending holds a quarter of its names, and it holds a quarter of the next shorter one's.
-    shorter = F.expr("substring(s, 2)")
-    longer = counts.groupBy(shorter.alias("s")).agg(F.max("count").alias("more"))
-    parent = counts.select(F.col("s").alias("short"), F.col("count").alias("all"))
-    trades = counts.join(longer, "s", "left").join(parent, shorter == F.col("short"), "left")
-    trades = trades.where("coalesce(more, 0) * 4 < count and (all is null or count * 4 >= all)")
-    model = Chinese(places, [r[0] for r in trades.select("s").collect()])
-
-    @F.pandas_udf("string")
-    def core(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: model.parts(n)[1])
+    if kind == "person":
+        if len(words) == 2 and is_chinese_latin(*words):
+            return {(WHOLE, words[0] + words[1]), (WHOLE, words[1] + words[0])}
+        return {(WORD, words[-1])}
+    company = company_words(name)
+    return {(WORD, words[0]), (WORD, company[0])} | ({(ACRONYM, a)} if (a := acronym(company)) else set())
 
-    letters = frozenset(often_in(chinese.select(F.explode(F.split(core("t"), "")).alias("c")).where("c <> ''"), "c", 1))
 
-    @F.pandas_udf("array<string>")
-    def rest(names: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([list((tokens(n)[:-1] if k == "person" else tokens(n)[1:]) if not _CJK.search(n) else ()) for n, k in zip(names, kinds)])
+def _one_less(word: str) -> set[str]:
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word)) if len(word) > 1}
+
+
+def word_keys(kind: str, word: str) -> set[int]:
+    """Keys of the index that a typed word is looked up by."""
+    if kind == WORD:
+        return {_hash("w", v) for v in within_two_deletions(word)} if len(word) > 2 else {_hash("e", word)}  # shorter ones stand only for themselves
+    if kind == WHOLE and reads_as_chinese(word):
+        return {_hash(WHOLE, word)}
+    return {_hash(kind, v) for v in _one_less(word)} if kind in (CORE, WHOLE) else {_hash(kind, word)}
+
+
+def anchor_keys(kind: str, word: str) -> set[int]:
+    """Keys of the index that an anchor is found by."""
+    if kind == WORD:
+        own = {_hash("e", word)} if len(word) < 3 else set()
+        return own | {_hash("w", v) for v in within_two_deletions(word)} | {_hash(CUT, word[:k]) for k in range(4, len(word))}
+    return {_hash(kind, v) for v in _one_less(word)} if kind in (CORE, WHOLE) else {_hash(kind, word)}
 
-    @F.pandas_udf("string")
-    def anchor(names: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([(tokens(n)[-1] if k == "person" else tokens(n)[0]) if tokens(n) else "" for n, k in zip(names, kinds)])
+
+def near(kind: str, typed: str, anchor: str) -> bool:
+    """Whether a typed word may stand for an anchor; keys that meet by chance or by too many edits are sorted out."""
+    if kind == WORD:
+        return anchor_cost(typed, anchor, False) < NEVER
+    if kind == CUT:
+        return anchor.startswith(typed)
+    if kind == CORE:
+        return len(typed) == len(anchor) and sum(a != b for a, b in zip(typed, anchor)) <= 1
+    return distance(typed, anchor, 1) <= 1 if kind == WHOLE else typed == anchor
+
+
+def _vocabulary(register: DataFrame) -> tuple[Chinese, frozenset[str], int]:
+    """Places and trades of the register, the letters of its cores, and the longest whole Chinese name in Latin letters; whole vocabularies."""
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple[str, str]] = []
+            for name, kind in zip(b["registered_name"], b["kind"]):
+                if _CJK.search(name):
+                    text = re.sub(r"\s", "", name.translate(str.maketrans("（）", "()")))
+                    place = re.search(r"\((.+?)\)", text)
+                    bare = re.sub(f"({'|'.join(CHINESE_LEGAL)})$", "", re.sub(r"\(.+?\)", "", text))
+                    out += [("place", place[1])] if place else []
+                    out += [("tail", bare[-k:]) for k in (2, 3, 4, 5, 6) if len(bare) > k]
+                elif kind == "person" and len(w := tokens(name)) == 2 and is_chinese_latin(*w):
+                    out.append(("length", str(len(w[0] + w[1]))))
+            yield pd.DataFrame(out, columns=["what", "text"])
+
+    counts = register.mapInPandas(pieces, "what string, text string").groupBy("what", "text").count()
+    found: dict[str, dict[str, int]] = {"place": {}, "tail": {}, "length": {}}
+    for what, text, n in counts.where("what = 'length' or what = 'place' and count >= 2 or what = 'tail' and count >= 5").collect():
+        found[what][text] = n
+    tails = found["tail"]
+    longer: dict[str, int] = {}
+    for t, n in tails.items():
+        longer[t[1:]] = max(longer.get(t[1:], 0), n)
+    # A trade ends cores of many letters: no longer ending holds a quarter of its names, and it holds a quarter of the next shorter one's.
+    trades = [t for t, n in tails.items() if longer.get(t, 0) * 4 < n and n * 4 >= tails.get(t[1:], 0)]
+    model = Chinese(list(found["place"]), trades)
 
     @F.pandas_udf("array<string>")
-    def near(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: sorted(within_two_deletions(w)))
+    def core(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: list(model.parts(n)[1]))
+
+    chinese = register.where(F.col("registered_name").rlike("[㐀-鿿]"))
+    letters = chinese.select(F.explode(core("registered_name")).alias("c")).distinct().collect()
+    return model, frozenset(r[0] for r in letters), max(map(int, found["length"]), default=0)
 
-    # Only a word that shares no key with any anchor is left out: it can anchor nothing, not even misspelt.
-    words = register.select(F.explode(rest("registered_name", "kind")).alias("w"))
-    often = sorted({*often_in(words, "w", SHARED_WORDS), *LEGAL, *TITLES})
-    anchors = register.select(anchor("registered_name", "kind").alias("w")).where("w <> ''").distinct()
-    keys = register.sparkSession.createDataFrame([(w,) for w in often], "w string").select("w", F.explode(near("w")).alias("k"))
-    hit = keys.join(anchors.select(F.explode(near("w")).alias("k")).distinct(), "k", "left_semi")
-    shared = frozenset(often) - {r[0] for r in hit.select("w").distinct().collect()}
-    return model, letters, shared
+
+def _rows_of(column: list[set], rest: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    """A row per element of each row's set, beside the row's other columns."""
+    sizes = [len(x) for x in column]
+    flat = [y for x in column for y in x]
+    made = pd.DataFrame(flat, columns=names) if flat else pd.DataFrame({n: [] for n in names})
+    return pd.concat([made, rest.loc[rest.index.repeat(sizes)].reset_index(drop=True)], axis=1)
 
 
 def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
@@ -360,32 +460,48 @@ def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
     registered one means that entry. Register rows without id or name are nobody.
     """
     register = register.where("counterparty_id is not null and registered_name is not null").select("counterparty_id", "registered_name", "kind")
-    chinese, letters, shared = _vocabulary(register)
+    chinese, letters, longest = _vocabulary(register)
+    id_type = register.schema["counterparty_id"].dataType.simpleString()
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield _rows_of([typed_words(n, chinese, longest) for n in b["name"]], b[["name"]], ["kind", "word"])
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = [_entry_keys(n, k, chinese) for n, k in zip(b["registered_name"], b["kind"])]
-            sizes = [len(k) for k in keys]
-            yield pd.DataFrame({"key": [x for k in keys for x in k], "counterparty_id": b["counterparty_id"].repeat(sizes)})
+            yield _rows_of([anchors(n, k, chinese) for n, k in zip(b["registered_name"], b["kind"])], b.rename(columns={"kind": "entry_kind"}), ["anchor_kind", "anchor"])
+
+    def keyed(keys: Callable[[str, str], set[int]]) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield _rows_of([{(x,) for x in keys(k, w)} for k, w in zip(b.iloc[:, 0], b.iloc[:, 1])], b, ["key"])
 
-    def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return run
+
+    def sort_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = [_typed_keys(n, chinese, shared) for n in b["name"]]
-            sizes = [len(k) for k in keys]
-            yield pd.DataFrame({"key": [x for k in keys for x in k], "nid": b["nid"].repeat(sizes)})
+            yield b[[near(k, w, a) for k, w, a in zip(b["kind"], b["word"], b["anchor"])]]
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cost = [link_cost(n, r, k, chinese, letters) for n, r, k in zip(b["name"], b["registered_name"], b["kind"])]
+            cost = [link_cost(n, r, k, chinese, letters) for n, r, k in zip(b["name"], b["registered_name"], b["entry_kind"])]
             yield b.assign(cost=cost).loc[lambda d: d["cost"] < NEVER, ["name", "counterparty_id", "cost"]]
 
-    id_type = register.schema["counterparty_id"].dataType.simpleString()
-    names = names.where("trim(name) <> ''").select("name", F.xxhash64("name").alias("nid"))
-    looked = names.mapInPandas(typed, "key bigint, nid bigint")
-    index = register.mapInPandas(entries, f"key bigint, counterparty_id {id_type}")
-    pairs = looked.join(index, "key").select("nid", "counterparty_id").distinct()
-    full = pairs.join(names, "nid").join(register, "counterparty_id").select("name", "counterparty_id", "registered_name", "kind")
-    costs = full.mapInPandas(decide, f"name string, counterparty_id {id_type}, cost double")
+    # Names are few bytes and much work: as many tasks as a shuffle has, however small they are.
+    names = names.where("trim(name) <> ''").select("name").repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("name"))
+    words = names.mapInPandas(split, "kind string, word string, name string")
+    index = register.mapInPandas(entries, f"anchor_kind string, anchor string, counterparty_id {id_type}, registered_name string, entry_kind string")
+    asked = words.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n"))
+    asked_keys = asked.mapInPandas(keyed(word_keys), "key bigint, kind string, word string, n bigint")
+    index_keys = index.select("anchor_kind", "anchor").distinct().mapInPandas(keyed(anchor_keys), "key bigint, anchor_kind string, anchor string")
+    met = asked_keys.join(index_keys, "key").select("kind", "word", "n", "anchor_kind", "anchor").distinct().mapInPandas(sort_out, "kind string, word string, n bigint, anchor_kind string, anchor string")
+    ensure_checkpoint_dir(names.sparkSession)
+    met = met.checkpoint()  # distinct words beside the anchors near them, read several times below
+    wanted = salted_lookup(words, met, ["kind", "word"], "name").select("name", "anchor_kind", "anchor").distinct()
+    # How many names ask for an anchor, at most, decides whether its entries are repeated.
+    asking = met.groupBy("anchor_kind", "anchor").agg(F.sum("n").alias("n"))
+    full = salted_lookup(wanted, index.join(asking, ["anchor_kind", "anchor"]), ["anchor_kind", "anchor"], "name").dropDuplicates(["name", "counterparty_id"])
+    costs = full.select("name", "counterparty_id", "registered_name", "entry_kind").mapInPandas(decide, f"name string, counterparty_id {id_type}, cost double")
     # A name written exactly like an entry means it, whatever its words are.
     same = names.join(register, names["name"] == register["registered_name"]).select("name", "counterparty_id", F.lit(-1.0).alias("cost")).distinct()
     by_cost = costs.unionByName(same).groupBy("name", F.round("cost", 6).alias("cost")).agg(F.count(F.lit(1)).alias("entries"), F.min("counterparty_id").alias("counterparty_id"))

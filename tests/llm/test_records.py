@@ -88,6 +88,39 @@ def test_assignment_is_optimal():
         assert got == (best if best < name_link.NEVER else name_link.NEVER)
 
 
+def test_assignment_with_rows_left_out_and_many_words():
+    from itertools import product
+
+    rng = random.Random(2)
+    for _ in range(200):
+        n, m = rng.randint(1, 4), rng.randint(0, 4)
+        costs = [[rng.choice([0.0, 0.5, 1.25, 2.5, name_link.NEVER]) for _ in range(m)] for _ in range(n)]
+        skip = [rng.choice([0.25, 1.0, name_link.NEVER]) for _ in range(n)]
+        ways = [w for w in product(range(m + 1), repeat=n) if len({j for j in w if j < m}) == sum(j < m for j in w)]
+        best = min(sum(skip[i] if j == m else costs[i][j] for i, j in enumerate(w)) for w in ways)
+        assert name_link.assign(costs, skip) == min(best, name_link.NEVER)
+    assert name_link.assign([[1.0 + abs(i - j) for j in range(60)] for i in range(60)], [name_link.NEVER] * 60) == 60
+
+
+NEAR_REGISTER = [
+    (1, "Zhang Wei", "person"), (2, "Zhang Xiaoming", "person"), (3, "Robert Lee", "person"), (4, "Robert Fox", "person"), (5, "BMW Motors Holding AG", "organisation"), (6, "SAP Software Group AG", "organisation"),
+    (7, "Northwind Marine Engine Repair Services Ltd", "organisation"), (8, "Quarrystone Timber Yards Ltd", "organisation"), (9, "Quillfeather Table Yards Ltd", "organisation"),
+]
+NEAR_NAMES = {
+    "Zhang Wie": 1, "Wei Zhang": 1, "Zhnag Wei": 1, "Zhang Wen": None, "zhangxiaomnig": 2, "Xiaoming, Zhang": 2, "Zhang Xiaomin": None, "Bob Lee": 3, "Lee, Robert": 3, "R. Lee": 3, "Robert Fxo": 4,
+    "BMW Motors": 5, "SAP Software AG": 6, "NMERS": 7, "nmers ltd": 7, "NME": None, "QTY": None, "Repair Services, Northwind Marine Engine": 7, "Dr. Prof. Mr. Robert Lee": 3,
+}
+
+
+def test_near_names(spark, monkeypatch):
+    records = spark.createDataFrame(list(enumerate(NEAR_NAMES)), "record_id bigint, counterparty_name string")
+    register = spark.createDataFrame(NEAR_REGISTER, "counterparty_id bigint, registered_name string, kind string")
+    for hot in (skew.HOT_ROWS, 2):
+        monkeypatch.setattr(skew, "HOT_ROWS", hot)
+        got = {r["record_id"]: r["counterparty_id"] for r in name_link.link_records(records, register).collect()}
+        assert {n: got.get(k) for k, n in enumerate(NEAR_NAMES)} == NEAR_NAMES
+
+
 FIELD = "struct<raw_text:string,suggested_text:string>"
 
 
