@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.skew import salted_lookup
-from ledgerloom.session import ensure_checkpoint_dir
+from ledgerloom.session import written
 
 # Given names and their customary short forms.
 SHORT_FORMS = {
@@ -453,11 +453,12 @@ def _rows_of(column: list[set], rest: pd.DataFrame, names: list[str]) -> pd.Data
 
 
 def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
-    """(name, counterparty_id) of distinct typed names that mean exactly one register entry.
+    """(name, n, counterparty_id, exact) of distinct typed names that mean exactly one register entry.
 
-    names has a column name, distinct; register has counterparty_id, registered_name and kind. Null and
-    blank names mean nobody, and so does a name whose best two entries fit equally well. A name equal to a
-    registered one means that entry. Register rows without id or name are nobody.
+    names has a column name, distinct, and n, how often it occurs; register has counterparty_id,
+    registered_name and kind. Null and blank names mean nobody, and so does a name whose best two entries
+    fit equally well. A name equal to a registered one means that entry. Register rows without id or name
+    are nobody. Runs jobs while the plan is built: names are split once, and what is small is known to be.
     """
     register = register.where("counterparty_id is not null and registered_name is not null").select("counterparty_id", "registered_name", "kind")
     chinese, letters, longest = _vocabulary(register)
@@ -465,7 +466,8 @@ def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield _rows_of([typed_words(n, chinese, longest) for n in b["name"]], b[["name"]], ["kind", "word"])
+            found = [typed_words(n, chinese, longest) for n in b["name"]]
+            yield b.assign(words=[[{"kind": k, "word": w} for k, w in f] for f in found])
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -484,29 +486,33 @@ def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b = b.drop_duplicates(["name", "counterparty_id"])  # a pair may meet by several words
             cost = [link_cost(n, r, k, chinese, letters) for n, r, k in zip(b["name"], b["registered_name"], b["entry_kind"])]
-            yield b.assign(cost=cost).loc[lambda d: d["cost"] < NEVER, ["name", "counterparty_id", "cost"]]
+            yield b.assign(cost=cost).loc[lambda d: d["cost"] < NEVER, ["name", "n", "counterparty_id", "cost"]]
 
     # Names are few bytes and much work: as many tasks as a shuffle has, however small they are.
-    names = names.where("trim(name) <> ''").select("name").repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("name"))
-    words = names.mapInPandas(split, "kind string, word string, name string")
-    index = register.mapInPandas(entries, f"anchor_kind string, anchor string, counterparty_id {id_type}, registered_name string, entry_kind string")
-    asked = words.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n"))
-    asked_keys = asked.mapInPandas(keyed(word_keys), "key bigint, kind string, word string, n bigint")
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = names.where("trim(name) <> ''").select("name", "n").repartition(tasks, F.xxhash64("name"))
+    names = written(names.mapInPandas(split, "name string, n bigint, words array<struct<kind:string,word:string>>"))
+    words = names.select("name", "n", F.inline("words"))
+    index = written(register.mapInPandas(entries, f"anchor_kind string, anchor string, counterparty_id {id_type}, registered_name string, entry_kind string"))
+    asked = words.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("asked"))
+    asked_keys = asked.mapInPandas(keyed(word_keys), "key bigint, kind string, word string, asked bigint")
     index_keys = index.select("anchor_kind", "anchor").distinct().mapInPandas(keyed(anchor_keys), "key bigint, anchor_kind string, anchor string")
-    met = asked_keys.join(index_keys, "key").select("kind", "word", "n", "anchor_kind", "anchor").distinct().mapInPandas(sort_out, "kind string, word string, n bigint, anchor_kind string, anchor string")
-    ensure_checkpoint_dir(names.sparkSession)
-    met = met.checkpoint()  # distinct words beside the anchors near them, read several times below
-    wanted = salted_lookup(words, met, ["kind", "word"], "name").select("name", "anchor_kind", "anchor").distinct()
+    met = asked_keys.join(index_keys, "key").select("kind", "word", "asked", "anchor_kind", "anchor").distinct()
+    met = written(met.mapInPandas(sort_out, "kind string, word string, asked bigint, anchor_kind string, anchor string"))
+    wanted = salted_lookup(words, met, ["kind", "word"], "name", "asked").select("name", "n", "anchor_kind", "anchor")
     # How many names ask for an anchor, at most, decides whether its entries are repeated.
-    asking = met.groupBy("anchor_kind", "anchor").agg(F.sum("n").alias("n"))
-    full = salted_lookup(wanted, index.join(asking, ["anchor_kind", "anchor"]), ["anchor_kind", "anchor"], "name").dropDuplicates(["name", "counterparty_id"])
-    costs = full.select("name", "counterparty_id", "registered_name", "entry_kind").mapInPandas(decide, f"name string, counterparty_id {id_type}, cost double")
+    asking = met.groupBy("anchor_kind", "anchor").agg(F.sum("asked").alias("asked"))
+    full = salted_lookup(wanted, index.join(asking, ["anchor_kind", "anchor"]), ["anchor_kind", "anchor"], "name", "asked")
+    costs = full.select("name", "n", "counterparty_id", "registered_name", "entry_kind").mapInPandas(decide, f"name string, n bigint, counterparty_id {id_type}, cost double")
     # A name written exactly like an entry means it, whatever its words are.
-    same = names.join(register, names["name"] == register["registered_name"]).select("name", "counterparty_id", F.lit(-1.0).alias("cost")).distinct()
-    by_cost = costs.unionByName(same).groupBy("name", F.round("cost", 6).alias("cost")).agg(F.count(F.lit(1)).alias("entries"), F.min("counterparty_id").alias("counterparty_id"))
-    best = by_cost.groupBy("name").agg(F.min(F.struct("cost", "entries", "counterparty_id")).alias("b"))
-    return best.where("b.entries = 1").select("name", F.col("b.counterparty_id").alias("counterparty_id"))
+    same = names.join(register, names["name"] == register["registered_name"]).select("name", "n", "counterparty_id", F.lit(-1.0).alias("cost"))
+    cost = F.round("cost", 6)
+    # The smallest and the largest entry of least cost: they differ where several fit equally well.
+    ends = costs.unionByName(same).groupBy("name", "n").agg(F.min(F.struct(cost.alias("cost"), "counterparty_id")).alias("a"), F.max(F.struct((-cost).alias("cost"), "counterparty_id")).alias("b"))
+    best = ends.where("a.counterparty_id = b.counterparty_id")
+    return best.select("name", "n", F.col("a.counterparty_id").alias("counterparty_id"), (F.col("a.cost") < 0).alias("exact"))
 
 
 def link_records(records: DataFrame, register: DataFrame, key: str = "record_id", name: str = "counterparty_name", exact_too: bool = False) -> DataFrame:
@@ -517,12 +523,9 @@ def link_records(records: DataFrame, register: DataFrame, key: str = "record_id"
     than key and name are not read. An empty table or register gives no rows.
     """
     names = records.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    register = register.dropDuplicates(["counterparty_id"])
-    linked = link_names(names.select("name"), register)
+    linked = link_names(names, register.dropDuplicates(["counterparty_id"]))
     if not exact_too:
-        exact = register.select(F.col("registered_name").alias("name"), "counterparty_id")
-        linked = linked.join(exact, ["name", "counterparty_id"], "left_anti")
-    ensure_checkpoint_dir(records.sparkSession)
-    linked = linked.join(names, "name").checkpoint()  # names are decided once
+        linked = linked.where("not exact")
+    linked = written(linked.drop("exact"))  # names are decided once
     rows = records.select(F.col(key), F.col(name).alias("name"))
     return salted_lookup(rows, linked, ["name"], key).select(key, "counterparty_id")
