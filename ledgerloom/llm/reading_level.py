@@ -3,7 +3,8 @@
 Every sentence gets a distribution over the levels from a regularised multinomial model of its words and
 characters (hashed word and character n-grams and length classes); a document's level comes from the
 distributions of its sentences, weighted by their length, through a calibration on graded documents.
-Models are trained on a bounded sample of graded documents and applied to whole texts in one scan.
+Models are trained on a bounded sample of graded documents, each fit a task of its own on the executors,
+and applied to whole texts in one scan.
 """
 
 from __future__ import annotations
@@ -14,11 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Graded documents the models are fitted on, at most: those whose hashed id is smallest.
+from ledgerloom.session import written
+
+#: Graded documents the models are fitted on, at most: those whose hashed id is smallest, whole, until they hold so many characters.
 TRAINING_DOCUMENTS = 1_500
+TRAINING_CHARACTERS = 8_000_000
+#: Parts of the sample that are graded in turn by a model fitted on the others, for the calibration.
+FOLDS = 2
 PROSE_KINDS = ("notice", "letter", "memo", "help_article")
 LEVELS = 5
 #: Documents of this level and above are demanding.
@@ -26,6 +32,7 @@ DEMANDING = 4
 
 BITS = 18
 PASS_CHARS = 1 << 19
+SLICE_FEATURES = 1 << 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,23 +145,34 @@ def sentences(texts: list[str]) -> Sentences:
     return Sentences(buckets, owners, text, ink)
 
 
-def sentences_by_pass(texts: list[str]) -> Sentences:
-    """sentences(), some texts at a time, so that its working arrays stay small whatever the texts' total length."""
-    done: list[Sentences] = []
-    a = count = 0
+@dataclass
+class Features:
+    """Hashed features of many sentences, one sentence after the other: those of sentence k are bucket[at[k]:at[k + 1]]."""
+
+    bucket: np.ndarray
+    at: np.ndarray
+    text: np.ndarray
+    size: np.ndarray
+
+
+def features(texts: list[str]) -> Features:
+    """sentences(), some texts at a time: four bytes a feature are all that is held of texts of any total length."""
+    buckets, lengths, owners, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a = 0
     while a < len(texts):
         b, chars = a, 0
         while b < len(texts) and (b == a or chars + len(texts[b]) <= PASS_CHARS):
             chars += len(texts[b])
             b += 1
         s = sentences(texts[a:b])
-        done.append(Sentences(s.buckets, [(o + count).astype(np.int32) for o in s.owners], s.text + a, s.size))
-        count += len(s.text)
+        if len(s.text):
+            owner = np.concatenate(s.owners)
+            buckets.append(np.concatenate(s.buckets)[np.argsort(owner, kind="stable")])
+            lengths.append(np.bincount(owner, minlength=len(s.text)))
+        owners.append(s.text + a)
+        sizes.append(s.size)
         a = b
-    none = np.zeros(0, np.int64)
-    return Sentences(
-        [b for s in done for b in s.buckets], [o for s in done for o in s.owners], np.concatenate([none, *[s.text for s in done]]), np.concatenate([none, *[s.size for s in done]])
-    )
+    return Features(np.concatenate(buckets), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), np.concatenate(owners), np.concatenate(sizes))
 
 
 class LevelModel:
@@ -174,7 +192,20 @@ class LevelModel:
                 features[owner[at]] += np.diff(np.append(at, len(owner)))
         return _softmax(score / np.sqrt(np.maximum(features, 1))[:, None] + self.bias)
 
-    def profile(self, s: Sentences, levels: np.ndarray, texts: int) -> np.ndarray:
+    def levels_of(self, s: Features) -> np.ndarray:
+        """sentence_levels of many sentences, a slice of features at a time."""
+        count = len(s.text)
+        score, a = np.zeros((count, LEVELS)), 0
+        length = np.diff(s.at)
+        while a < count:
+            b = max(a + 1, int(np.searchsorted(s.at, s.at[a] + SLICE_FEATURES, "right")) - 1)
+            some = a + np.flatnonzero(length[a:b])
+            if len(some):
+                score[some] = np.add.reduceat(self.weights[s.bucket[s.at[a] : s.at[b]]], s.at[some] - s.at[a], axis=0)
+            a = b
+        return _softmax(score / np.sqrt(np.maximum(length, 1))[:, None] + self.bias)
+
+    def profile(self, s: Sentences | Features, levels: np.ndarray, texts: int) -> np.ndarray:
         """A document's sentence distributions in one row: means by length and by sentence, and the share of text at each level."""
         size = s.size.astype(np.float64)
         hard = np.eye(LEVELS)[levels.argmax(1)] if len(levels) else np.zeros((0, LEVELS))
@@ -182,11 +213,6 @@ class LevelModel:
         weight = [np.bincount(s.text, w, texts)[:, None] for w in (size, size, (size > 0) * 1.0, size)]
         return np.concatenate([c / np.maximum(w, 1e-9) for c, w in zip(columns, weight)], 1)
 
-    def document_levels(self, texts: list[str]) -> np.ndarray:
-        """Calibrated distribution over the levels of each document."""
-        s = sentences(texts)
-        return self.calibrated(self.profile(s, self.sentence_levels(s), len(texts)))
-
     def calibrated(self, profile: np.ndarray) -> np.ndarray:
         return _softmax(np.concatenate([profile, np.ones((len(profile), 1))], 1) @ self.calibration)
 
@@ -196,13 +222,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True) if len(x) else x
 
 
-def _fit_sentences(s: Sentences, target: np.ndarray, weight: np.ndarray, epochs: int, seed: int, batch: int = 256, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+def _fit_sentences(s: Features, target: np.ndarray, epochs: int, seed: int, batch: int = 256, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial regression of sentence levels on hashed features by AdaGrad with L2 shrinkage."""
-    bucket, owner = np.concatenate(s.buckets), np.concatenate(s.owners)
-    order = np.argsort(owner, kind="stable")
-    bucket, owner = bucket[order], owner[order]
-    count = len(s.text)
-    at = np.searchsorted(owner, np.arange(count + 1))
+    bucket, at = s.bucket, s.at
     scale = 1 / np.sqrt(np.maximum(np.diff(at), 1))
     w, g2 = np.zeros((1 << BITS, LEVELS), np.float32), np.full((1 << BITS, 1), 1e-2, np.float32)
     bias = np.zeros(LEVELS)
@@ -217,7 +239,7 @@ def _fit_sentences(s: Sentences, target: np.ndarray, weight: np.ndarray, epochs:
             b = bucket[pick]
             begins = np.concatenate([[0], np.cumsum(lens)[:-1]])
             score = np.add.reduceat(w[b], begins, axis=0) * scale[rows][:, None] + bias
-            error = ((_softmax(score) - target[rows]) * weight[rows][:, None]).astype(np.float32)
+            error = (_softmax(score) - target[rows]).astype(np.float32)
             bias -= 0.05 * error.mean(0)
             slope = np.repeat(error * scale[rows][:, None].astype(np.float32), lens, axis=0)
             by = np.argsort(b, kind="stable")
@@ -242,64 +264,92 @@ def _fit_calibration(profile: np.ndarray, target: np.ndarray, ridge: float = 1e-
     return w
 
 
-def train(texts: list[str], grades: np.ndarray, epochs: int = 3, folds: int = 2, seed: int = 7) -> LevelModel:
-    """Fit on graded texts; grades has a row per text with the shares of its gradings at each level.
+def fit(texts: list[str], grades: np.ndarray, epochs: int = 3, seed: int = 7) -> LevelModel:
+    """Sentence model of graded texts, without calibration; grades has a row per text with the shares of its gradings at each level.
 
-    The calibration sees sentence levels of texts that their sentence model was not fitted on. After a
-    first fit, sentence targets are the document's grade tempered by the model's own view of the sentence,
-    so that sentences of another level than their document's do not teach its level.
+    After a first fit, sentence targets are the document's grade tempered by the model's own view of the
+    sentence, so that sentences of another level than their document's do not teach its level.
     """
-    texts, grades = list(texts), np.asarray(grades, np.float64)
-    fold = np.arange(len(texts)) % folds
-    profiles = np.zeros((len(texts), 4 * LEVELS))
     blank = np.zeros((4 * LEVELS + 1, LEVELS))
-
-    def fit(rows: np.ndarray) -> LevelModel:
-        s = sentences_by_pass([texts[k] for k in rows])
-        given = grades[rows][s.text]
-        weight = np.ones(len(s.text))
-        model = LevelModel(*_fit_sentences(s, given, weight, epochs, seed), blank)
-        near = given @ (np.eye(LEVELS) * 0.7 + 0.1 * (np.abs(np.subtract.outer(range(LEVELS), range(LEVELS))) == 1) + 0.05)
-        mixed = model.sentence_levels(s) * near
-        return LevelModel(*_fit_sentences(s, mixed / mixed.sum(1, keepdims=True), weight, epochs, seed), blank)
-
-    for f in range(folds):
-        rows = np.flatnonzero(fold == f)
-        model = fit(np.flatnonzero(fold != f))
-        s = sentences_by_pass([texts[k] for k in rows])
-        profiles[rows] = model.profile(s, model.sentence_levels(s), len(rows))
-    final = fit(np.arange(len(texts)))
-    return LevelModel(final.weights, final.bias, _fit_calibration(profiles, grades))
+    s = features(texts)
+    given = grades[s.text]
+    model = LevelModel(*_fit_sentences(s, given, epochs, seed), blank)
+    near = given @ (np.eye(LEVELS) * 0.7 + 0.1 * (np.abs(np.subtract.outer(range(LEVELS), range(LEVELS))) == 1) + 0.05)
+    mixed = model.levels_of(s) * near
+    return LevelModel(*_fit_sentences(s, mixed / mixed.sum(1, keepdims=True), epochs, seed), blank)
+
+
+def _fit_role(rows: pa.Table) -> pa.Table:
+    """One of the fits over the sample: for a fold, profiles of its documents by a model of the others; for role FOLDS, the model of all."""
+    rows = rows.sort_by("doc_id")
+    role = rows.column("role")[0].as_py()
+    texts, grades = rows.column("text").to_pylist(), np.array(rows.column("grades").to_pylist(), np.float64)
+    grades /= np.maximum(grades.sum(1, keepdims=True), 1)
+    if role == FOLDS:
+        model = fit(texts, grades)
+        out = [("weights", None, model.weights.tobytes()), ("bias", None, model.bias.tobytes())]
+    else:
+        held = np.arange(len(texts)) % FOLDS == role
+        model = fit([t for t, h in zip(texts, held) if not h], grades[~held])
+        s = features([t for t, h in zip(texts, held) if h])
+        profiles = model.profile(s, model.levels_of(s), int(held.sum()))
+        out = [("profile", grade.tobytes(), p.tobytes()) for grade, p in zip(grades[held], profiles)]
+    return pa.table({"what": [o[0] for o in out], "grade": pa.array([o[1] for o in out], pa.binary()), "value": pa.array([o[2] for o in out], pa.binary())})
 
 
 _INK = r"[^\s\p{Z}\p{Cf}]"
 
 
-def graded_sample(documents: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS) -> tuple[list[str], np.ndarray]:
-    """Texts and grade shares of at most ``most`` graded documents with text, those of smallest hashed id."""
+def graded_sample(documents: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS, characters: int = TRAINING_CHARACTERS) -> DataFrame:
+    """(doc_id, text, grades ARRAY<BIGINT>): graded documents with text and how many gradings each level has.
+
+    At most ``most`` of them, by hashed id, and only so many that those before the last hold fewer than
+    ``characters``; texts are whole. Of a repeated doc_id one text counts.
+    """
     counts = [F.count_if(F.col("reading_level") == k).alias(f"g{k}") for k in range(1, LEVELS + 1)]
     grades = labels.where(F.col("doc_id").isNotNull() & F.col("reading_level").between(1, LEVELS)).groupBy("doc_id").agg(*counts).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.where(F.col("text").rlike(_INK)).select("doc_id", "text")
-    rows = texts.join(F.broadcast(grades), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most ``most`` rows
-    given = np.array([[r[f"g{k}"] for k in range(1, LEVELS + 1)] for r in rows], np.float64).reshape(len(rows), LEVELS)
-    return [r["text"] for r in rows], given / np.maximum(given.sum(1, keepdims=True), 1)
+    # At most ``most`` ids are broadcast, and only their texts are looked at.
+    found = documents.select("doc_id", "text").join(F.broadcast(grades.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.max(F.when(F.col("text").rlike(_INK), F.col("text"))).alias("text")).where("text is not null")
+    sample = written(found.join(grades, "doc_id").select("doc_id", "text", F.array(*[f"g{k}" for k in range(1, LEVELS + 1)]).alias("grades")))
+    # One window over at most ``most`` rows of two numbers.
+    before = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    kept = sample.select("doc_id", F.length("text").cast("bigint").alias("size")).withColumn("before", before).where(F.coalesce("before", F.lit(0)) < characters)
+    return sample.join(F.broadcast(kept.select("doc_id")), "doc_id", "left_semi")
+
 
+def train(sample: DataFrame) -> LevelModel | None:
+    """Model of a graded sample; None for fewer than two documents.
 
-def reading_levels(documents: DataFrame, labels: DataFrame, kinds: tuple[str, ...] = PROSE_KINDS, training_documents: int = TRAINING_DOCUMENTS) -> DataFrame:
+    Each fit is a task on the executors. What comes back to the driver is bounded by the sample's documents
+    and the model's size: some numbers a document, and some megabytes of weights.
+    """
+    # Twice as many partitions as roles: so each role has a task of its own.
+    roles = sample.withColumn("role", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).repartition(2 * (FOLDS + 1), "role")
+    rows = roles.groupBy("role").applyInArrow(_fit_role, "what string, grade binary, value binary").collect()
+    held = [(np.frombuffer(r["grade"]), np.frombuffer(r["value"])) for r in rows if r["what"] == "profile"]
+    if len(held) < 2:
+        return None
+    of = {r["what"]: np.frombuffer(r["value"], np.float32) for r in rows if r["what"] != "profile"}
+    held.sort(key=lambda x: x[1].tobytes())  # rows come back in no order
+    return LevelModel(of["weights"].reshape(-1, LEVELS), of["bias"], _fit_calibration(np.stack([p for _, p in held]), np.stack([g for g, _ in held])))
+
+
+def reading_levels(documents: DataFrame, labels: DataFrame, kinds: tuple[str, ...] = PROSE_KINDS, training_documents: int = TRAINING_DOCUMENTS, training_characters: int = TRAINING_CHARACTERS) -> DataFrame:
     """(doc_id, level INT, demanding DOUBLE, shares ARRAY<DOUBLE>) of every document of the given kinds that has text.
 
     level is the most likely level of the whole text, demanding the probability of DEMANDING and above,
     shares the mean distribution of its sentences. Null, empty and blank texts and other kinds give no row;
-    repeated rows stay repeated. Models are fitted on at most ``training_documents`` graded documents; with
-    fewer than two there is no model and no row. Texts are used whole, whatever their length.
+    repeated rows stay repeated. Models are fitted, while the plan is built, on at most ``training_documents``
+    graded documents of some ``training_characters`` together; with fewer than two there is no model and no
+    row. Texts are used whole, whatever their length.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, level int, demanding double, shares array<double>"
     spark = documents.sparkSession
-    texts, grades = graded_sample(documents, labels, training_documents)
-    if len(texts) < 2:
+    trained = train(graded_sample(documents, labels, training_documents, training_characters))
+    if trained is None:
         return spark.createDataFrame([], schema)
-    model = spark.sparkContext.broadcast(train(texts, grades))  # some megabytes, whatever the data
+    model = spark.sparkContext.broadcast(trained)  # some megabytes, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

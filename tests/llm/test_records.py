@@ -242,6 +242,31 @@ def test_reading_levels_held_out(spark):
     assert reading_level.reading_levels(df.limit(0), given).count() == 0
 
 
+def test_sample_is_bounded_and_whole(spark):
+    rows, labels = corpus(60, 2)
+    df = spark.createDataFrame([(k, t, kind) for k, t, kind, _ in rows] + [(0, "", "memo")] * 3, "doc_id bigint, text string, kind string")
+    given = spark.createDataFrame(labels, "doc_id bigint, reading_level int, grader string")
+    texts = {k: t for k, t, *_ in rows}
+    for most, characters in ((20, 10**9), (60, 5_000), (60, 1), (0, 10**9)):
+        got = reading_level.graded_sample(df, given, most, characters).collect()
+        assert all(r["text"] == texts[r["doc_id"]] and sum(r["grades"]) == 1 for r in got)
+        assert len(got) == {20: 20, 0: 0}.get(most, 1 if characters == 1 else len(got)) and sum(len(r["text"]) for r in got) < characters + 2_000
+    assert len(reading_level.graded_sample(df, given).collect()) == 60
+
+
+def test_features_are_those_of_single_texts(monkeypatch):
+    texts = ["One two. Three? no.", "", "你好。再见！", "a\nb", "x" * 500, "", "Last one."]
+    whole = reading_level.features(texts)
+    monkeypatch.setattr(reading_level, "PASS_CHARS", 10)
+    apart = reading_level.features(texts)
+    assert apart.at.tolist() == whole.at.tolist() and apart.text.tolist() == whole.text.tolist() and apart.size.tolist() == whole.size.tolist()
+    for k in range(len(whole.text)):
+        assert sorted(apart.bucket[apart.at[k] : apart.at[k + 1]]) == sorted(whole.bucket[whole.at[k] : whole.at[k + 1]])
+    model = reading_level.LevelModel(np.random.default_rng(1).normal(size=(1 << reading_level.BITS, reading_level.LEVELS)), np.zeros(reading_level.LEVELS), np.zeros((1, 1)))
+    monkeypatch.setattr(reading_level, "SLICE_FEATURES", 7)
+    assert np.allclose(model.levels_of(apart), model.sentence_levels(reading_level.sentences(texts)), atol=1e-5)
+
+
 def test_sentences_and_passes():
     texts = ["One two. Three? no.", "", "你好。再见！", "a\nb", "x" * 500]
     s = reading_level.sentences(texts)
