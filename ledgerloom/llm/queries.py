@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import canonical_text, dress_dedup, name_link, packing, reading_level, tokenize
 from ledgerloom.plans.general_data import AMOUNT_SQL
@@ -40,6 +41,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document decoded from its ids: digest and bytes of the text, and whether its last token begins inside of it."""
+    encoded = tokenize.encode_documents(table(spark, sf_dir, "documents"), offsets=True)
+    last = encoded.withColumn("last_offset", F.coalesce(F.get("offsets", F.size("offsets") - 1), F.lit(-1)))
+    size = F.octet_length("text")
+    return tokenize.decode_documents(last, keep=("last_offset",)).select("doc_id", F.md5("text").alias("digest"), size.alias("bytes"), (F.col("last_offset") < size).alias("inside"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -64,6 +73,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_records": p5_records,
     "p6_ids": p6_ids,
+    "p6_decoded": p6_decoded,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
@@ -87,6 +97,7 @@ GROUP BY candidate_id
 """
 
 ORACLE = {
+    "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(strlen(coalesce(text, '')) AS INTEGER) AS bytes, true AS inside FROM documents",
     "p5_found": f"""
 WITH keys AS ({_P5_KEYS})
 SELECT candidate_id_a, candidate_id AS candidate_id_b

@@ -1,10 +1,10 @@
 """Problem 6: the corpus as token ids of a public byte-level BPE tokenizer.
 
 Pre-tokenisation finds the boundaries of a whole batch at once on code point arrays, without regular
-expressions: each code point has a class, the transition of the splitting automaton at a code point
-depends on its neighbours' classes only or on where its run of one class began, and that is a
-cumulative-maximum scan, which is associative. Slices are then cut further where no vocabulary entry
-spans a pair of bytes, so that no merge can cross the cut, and merged through a memo.
+expressions: each code point has a class, each class is a transition function of a small automaton, and the
+functions are composed by an associative scan, block by block, over the table of their products. Slices are
+then cut further where no vocabulary entry spans a pair of bytes, so that no merge can cross the cut, and
+merged through a memo. Byte offsets of the tokens may be kept, and ids decode to the exact text.
 """
 
 from __future__ import annotations
@@ -51,35 +51,104 @@ def _classes() -> np.ndarray:
     return table
 
 
-def token_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where pre-tokens start, as a mask over the code points of many texts; first marks each text's first code point."""
+# States of the splitting automaton: nothing open, a run of one class open, a plain space that leads the next run, white space open, one or two more letters of a contraction to come.
+IDLE, RUN, JOINED, BLANKS, ONE_MORE, TWO_MORE, N_STATES = 0, (1, 2, 3), 4, 5, 6, 7, 8
+# Symbols: a code point of a run (by class), an apostrophe before a contraction's one or two letters, white space before white space or the end, before a run (plain, other).
+SHORT_QUOTE, LONG_QUOTE, BLANK, JOINING, LONE, N_SYMBOLS = 3, 4, 5, 6, 7, 8
+#: Code points whose functions are composed one after the other; blocks run side by side.
+BLOCK = 64
+
+
+def _step(state: int, symbol: int) -> tuple[bool, int]:
+    """Whether a pre-token starts at a symbol read in a state, and the state after it."""
+    if state == TWO_MORE:
+        return False, ONE_MORE
+    if state == ONE_MORE:
+        return False, IDLE
+    if symbol in (JOINING, LONE):
+        return True, JOINED if symbol == JOINING else IDLE
+    if symbol == BLANK:
+        return state != BLANKS, BLANKS
+    run = RUN[symbol] if symbol < SHORT_QUOTE else RUN[OTHER]
+    if state in (JOINED, run):
+        return False, run
+    return True, {SHORT_QUOTE: ONE_MORE, LONG_QUOTE: TWO_MORE}.get(symbol, run)
+
+
+class Automaton:
+    """Transition functions of all symbols, closed under composition, with the table of their products.
+
+    A symbol from N_SYMBOLS on is the first of a text: whatever the state, it is read with nothing open.
+    """
+
+    def __init__(self) -> None:
+        steps = [[_step(q if a < N_SYMBOLS else IDLE, a % N_SYMBOLS) for q in range(N_STATES)] for a in range(2 * N_SYMBOLS)]
+        self.starts = np.array([[s for s, _ in row] for row in steps]).T.copy()  # by state before, symbol
+        generators = [tuple(q for _, q in row) for row in steps]
+        known = {f: k for k, f in enumerate(dict.fromkeys(generators))}
+        found = list(known)
+        for f in found:  # grows while new products turn up
+            for g in generators:
+                if (h := tuple(g[q] for q in f)) not in known:
+                    known[h] = len(found)
+                    found.append(h)
+        self.of_symbol = np.array([known[g] for g in generators], np.uint16)
+        self.after = np.array(found, np.uint8)  # by function, state before
+        self.product = np.array([[known[tuple(g[q] for q in f)] for g in found] for f in found], np.uint16)
+
+    def scan(self, functions: np.ndarray) -> np.ndarray:
+        """The state before each of some functions that run one after the other, from nothing open."""
+        n, size = len(functions), len(self.product)
+        if n <= BLOCK:
+            state, out = IDLE, np.empty(n, np.uint8)
+            for k, f in enumerate(functions.tolist()):
+                out[k] = state
+                state = self.after[f, state]
+            return out
+        blocks = -(-n // BLOCK)
+        grid = np.zeros(blocks * BLOCK, np.uint16)
+        grid[:n] = functions
+        grid = np.ascontiguousarray(grid.reshape(blocks, BLOCK).T)
+        product = self.product.ravel()
+        for k in range(1, BLOCK):
+            grid[k] = product[grid[k - 1].astype(np.uint32) * size + grid[k]]
+        entry = self.scan(grid[-1])
+        out = np.empty((BLOCK, blocks), np.uint8)
+        out[0] = entry
+        out[1:] = self.after.ravel()[grid[:-1].astype(np.uint32) * N_STATES + entry]
+        return out.T.ravel()[:n]
+
+
+@functools.cache
+def automaton() -> Automaton:
+    return Automaton()
+
+
+def symbols(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Symbols of the code points of many texts; all look-ahead of the splitting is in them."""
     n = len(codes)
     classes = _classes()[codes]
-    starts = first.copy()
-    starts[1:] |= classes[1:] != classes[:-1]
-    runs = starts.copy()
-
-    # White space before text: its last code point stands alone, or leads the next run where it is a plain space.
-    after = np.flatnonzero(runs[1:] & ~first[1:] & (classes[:-1] == SPACE)) + 1
-    starts[after - 1] = True
-    starts[after[codes[after - 1] == 0x20]] = False
-
-    # A run that starts with an apostrophe and no joined space gives up a contraction.
-    quote = np.flatnonzero(starts & (codes == 0x27))
-    quote = quote[quote + 1 < n]
-    quote = quote[~first[quote + 1]]
+    out = classes.copy()
+    follows = np.append(~first[1:], False)  # another code point of the same text
+    blank = classes == SPACE
+    leads = blank & follows & ~np.append(blank[1:], False)
+    out[blank] = BLANK
+    out[leads] = np.where(codes[leads] == 0x20, JOINING, LONE)
+    quote = np.flatnonzero((codes == 0x27) & follows)
     if len(quote):
         one = codes[quote + 1]
-        two = np.where((quote + 2 < n) & ~first[np.minimum(quote + 2, n - 1)], codes[np.minimum(quote + 2, n - 1)], 0)
-        long = np.zeros(len(quote), np.bool_)
+        two = np.where(follows[quote + 1], codes[np.minimum(quote + 2, n - 1)], 0)
+        out[quote[np.isin(one, [ord(c) for c in ONE_LETTER_ENDINGS])]] = SHORT_QUOTE
         for a, b in TWO_LETTER_ENDINGS:
-            long |= (one == ord(a)) & (two == ord(b))
-        short = np.isin(one, [ord(c) for c in ONE_LETTER_ENDINGS])
-        hit = long | short
-        starts[quote[hit] + 1] = False
-        ends = quote[hit] + np.where(long[hit], 3, 2)
-        starts[ends[ends < n]] = True
-    return starts
+            out[quote[(one == ord(a)) & (two == ord(b))]] = LONG_QUOTE
+    out[first] += N_SYMBOLS
+    return out
+
+
+def token_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where pre-tokens start, as a mask over the code points of many texts; first marks each text's first code point."""
+    machine, read = automaton(), symbols(codes, first)
+    return machine.starts[machine.scan(machine.of_symbol[read]), read]
 
 
 class Encoder:
@@ -89,6 +158,8 @@ class Encoder:
         with open(vocabulary, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.sizes = np.zeros(max(self.tokens, default=0) + 1, np.int32)
+        self.sizes[list(self.tokens)] = [len(t) for t in self.tokens.values()]
         #: Pairs of adjacent bytes inside any vocabulary entry: merges never cross another pair.
         self.joinable = np.zeros((256, 256), np.bool_)
         for token in self.ranks:
@@ -159,7 +230,8 @@ class Encoder:
 
     def offsets(self, ids: list[int]) -> list[int]:
         """Byte offset where each token begins in its text."""
-        return np.concatenate([[0], np.cumsum([len(self.tokens[i]) for i in ids])])[:-1].astype(int).tolist() if ids else []
+        ends = np.cumsum(self.sizes[ids]) if ids else np.zeros(0, int)
+        return [0, *ends.tolist()][:-1] if ids else []
 
     def decode(self, ids: list[int]) -> str:
         """The text of token ids; the exact inverse of encoding a whole text."""
@@ -185,44 +257,79 @@ def passes(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
         a = b
 
 
-def _per_batch(vocabulary: str, finish: Callable[[list[tuple[int, ...]], np.ndarray], pa.Array], name: str, keep: list[str], text: str) -> Callable:
+def _per_batch(vocabulary: str, finish: Callable[[Encoder, list[tuple[int, ...]], np.ndarray], list[pa.Array]], names: list[str], keep: list[str], text: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
             at = 0
             for data, sizes in passes(batch.column(text)):
-                made = finish(*bpe.encode(data, sizes))
+                made = finish(bpe, *bpe.encode(data, sizes))
                 rows = batch.slice(at, len(sizes))
                 at += len(sizes)
-                yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in keep], made], names=[*keep, name])
+                yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in keep], *made], names=[*keep, *names])
 
     return run
 
 
-def _id_lists(ids: list[tuple[int, ...]], bounds: np.ndarray) -> pa.Array:
+def _flat(ids: list[tuple[int, ...]], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and where each text's begin (one more at the end)."""
     ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(flat))
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])), ends[bounds]
+
 
+def _id_lists(_: Encoder, ids: list[tuple[int, ...]], bounds: np.ndarray) -> list[pa.Array]:
+    flat, begins = _flat(ids, bounds)
+    return [pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(flat))]
 
-def _counts(ids: list[tuple[int, ...]], bounds: np.ndarray) -> pa.Array:
+
+def _ids_and_offsets(bpe: Encoder, ids: list[tuple[int, ...]], bounds: np.ndarray) -> list[pa.Array]:
+    flat, begins = _flat(ids, bounds)
+    ends = np.concatenate([[0], np.cumsum(bpe.sizes[flat], dtype=np.int64)])
+    offsets = ends[:-1] - np.repeat(ends[begins[:-1]], np.diff(begins))
+    at = pa.array(begins.astype(np.int32))
+    return [pa.ListArray.from_arrays(at, pa.array(flat)), pa.ListArray.from_arrays(at, pa.array(offsets.astype(np.int32)))]
+
+
+def _counts(_: Encoder, ids: list[tuple[int, ...]], bounds: np.ndarray) -> list[pa.Array]:
     ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-    return pa.array(np.diff(ends[bounds]).astype(np.int32))
+    return [pa.array(np.diff(ends[bounds]).astype(np.int32))]
+
+
+def _encoded(documents: DataFrame, vocabulary: str | None, key: str, text: str, finish: Callable, columns: dict[str, str]) -> DataFrame:
+    rows = documents.select(key, text)
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.mapInArrow(_per_batch(vocabulary or default_vocabulary(), finish, list(columns), [key], text), f"`{key}` {kind}, " + ", ".join(f"{n} {t}" for n, t in columns.items()))
 
 
-def encode_documents(documents: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(documents: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
     """(key, ids ARRAY<INT>) of every row, one scan and no shuffle; null and empty texts give an empty array.
 
     ids are those of the vocabulary without special tokens, whose strings are ordinary text. Repeated rows
-    stay repeated; other columns are not read.
+    stay repeated; other columns are not read. With ``offsets`` there is a column offsets ARRAY<INT> too: the
+    byte of the text's UTF-8 where each token begins.
     """
-    rows = documents.select(key, text)
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_per_batch(vocabulary or default_vocabulary(), _id_lists, "ids", [key], text), f"`{key}` {kind}, ids array<int>")
+    if offsets:
+        return _encoded(documents, vocabulary, key, text, _ids_and_offsets, {"ids": "array<int>", "offsets": "array<int>"})
+    return _encoded(documents, vocabulary, key, text, _id_lists, {"ids": "array<int>"})
 
 
 def count_tokens(documents: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens INT) of every row; null and empty texts have 0."""
-    rows = documents.select(key, text)
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_per_batch(vocabulary or default_vocabulary(), _counts, "n_tokens", [key], text), f"`{key}` {kind}, n_tokens int")
+    return _encoded(documents, vocabulary, key, text, _counts, {"n_tokens": "int"})
+
+
+def decode_documents(encoded: DataFrame, vocabulary: str | None = None, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, text) of every row of ids, and the columns to keep; the inverse of encode_documents but that a null text comes back empty.
+
+    Null ids give a null text; ids outside the vocabulary are refused.
+    """
+    path = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(path)
+        for batch in batches:
+            texts = [None if ids is None else bpe.decode(ids) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (key, *keep)], pa.array(texts, pa.string())], names=[key, *keep, "text"])
+
+    rows = encoded.select(key, "ids", *keep)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep)) + ", text string")

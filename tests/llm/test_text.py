@@ -92,6 +92,32 @@ def test_round_trip(texts):
         assert [bpe.tokens[i] for i in ids] == [data[a:b] for a, b in zip(at, [*at[1:], len(data)])]
 
 
+def test_scan_is_the_automaton(monkeypatch):
+    import numpy as np
+
+    machine, rng = tokenize.automaton(), np.random.default_rng(4)
+    assert len(machine.product) < 1000
+    for block in (2, 3, 64):
+        monkeypatch.setattr(tokenize, "BLOCK", block)
+        for n in (0, 1, 2, 5, 64, 65, 1000, 4097):
+            read = rng.integers(0, 2 * tokenize.N_SYMBOLS, n)
+            state, expected = tokenize.IDLE, []
+            for a in read.tolist():
+                expected.append(state)
+                state = tokenize._step(tokenize.IDLE if a >= tokenize.N_SYMBOLS else state, a % tokenize.N_SYMBOLS)[1]
+            assert machine.scan(machine.of_symbol[read]).tolist() == expected
+
+
+def test_offsets_and_decoding(spark, bpe):
+    rows = [(1, "Hello world's end\n\n你好"), (2, None), (3, ""), (None, "x"), (4, "word " * 9000), (4, "word " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    encoded = tokenize.encode_documents(df, offsets=True)
+    for r in encoded.collect():
+        assert r["offsets"] == bpe.offsets(r["ids"])
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(map(tuple, tokenize.decode_documents(encoded).collect()), key=key) == sorted(((d, t or "") for d, t in rows), key=key)
+
+
 def test_long_runs(bpe, reference):
     for t in ("a" * 3000, "=" * 5000, "你" * 2000, " " * 3000, "ab" * 2000 + "\n"):
         assert bpe.encode_texts([t, ""]) == [reference.encode_ordinary(t), []]
