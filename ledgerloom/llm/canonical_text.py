@@ -2,9 +2,9 @@
 
 A transducer over grapheme clusters is compiled once per process: single code points go through a
 flat table, clusters of several code points through a trie of canonical compositions, longest match
-first. Both are precomputed from the Unicode character database plus a short list of look-alikes and
-are checked for conflicts before use. Batches run as code point arrays, so only clusters with
-combining marks, each memoised, are touched one by one.
+first. Both are precomputed from the Unicode character database plus a list of look-alikes and are
+checked for conflicts before use. Batches run as code point arrays, so only clusters with combining
+marks, each memoised, are touched one by one.
 """
 
 from __future__ import annotations
@@ -19,17 +19,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts that are drawn like a Latin letter of the same case.
+# Letters that are drawn like another one, mostly a Latin letter of the same case, beside that letter.
 LOOK_ALIKES = {
-    # Cyrillic
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W",
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ү": "y",
-    # Greek
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
-    # Armenian
-    "Օ": "O", "Ս": "U", "օ": "o", "ս": "u", "հ": "h",
-}
+    drawn: plain
+    for letters, meant in (
+        ("АВСЕНІЈКМОРЅТХУҮԚԜѴӀӘӨӔӠ", "ABCEHIJKMOPSTXYYQWVIƏƟÆƷ"),  # Cyrillic
+        ("асԁеһіјӏорԛѕѵԝхуүәөӕӡ", "acdehijlopqsvwxyyəɵæʒ"),
+        ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),  # Greek
+        ("αορυνϲϳκ", "aopuvcjĸ"),
+        ("ՕՍԼՏ", "OULS"),  # Armenian
+        ("օսհոյ", "ouhnj"),
+        ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃᎽ", "ABCDEGHJKLMPRSTVWZY"),  # Cherokee
+        ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),  # Lisu
+        ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬ", "ABEHIKMNOPCTX"),  # Coptic
+        ("ⲟⲣⲥ", "opc"),
+        ("ɑɡ", "ag"),  # Latin letters of phonetic script
+    )
+    for drawn, plain in zip(letters, meant, strict=True)
+}
 
 #: Compatibility mappings that leave the look of a letter or sign as it is; superscripts, fractions, circled and squared forms look different.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
@@ -40,6 +47,26 @@ SPACES = {0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85}
 MARK, JAMO = 1, 2
 
 
+def _spelled_hangul(o: int) -> str:
+    """The joining letters of a Korean syllable."""
+    rest, last = divmod(o - 0xAC00, 28)
+    return chr(0x1100 + rest // 21) + chr(0x1161 + rest % 21) + (chr(0x11A7 + last) if last else "")
+
+
+def _marks_in_order(text: str) -> list[str]:
+    """The code points, each run of marks by their combining classes."""
+    out: list[str] = []
+    run: list[str] = []
+    for c in text:
+        if unicodedata.combining(c):
+            run.append(c)
+        else:
+            out += sorted(run, key=unicodedata.combining)
+            out.append(c)
+            run = []
+    return out + sorted(run, key=unicodedata.combining)
+
+
 class Transducer:
     """Compiled mapping of grapheme clusters to their consistent form."""
 
@@ -71,6 +98,8 @@ class Transducer:
                 self.length[o], self.offset[o] = len(whole), n + len(pool)
                 pool += map(ord, whole)
         self.pool = np.concatenate([np.arange(n, dtype=np.uint32), np.array(pool, np.uint32)])
+        for o in range(0xAC00, 0xD7A4):
+            self._insert(_spelled_hangul(o), chr(o))
         self.memo: dict[str, str] = {}
         self._check()
 
@@ -82,7 +111,9 @@ class Transducer:
         if (unicodedata.category(c) in ("Cf", "Cc") and o > 0x7F) or o in NO_INK or o < 0x20 or o == 0x7F:
             return ""
         if c in LOOK_ALIKES:
-            return LOOK_ALIKES[c]
+            return self._parts(LOOK_ALIKES[c])
+        if 0x3131 <= o < 0x318F:
+            return c  # a Korean letter that stands alone, unlike the ones that join
         mapping = unicodedata.decomposition(c)
         if not mapping:
             return c
@@ -113,39 +144,39 @@ class Transducer:
             if out != c and any(self.decomposed.get(x, x) not in (x, unicodedata.normalize("NFD", x)) for x in out):
                 raise ValueError(f"{c!r} maps to {out!r}, which is mapped again")
         for a, b in LOOK_ALIKES.items():
-            if a.isupper() != b.isupper():
+            if (a.isupper(), a.islower()) != (b.isupper(), b.islower()) and a.lower() != a.upper():
                 raise ValueError(f"{a!r} and {b!r} differ in case")
 
     def cluster(self, text: str) -> str:
-        """Output of a cluster of several code points: decompose, order the marks, then compose by longest match."""
+        """Output of a cluster of several code points: spell it out, order the marks, then compose by longest match."""
         found = self.memo.get(text)
         if found is None:
-            parts = unicodedata.normalize("NFD", "".join(self.decomposed.get(c, c) for c in text))
-            found = self._compose(parts)
+            spelled = "".join(_spelled_hangul(ord(c)) if "\uac00" <= c <= "\ud7a3" else self.decomposed.get(c, c) for c in text)
+            found = self._compose(_marks_in_order(spelled))
             if len(self.memo) < 1_000_000:  # a memo only: beyond that, clusters are composed anew
                 self.memo[text] = found
         return found
 
-    def _compose(self, parts: str) -> str:
-        out, at = [], 0
+    def _compose(self, parts: list[str]) -> str:
+        """The longest compositions of the trie. A mark that does not join stays behind and bars later ones of its class or lower."""
+        out: list[str] = []
+        at = 0
         while at < len(parts):
-            node, end, best = self.trie.get(parts[at]), at + 1, parts[at]
-            rest: list[str] = []
-            if node is not None:
-                k, blocked = at + 1, 0
-                while k < len(parts) and unicodedata.combining(parts[k]):
-                    c, weight = parts[k], unicodedata.combining(parts[k])
-                    if blocked != weight and c in node and "" in node[c]:
-                        node, best = node[c], node[c][""]
-                    else:
-                        rest.append(c)
-                        blocked = weight
-                    k += 1
-                end = k
-            out.append(best)
-            out += rest
-            at = end
-        return unicodedata.normalize("NFC", "".join(out))
+            node, best, left = self.trie.get(parts[at], {}), parts[at], []
+            at += 1
+            while at < len(parts):
+                c = parts[at]
+                weight = unicodedata.combining(c)
+                if not weight and (left or c not in node or "" not in node[c]):
+                    break
+                if (not left or unicodedata.combining(left[-1]) < weight) and "" in node.get(c, {}):
+                    node = node[c]
+                    best = node[""]
+                else:
+                    left.append(c)
+                at += 1
+            out += [best, *left]
+        return "".join(out)
 
     def __call__(self, texts: list[str]) -> list[str]:
         """The consistent form of each text; one pass over the batch's code points."""
@@ -159,6 +190,7 @@ class Transducer:
         ends = np.cumsum(sizes)
         length, offset, pool = self.length[codes].astype(np.int64), self.offset[codes], self.pool
 
+        extra: list[int] = []
         joins = self.joins[codes]
         if joins.any():
             # A cluster: a code point with ink, then marks, with code points without ink in between.
@@ -170,18 +202,20 @@ class Transducer:
             starts = np.flatnonzero(head)
             stops = np.append(starts[1:], len(codes))
             marked = np.add.reduceat(joins, starts) > 0
-            extra: list[int] = []
             for a, b in zip(starts[marked].tolist(), stops[marked].tolist()):
                 whole = self.cluster(joined[a:b])
                 length[a:b] = 0
                 length[a], offset[a] = len(whole), len(pool) + len(extra)
                 extra += map(ord, whole)
-            pool = np.concatenate([pool, np.array(extra, np.uint32)])
 
         out_ends = np.cumsum(length)
         total = int(out_ends[-1]) if len(out_ends) else 0
         at = np.arange(total) - np.repeat(out_ends - length - offset, length)
-        made = pool[at].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        codes = pool[np.minimum(at, len(pool) - 1)]
+        if extra:
+            of_cluster = at >= len(pool)
+            codes[of_cluster] = np.array(extra, np.uint32)[at[of_cluster] - len(pool)]
+        made = codes.tobytes().decode("utf-32-le", "surrogatepass")
         stops = np.append(0, out_ends)[ends].tolist()
         begins = [0, *stops[:-1]]
         return [made[a:b] for a, b in zip(begins, stops)]

@@ -46,7 +46,19 @@ def test_batches_match_plain_form(texts):
 def test_case_and_ascii_are_kept(canon):
     printable = "".join(map(chr, range(0x20, 0x7F)))
     assert canon([printable]) == [printable]
-    assert all(a.isupper() == b.isupper() for a, b in canonical_text.LOOK_ALIKES.items())
+    assert all(a.isupper() == b.isupper() for a, b in canonical_text.LOOK_ALIKES.items() if a.lower() != a.upper())
+
+
+def test_trie_is_canonical_composition(canon):
+    """Without any mapping, the trie alone composes as the standard form does."""
+    rng = random.Random(8)
+    marks = [chr(o) for o in range(0x110000) if unicodedata.combining(chr(o))]
+    letters = [chr(o) for o in [*range(0x41, 0x250), *range(0x370, 0x5D0), *range(0x904, 0xE00), *range(0x1100, 0x1200), *range(0x1E00, 0x2000), *range(0x3041, 0x3100), *range(0xAC00, 0xAE00)]]
+    same = [c for c in letters if unicodedata.normalize("NFD", c) == canon.decomposed.get(c, unicodedata.normalize("NFD", c))]
+    for _ in range(30_000):
+        text = rng.choice(same) + "".join(rng.choice(marks if rng.random() < 0.5 else marks[:60]) for _ in range(rng.randint(0, 4))) + "".join(rng.choice(same) for _ in range(rng.randint(0, 2)))
+        spelled = "".join(unicodedata.normalize("NFD", c) for c in text)
+        assert canon._compose(canonical_text._marks_in_order(spelled)) == unicodedata.normalize("NFC", text), ascii(text)
 
 
 def test_same_look(spark):
