@@ -28,11 +28,11 @@ def _bound(text: Column | str, body: Callable[[Column], Column]) -> Column:
     return body(F.col(text)) if isinstance(text, str) else let(text, body)
 
 
-def _by_icu(text: Column | str, owner: str, method: str, plain: Callable[[Column], Column]) -> Column:
+def _by_icu(text: Column | str, owner: str, method: str, plain: Callable[[Column], Column], option: bool = True) -> Column:
     """A static string function of ICU where the text goes beyond ASCII, else its plain equivalent; null stays null."""
 
     def body(t: Column) -> Column:
-        call = F.call_function("reflect", F.lit(owner), F.lit(method), F.coalesce(t, F.lit("")), F.lit(True))
+        call = F.call_function("reflect", F.lit(owner), F.lit(method), F.coalesce(t, F.lit("")), F.lit(option))
         return F.when(t.isNull(), F.lit(None).cast("string")).when(t.rlike(NON_ASCII), call).otherwise(plain(t))
 
     return _bound(text, body)
@@ -43,6 +43,11 @@ def nfkc(text: Column | str) -> Column:
     return _by_icu(text, "com.ibm.icu.text.Normalizer", "compose", lambda t: t)
 
 
+def nfc(text: Column | str) -> Column:
+    """NFC form, which only unites ways to write the same characters; null stays null."""
+    return _by_icu(text, "com.ibm.icu.text.Normalizer", "compose", lambda t: t, option=False)
+
+
 def casefold(text: Column | str) -> Column:
     """Full Unicode case folding (ß → ss), unlike lower(); null stays null."""
     return _by_icu(text, "com.ibm.icu.lang.UCharacter", "foldCase", F.lower)
