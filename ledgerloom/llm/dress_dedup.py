@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import parse_amount_text
-from ledgerloom.functions.text import casefold, nfkc
+from ledgerloom.functions.text import casefold, nfc
 from ledgerloom.operators.skew import salted_lookup
-from ledgerloom.session import ensure_checkpoint_dir
+from ledgerloom.session import written
 
 MONEY_FIELDS = ("transaction_amount", "balance")
 #: Unicode punctuation and separators, white space, and the ASCII signs that Unicode files as symbols.
@@ -20,8 +20,8 @@ DROPPED = r"[\p{P}\p{Z}\s$+<=>^`|~]"
 
 
 def plain_text(text: Column) -> Column:
-    """Text without letter case, spacing and punctuation."""
-    return F.regexp_replace(casefold(nfkc(text)), DROPPED, "")
+    """Text without letter case, spacing and punctuation; nothing else is equated, so x² stays apart from x2."""
+    return F.regexp_replace(nfc(casefold(nfc(text))), DROPPED, "")
 
 
 def canonical_record(fields: Column) -> Column:
@@ -58,7 +58,6 @@ def copy_pairs(records: DataFrame, key: str = "candidate_id", fields: str = "fie
     Very large sets are spread over salts, so a set of a third of all rows meets no
     single task; membership of the others is a plain equi-join of 24-byte keys.
     """
-    ensure_checkpoint_dir(records.sparkSession)
-    rows = record_keys(records, key, fields).checkpoint()  # canonicalised once; some 40 bytes a row are read again
+    rows = written(record_keys(records, key, fields))  # canonicalised once; some 40 bytes a row are read again
     sets = rows.groupBy("h", "c").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return salted_lookup(rows, sets, ["h", "c"], key).where(F.col(key) != F.col("first")).select(F.col("first").alias(f"{key}_a"), F.col(key).alias(f"{key}_b"))
