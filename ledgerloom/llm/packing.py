@@ -3,7 +3,8 @@
 Each document goes where the sum over residual gaps of the squared number of open containers with that
 gap becomes smallest. Documents are dealt to shards of bounded size by a hash of their key; a shard is
 packed on its own. The rule wants sizes in random order, so documents come shuffled, but the small ones last
-and largest first: they fill the gaps that are left, and a shard ends with hardly an open container.
+and largest first: they fill the gaps that are left, and a shard ends with hardly an open container. Where a
+shard is too small or its documents too large for that, all come largest first, whichever takes fewer.
 """
 
 from __future__ import annotations
@@ -87,11 +88,12 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: s
         rest = n - full * capacity
         named = rows.append_column("place", pa.array(np.arange(len(n))))
         order = named.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending"), ("place", "ascending")]).column("place").to_numpy()
-        small = rest[order] < capacity * SMALL
-        tail = order[small]
-        order = np.concatenate([np.random.default_rng(shard).permutation(order[~small]), tail[np.argsort(-rest[tail], kind="stable")]])
+        largest_first = order[np.argsort(-rest[order], kind="stable")]
+        small = rest[largest_first] < capacity * SMALL
+        shuffled = np.concatenate([np.random.default_rng(shard).permutation(largest_first[~small]), largest_first[small]])
+        tried = [(pack(rest[o].tolist(), capacity), o) for o in (shuffled, largest_first)]
+        boxes, order = min(tried, key=lambda t: max(t[0], default=0))
         full, rest = full[order], rest[order]
-        boxes = pack(rest.tolist(), capacity)
         whole = int(full.sum())
         # The last pieces, then the full ones of split documents, each a container of its own.
         take = np.concatenate([order, np.repeat(order, full)])
