@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import functools
 import zoneinfo
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import WHITE, ascii_digits, let, nfkc
@@ -78,27 +78,56 @@ def _epoch_micros(text: Column) -> Column:
     )
 
 
+#: Offsets are looked up so far apart; where an abbreviation's offset changed in between, the moment is found to the second.
+PROBE = 28 * 86_400
+_FIRST, _LAST = datetime(1970, 1, 1, tzinfo=UTC), datetime(2038, 1, 1, tzinfo=UTC)
+_FOREVER = (1 << 63) - 1
+
+
 @functools.cache
-def zone_abbreviations() -> list[tuple[str, dict[str, int]]]:
-    """(zone, {abbreviation: seconds east of UTC}) of every IANA zone; built from the zone database's history since 1990."""
-    days = [datetime(1990, 1, 15, tzinfo=UTC) + timedelta(days=61 * k) for k in range(290)]
+def zone_abbreviations() -> list[tuple[str, dict[str, list[tuple[int, int]]]]]:
+    """(zone, {abbreviation: [(until, seconds east of UTC), ...]}) of every IANA zone since 1970.
+
+    An abbreviation mostly stands for one offset. Where a zone gave it another one, as Moscow's in 2011 and
+    2014, each holds until the zone left it, in microseconds of the wall clock; the last one holds for ever.
+    """
+    probes = range(int(_FIRST.timestamp()), int(_LAST.timestamp()), PROBE)
     out = []
     for name in sorted(zoneinfo.available_timezones()):
         zone = zoneinfo.ZoneInfo(name)
+
+        def at(second: int, zone: zoneinfo.ZoneInfo = zone) -> tuple[str, int]:
+            local = datetime.fromtimestamp(second, zone)
+            return local.tzname() or "", int(local.utcoffset().total_seconds())
+
+        offsets: dict[str, list[tuple[int, int]]] = {}  # (last probe with it, offset)
+        for second in probes:
+            abbreviation, offset = at(second)
+            if abbreviation.isalpha():
+                seen = offsets.setdefault(abbreviation, [])
+                if seen and seen[-1][1] == offset:
+                    seen[-1] = (second, offset)
+                else:
+                    seen.append((second, offset))
         found = {}
-        for day in days:
-            local = day.astimezone(zone)
-            if (abbreviation := local.tzname() or "").isalpha():
-                found[abbreviation] = int(local.utcoffset().total_seconds())
+        for abbreviation, seen in offsets.items():
+            spans = []
+            for last, offset in seen[:-1]:
+                low, high = last, last + PROBE
+                while high - low > 1:
+                    middle = (low + high) // 2
+                    low, high = (middle, high) if at(middle) == (abbreviation, offset) else (low, middle)
+                spans.append(((high + offset) * 1_000_000, offset))
+            found[abbreviation] = [*spans, (_FOREVER, seen[-1][1])]
         out.append((name, found))
     return out
 
 
 def zone_table(spark: SparkSession) -> DataFrame:
-    """zone_name, abbreviations MAP<STRING,INT> of the zones that both the zone database and the JVM know: some 600 rows, whatever the data."""
+    """zone_name, abbreviations MAP<STRING, ARRAY<STRUCT<until, seconds>>> of the zones that both the zone database and the JVM know: some 600 rows, whatever the data."""
     known = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
     rows = [(name, found) for name, found in zone_abbreviations() if name in known]
-    return spark.createDataFrame(rows, "zone_name string, abbreviations map<string,int>")
+    return spark.createDataFrame(rows, "zone_name string, abbreviations map<string,array<struct<until:bigint,seconds:int>>>")
 
 
 def parse_moments(values: DataFrame, spark: SparkSession, text: str = "text", zone: str = "tz_name", order: str = "date_order") -> DataFrame:
@@ -137,7 +166,7 @@ def parse_moments(values: DataFrame, spark: SparkSession, text: str = "text", zo
     offset = F.when(F.upper("_zone").isin("Z", "UTC", "GMT"), F.lit(0)).when(
         F.col("_zone").rlike(r"^[+-]\d{2}:?\d{2}$"),
         sign * (F.substring(digits, 1, 2).try_cast("int") * 3600 + F.substring(digits, 3, 2).try_cast("int") * 60),
-    ).when(F.col("_zone") != "", F.try_element_at("abbreviations", F.col("_zone")))
+    ).when(F.col("_zone") != "", F.get(F.filter(F.try_element_at("abbreviations", F.col("_zone")), lambda s: F.unix_micros("_at") < s["until"]), F.lit(0))["seconds"])
     local = F.unix_micros("_at")
     utc = (
         F.when(F.col("_zone") != "", F.when(F.abs(offset) <= 18 * 3600, local - offset.cast("bigint") * 1_000_000))
@@ -154,41 +183,67 @@ def parse_moments(values: DataFrame, spark: SparkSession, text: str = "text", zo
 
 
 def zone_evidence(left: DataFrame, right: DataFrame, on: str = "candidate_id") -> DataFrame:
-    """Wall-clock times without zone beside an instant of the same record: (account_number, local_micros, instant_micros, ingested_micros).
+    """Wall-clock times without zone beside what is known of their instants: (account_number, local_micros, instant_micros, low_micros, high_micros).
 
     Both inputs come from parse_moments and hold account_number, the key and ingested_at. The record's
-    time in the other table is the instant where that one states its zone; the ingestion time bounds it.
+    time in the other table is the instant where that one states its zone, else there is none; nothing can
+    have happened after it was ingested. There is no lower bound.
     """
 
     def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
         said = b.where("has_zone and utc_micros is not null").groupBy(on).agg(F.min("utc_micros").alias("instant_micros"))
         bare = a.where("not has_zone and local_micros is not null")
-        return bare.join(said, on).select("account_number", "local_micros", "instant_micros", F.unix_micros("ingested_at").alias("ingested_micros"))
+        bounds = [F.lit(None).cast("bigint").alias("low_micros"), F.unix_micros("ingested_at").alias("high_micros")]
+        return bare.join(said, on, "left").select("account_number", "local_micros", "instant_micros", *bounds)
 
     return pairs(left, right).unionByName(pairs(right, left))
 
 
+def order_evidence(moments: DataFrame, sequence: list[str], order: list[str]) -> DataFrame:
+    """zone_evidence from sequence order: a time without zone lies between the nearest known instants before and after it in its sequence.
+
+    moments come from parse_moments with account_number and the named columns. For sources whose rows are
+    written in the order of their times, as logs are.
+    """
+    known = F.when(F.col("has_zone"), F.col("utc_micros"))
+    w = Window.partitionBy("account_number", *sequence).orderBy(*order)
+    before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(known, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    bare = moments.select("*", before.alias("low_micros"), after.alias("high_micros")).where("not has_zone and local_micros is not null")
+    return bare.select("account_number", "local_micros", F.lit(None).cast("bigint").alias("instant_micros"), "low_micros", "high_micros")
+
+
 def estimate_zones(evidence: DataFrame, candidates: list[str], tolerance_s: int = 86_400) -> DataFrame:
     """The zone of each source whose offset history violates its evidence least.
 
-    A candidate history is violated by a row where the wall-clock time, read in that zone, lies after
-    the row's ingestion, or differs from the known instant of its record: by a minute or more it costs 1,
-    and the cost of the total misfit breaks ties. Rows further off than ``tolerance_s`` are another event
-    or a wrong date and weigh the same for every zone. Result: account_number, zone_name, violations,
-    evidence; the smallest zone name wins a full tie. Sources without evidence have no row.
+    A candidate history is violated by a row where the wall-clock time, read in that zone, lies outside of
+    the row's bounds, or differs from the known instant of its record by a minute or more; the total misfit
+    to instants breaks ties. Rows further off than ``tolerance_s`` are another event or a wrong date and
+    weigh the same for every zone. Result: account_number, zone_name, violations, evidence, instants; the
+    smallest zone name wins a full tie. A source without known instants has a row only if its bounds leave
+    one candidate alone with the least violations, and one without evidence has none.
     """
-    zones = F.explode(F.array(*[F.lit(z) for z in candidates])).alias("zone_name")
+    zones = F.explode(F.array(*[F.lit(z) for z in candidates]).cast("array<string>")).alias("zone_name")
     # Equal offsets are one piece of evidence with a weight: the wall clock cut to hours decides the offset in force.
-    rows = evidence.withColumn("hour", F.floor(F.col("local_micros") / 3_600_000_000)).withColumn("shift", F.round((F.col("local_micros") - F.col("instant_micros")) / 60_000_000))
-    rows = rows.groupBy("account_number", "hour", "shift").agg(F.count(F.lit(1)).alias("n"), F.min("ingested_micros").alias("ingested_micros"))
+    hour = lambda c: F.floor(F.col(c) / 3_600_000_000)
+    rows = evidence.withColumn("hour", hour("local_micros")).withColumn("shift", F.round((F.col("local_micros") - F.col("instant_micros")) / 60_000_000))
+    rows = rows.withColumns({"low_hour": hour("low_micros"), "high_hour": hour("high_micros")})
+    rows = rows.groupBy("account_number", "hour", "shift", "low_hour", "high_hour").agg(F.count(F.lit(1)).alias("n"))
     at = F.timestamp_seconds(F.col("hour") * 3600)
     rows = rows.select("*", zones).withColumn("utc", F.unix_micros(F.to_utc_timestamp(at, F.col("zone_name"))))
     off = (F.unix_micros(at) - F.col("utc")) / 60_000_000 - F.col("shift")
-    misfit = F.least(F.abs(off) * 60, F.lit(float(tolerance_s)))
-    bad = F.when((F.abs(off) >= 1) | (F.col("utc") > F.col("ingested_micros")), F.col("n")).otherwise(0)
-    scored = rows.groupBy("account_number", "zone_name").agg(F.sum(bad).alias("violations"), F.sum(misfit * F.col("n")).alias("misfit"), F.sum("n").alias("evidence"))
-    best = scored.groupBy("account_number").agg(F.min(F.struct("violations", "misfit", "zone_name", "evidence")).alias("b"))
-    return best.select("account_number", "b.zone_name", "b.violations", "b.evidence")
+    utc_hour = F.floor(F.col("utc") / 3_600_000_000)
+    outside = F.coalesce(utc_hour > F.col("high_hour"), F.lit(False)) | F.coalesce(utc_hour < F.col("low_hour"), F.lit(False))
+    misfit = F.coalesce(F.least(F.abs(off) * 60, F.lit(float(tolerance_s))), F.lit(0.0))
+    bad = F.when(F.coalesce(F.abs(off) >= 1, F.lit(False)) | outside, F.col("n")).otherwise(0)
+    scored = rows.groupBy("account_number", "zone_name").agg(
+        F.sum(bad).alias("violations"), F.sum(misfit * F.col("n")).alias("misfit"), F.sum("n").alias("evidence"), F.sum(F.when(F.col("shift").isNotNull(), F.col("n")).otherwise(0)).alias("instants")
+    )
+    # How many zones are as good as the best one: an aggregate of all scores of a source, one for each candidate.
+    scores = F.collect_list("violations")
+    best = scored.groupBy("account_number").agg(F.min(F.struct("violations", "misfit", "zone_name", "evidence", "instants")).alias("b"), scores.alias("all"))
+    alone = F.size(F.filter("all", lambda v: v == F.col("b.violations"))) == 1
+    return best.where((F.col("b.instants") > 0) | alone).select("account_number", "b.zone_name", "b.violations", "b.evidence", "b.instants")
 
 
 def candidate_zones(accounts: DataFrame) -> list[str]:
@@ -209,13 +264,17 @@ def account_moments(accounts: DataFrame, ledger: DataFrame, fields: DataFrame) -
 def utc_moments(accounts: DataFrame, ledger: DataFrame, fields: DataFrame) -> DataFrame:
     """One UTC moment per readable value: (source_table, row_id, utc_micros).
 
-    Accounts that state no zone known to the zone database get the estimated one, from evidence over all
-    rows; where all state one, as their statement is authoritative, there is nothing to estimate.
+    Accounts that state no zone known to the zone database, and those of the data that are not stated at
+    all, get the estimated zone, from evidence over all rows; where all state one, as their statement is
+    authoritative, there is nothing to estimate. Which of both holds is asked while the plan is built. An
+    account without estimate has moments only where the text states its zone.
     """
     spark = accounts.sparkSession
     known = zone_table(spark).select(F.col("zone_name").alias("tz_name"))
-    unstated = accounts.join(known, "tz_name", "left_anti")
-    if not unstated.isEmpty():
+    seen = ledger.select("account_number").union(fields.select("account_number")).where("account_number is not null").distinct()
+    if not seen.join(accounts.join(known, "tz_name", "left_semi"), "account_number", "left_anti").isEmpty():
+        lost = seen.join(accounts, "account_number", "left_anti")
+        accounts = accounts.select("account_number", "tz_name", "date_order").unionByName(lost, allowMissingColumns=True)
         at, bt = account_moments(accounts, ledger, fields)
         guess = estimate_zones(zone_evidence(at, bt), candidate_zones(accounts)).select("account_number", F.col("zone_name").alias("guess"))
         stated = accounts.join(known.withColumn("ok", F.lit(True)), "tz_name", "left").join(guess, "account_number", "left")

@@ -26,7 +26,21 @@ def p4_zone_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.select("account_number", F.col("tz_name").alias("stated_zone")).join(estimated, "account_number")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_zone_estimates": p4_zone_estimates}
+def p4_hidden_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of each account if no account stated its zone: how many there are, and how many the estimated zones get right."""
+    accounts, ledger, fields = (table(spark, sf_dir, n) for n in ("accounts", "ledger_transactions", "field_values"))
+    at, bt = account_moments(accounts, ledger, fields)
+    guess = estimate_zones(zone_evidence(at, bt), candidate_zones(accounts)).select("account_number", F.col("zone_name").alias("tz_name"))
+    hidden = accounts.drop("tz_name").join(guess, "account_number", "left")
+    pairs = []
+    for stated, guessed in zip((at, bt), account_moments(hidden, ledger, fields)):
+        row = ["account_number", "row_id"]
+        pairs.append(stated.select(*row, "utc_micros").where("utc_micros is not null").join(guessed.select(*row, F.col("utc_micros").alias("guess")), row))
+    both = pairs[0].unionByName(pairs[1])
+    return both.groupBy("account_number").agg(F.count(F.lit(1)).alias("moments"), F.count_if(F.col("utc_micros") == F.col("guess")).alias("found"), F.count("guess").alias("read"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_zone_estimates": p4_zone_estimates, "p4_hidden_zones": p4_hidden_zones}
 
 #: Value of an amount text b, for oracle SQL over ASCII amounts; the pattern rules are those of functions.money.
 AMOUNT_SQL = r"""

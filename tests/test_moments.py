@@ -53,6 +53,11 @@ NOTATIONS = [
     ("30-03-2025 02:18", B, "DMY", at(2025, 3, 30, 3, 18, zone=B)),  # skipped: an hour later
     ("  2025-04-06　10:00 ", B, "DMY", at(2025, 4, 6, 10, zone=B)),
     ("２０２５-04-06 10:00", B, "DMY", at(2025, 4, 6, 10, zone=B)),
+    ("20 Jan 2009 10:00 MSK", "Europe/Moscow", "DMY", at(2009, 1, 20, 7)),  # +3 until 2011, +4 until 2014, +3 again
+    ("20 Jan 2012 10:00 MSK", "Europe/Moscow", "DMY", at(2012, 1, 20, 6)),
+    ("26 Oct 2014 00:59 MSK", "Europe/Moscow", "DMY", at(2014, 10, 25, 20, 59)),
+    ("27 Oct 2014 10:00 MSK", "Europe/Moscow", "DMY", at(2014, 10, 27, 7)),
+    ("20 Jul 2025 10:00 MSK", "Europe/Moscow", "DMY", at(2025, 7, 20, 7)),
     ("2025-06-01 10:00", None, "DMY", None),
     ("2025-06-01T10:00:00Z", None, None, at(2025, 6, 1, 10)),
 ]
@@ -126,3 +131,34 @@ def test_empty_tables(spark, tables):
     accounts, ledger, fields = (t.limit(0) for t in tables)
     assert moments.utc_moments(accounts, ledger, fields).count() == 0
     assert moments.utc_moments(tables[0], ledger, fields).count() == 0
+
+
+def test_account_that_is_not_stated_is_estimated(spark, tables):
+    accounts, ledger, fields = tables
+    lost = moments.utc_moments(accounts.where("account_number in ('a', 'b')"), ledger, fields).collect()
+    whole = moments.utc_moments(accounts, ledger, fields)
+    stated = whole.join(ledger.select("record_id", "account_number"), whole["row_id"] == ledger["record_id"]).where("account_number <> 'c'").select(*whole.columns)
+    assert {tuple(r) for r in stated.collect()} <= {tuple(r) for r in lost}  # 'd' is read in the zone of 'b', 'c' has no candidate
+    assert moments.utc_moments(accounts.limit(0), ledger, fields).count() == 240  # zones the text states
+
+
+def test_zone_from_bounds_alone(spark):
+    """Times that were ingested within the hour, or stand between known instants, leave one zone; loose bounds leave none."""
+    zones = [B, N, S]
+    base = datetime(2025, 5, 1, tzinfo=UTC)
+    rows = []
+    for account, zone, slack in (("east", S, 0.5), ("west", N, 0.5), ("loose", B, 500)):
+        for k in range(20):
+            d = base + timedelta(hours=7 * k)
+            local = US(d.astimezone(ZoneInfo(zone)).replace(tzinfo=UTC))
+            rows.append((account, local, None, US(d - timedelta(hours=slack)), US(d + timedelta(hours=slack))))
+    df = spark.createDataFrame(rows, "account_number string, local_micros bigint, instant_micros bigint, low_micros bigint, high_micros bigint")
+    assert {r["account_number"]: r["zone_name"] for r in moments.estimate_zones(df, zones).collect()} == {"east": S, "west": N}
+    log = []
+    for k in range(40):
+        d = base + timedelta(minutes=20 * k)
+        text = d.strftime("%Y-%m-%dT%H:%M:%SZ") if k % 2 else d.astimezone(ZoneInfo(N)).strftime("%Y-%m-%d %H:%M:%S")
+        log.append((k, "log", text, "DMY", None))
+    read_log = moments.parse_moments(spark.createDataFrame(log, "k int, account_number string, text string, date_order string, tz_name string"), spark)
+    found = moments.estimate_zones(moments.order_evidence(read_log, [], ["k"]), zones).collect()
+    assert [(r["zone_name"], r["violations"], r["instants"]) for r in found] == [(N, 0, 0)]
