@@ -78,8 +78,8 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: s
     counted = count_tokens(documents, vocabulary)
     shards = max(1, -(-documents.count() // shard_documents))
     sized = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(shards)).cast("int"))
-    # As many partitions as shards, twice over, so that few tasks hold two of them.
-    sized = sized.repartition(2 * shards, "shard")
+    # Three times as many partitions as shards, so that few tasks hold two of them.
+    sized = sized.repartition(3 * shards, "shard")
 
     def run(rows: pa.Table) -> pa.Table:
         shard = rows.column("shard")[0].as_py()
