@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import parse_date
-from ledgerloom.functions.money import parse_amount
+from ledgerloom.functions.money import net_amount, parse_amount
 
 # Acceptance thresholds of the release gate.
 THRESHOLDS = {"transaction_recall": 0.995, "date_exact": 0.995, "amount_exact": 0.995, "balance_exact": 0.995, "row_association": 0.99}
@@ -18,17 +18,37 @@ ALIASES = {
     "date": ("date", "transaction_date", "accounting_date"),
     "balance": ("balance", "online_balance", "closing_balance"),
     "online_balance": ("online_balance", "balance", "closing_balance"),
+    "closing_balance": ("closing_balance", "balance", "online_balance"),
     "transaction_amount": ("transaction_amount", "amount"),
     "amount": ("amount", "transaction_amount"),
 }
 DATE_FIELDS, AMOUNT_FIELDS, BALANCE_FIELDS = ("transaction_date", "accounting_date", "date"), ("transaction_amount", "amount"), ("balance", "online_balance")
+NET_OF = {"income": ("income_amount", "income"), "expense": ("expense_amount", "expense")}
 CRITICAL_FIELDS = ("transaction_date", "accounting_date", "date", "amount", "transaction_amount", "balance", "online_balance")
 
 
 def truth_rows(samples: DataFrame) -> DataFrame:
-    """Truth rows of golden samples (S12): sample_id, page_index, row_index, fields; a row loaded twice counts once."""
+    """Truth rows of golden samples (S12): sample_id, page_index, row_index, fields; a row loaded twice counts once.
+
+    Of rows that differ under one key the one whose name=value pairs, sorted and joined, come first stands;
+    ``repeated_truth`` lists such keys.
+    """
     rows = samples.select("sample_id", F.inline("transactions"))
-    return rows.dropDuplicates(["sample_id", "page_index", "row_index"])
+    return rows.groupBy(*TRUTH_KEY).agg(F.min_by("fields", _pairs_text("fields")).alias("fields"))
+
+
+TRUTH_KEY = ["sample_id", "page_index", "row_index"]
+
+
+def _pairs_text(fields: str) -> Column:
+    pairs = F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    return F.coalesce(F.array_join(F.sort_array(pairs), ";"), F.lit(""))
+
+
+def repeated_truth(samples: DataFrame) -> DataFrame:
+    """Keys of golden samples that hold different rows: the key and versions, how many."""
+    rows = samples.select("sample_id", F.inline("transactions")).groupBy(*TRUTH_KEY, _pairs_text("fields").alias("p")).count()
+    return rows.groupBy(*TRUTH_KEY).agg(F.count(F.lit(1)).alias("versions")).where("versions > 1")
 
 
 def normal_value(name: str, text: Column) -> Column:
@@ -41,9 +61,21 @@ def normal_value(name: str, text: Column) -> Column:
 
 
 def predicted_value(fields: str, name: str) -> Column:
-    """Value of a truth name in a prediction's MAP<STRING,STRING>, by alias and normalised."""
-    aliases = ALIASES.get(name, (name,))
-    return normal_value(name, F.coalesce(*[F.try_element_at(fields, F.lit(a)) for a in aliases]))
+    """Value of a truth name in a prediction's MAP<STRING,STRING>, by alias and normalised; an amount that is not there is income less expense."""
+    shown = normal_value(name, first_value(fields, *ALIASES.get(name, (name,))))
+    return F.coalesce(shown, derived_net(fields).cast("string")) if name in AMOUNT_FIELDS else shown
+
+
+def first_value(fields: str, *names: str) -> Column:
+    """Value of the first of some names that a MAP<STRING,STRING> has."""
+    return F.coalesce(*[F.try_element_at(fields, F.lit(n)) for n in names])
+
+
+def derived_net(fields: str) -> Column:
+    """Income less expense of a prediction (F21, F31); a missing or unreadable side is zero, null where both are."""
+    side = {k: F.nullif(first_value(fields, *names), F.lit("")) for k, names in NET_OF.items()}
+    read = {k: F.coalesce(parse_amount(v), v.try_cast("decimal(38,2)")) for k, v in side.items()}
+    return net_amount(read["income"], read["expense"]).cast("decimal(38,2)")
 
 
 def compare_fields(truth: DataFrame, predicted: DataFrame, key: list[str]) -> DataFrame:
@@ -68,6 +100,14 @@ def field_accuracy(verdicts: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumn("total_fields", total).withColumn("accuracy", F.when(total > 0, F.col("exact_matches") / total).otherwise(0.0))
 
 
+def field_labels(verdicts: DataFrame, by: list[str]) -> DataFrame:
+    """Sorted labels page:row:field of what is wrong per group (A18): missing, mismatches, and page:row of extra rows; empty where nothing is."""
+    row = F.concat_ws(":", "page_index", "row_index")
+    label = F.concat_ws(":", row, "field_name")
+    told = lambda v, c: F.sort_array(F.collect_list(F.when(F.col("verdict") == v, c)))
+    return verdicts.groupBy(*by).agg(told("missing", label).alias("missing"), told("mismatch", label).alias("mismatches"), told("extra", row).alias("extra"))
+
+
 def review_keys(candidates: DataFrame, reports: DataFrame, issues: DataFrame, page: list[str]) -> DataFrame:
     """Rows a person has to look at (P18): all of page_review pages; of review pages the rows with issues, or all where none has."""
     key = [*page, "row_index"]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import ids
 from ledgerloom.functions.dates import parse_date
-from ledgerloom.functions.geometry import union_box
+from ledgerloom.functions.geometry import box_text, union_box
 from ledgerloom.functions.money import parse_amount
+from ledgerloom.functions.nested import spans_json
 from ledgerloom.operators.ledger import DOC, KEY, ORDER, shown_text
 
 # Canonical columns and the field names they are filled from, first present one wins.
@@ -43,6 +46,7 @@ def candidate_boxes(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
 def typed_value(name: str, text: Column) -> tuple[Column, Column, Column]:
     """(date, amount, text) of an exported cell (P21): by the column's name a date or an amount where it reads as one, else text."""
     date = parse_date(text) if name == "date" or name.endswith("_date") else F.lit(None).cast("date")
+    # Names of money columns besides those that end in _amount.
     money = parse_amount(text) if name in {"amount", "balance", "online_balance", "opening_balance", "closing_balance", "income", "expense"} or name.endswith("_amount") else F.lit(None).cast("decimal(38,2)")
     return date, money, F.when(date.isNull() & money.isNull(), text)
 
@@ -66,8 +70,6 @@ def transactions_wide(candidates: DataFrame, reports: DataFrame, records: DataFr
     df = candidates.join(comparison_ids(candidates), [*KEY, ORDER])
     df = df.join(reports.select(*page, F.col("status").alias("validation_status")), page, "left").join(records.select(*KEY, ORDER, "transaction_id", "statement_stream_id"), [*KEY, ORDER], "left")
     if boxes is not None:
-        from ledgerloom.functions.geometry import box_text
-
         df = df.join(boxes.select(*KEY, box_text(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("source_box")), KEY, "left")
     else:
         df = df.withColumn("source_box", F.lit(None).cast("string"))
@@ -113,16 +115,30 @@ def field_rule_states(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by_field, by_row
 
 
-def source_index(candidates: DataFrame, reports: DataFrame, issues: DataFrame, records: DataFrame) -> DataFrame:
-    """One row per candidate and field with its text layers, evidence, rule state and ids (K3)."""
+def field_boxes(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Box around the source blocks of each field as text (K3): key, candidate_id, field_name, source_bbox; fields without located blocks are absent."""
+    page = [DOC, "page_index"]
+    source = candidates.select(*KEY, ORDER, F.explode("fields").alias("field_name", "v")).select(*KEY, ORDER, "field_name", F.explode(F.array_distinct("v.source_block_indices")).alias("block_index"))
+    boxed = source.join(blocks.select(*page, "block_index", "x0", "y0", "x1", "y1"), [*page, "block_index"]).groupBy(*KEY, ORDER, "field_name").agg(*union_box())
+    return boxed.select(*KEY, ORDER, "field_name", box_text(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("source_bbox"))
+
+
+def source_index(candidates: DataFrame, reports: DataFrame, issues: DataFrame, records: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """One row per candidate and field with its text layers, evidence, rule state and ids (K3).
+
+    source_spans is JSON where the fields hold source_spans, else null; source_bbox is null without blocks.
+    """
     page = [DOC, "page_index"]
     by_field, by_row = field_rule_states(issues)
     df = candidates.select(*KEY, ORDER, "status", F.explode("fields").alias("field_name", "v"))
     df = df.join(comparison_ids(candidates), [*KEY, ORDER]).join(records.select(*KEY, ORDER, "transaction_id"), [*KEY, ORDER], "left")
     df = df.join(reports.select(*page, F.col("status").alias("report_status")), page, "left").join(by_field, [*KEY, "field_name"], "left").join(by_row, KEY, "left")
+    spans = "source_spans" in candidates.schema["fields"].dataType.valueType.names
+    df = df.withColumn("source_spans", spans_json("v.source_spans") if spans else F.lit(None).cast("string"))
+    df = df.join(field_boxes(candidates, blocks), [*KEY, ORDER, "field_name"], "left") if blocks is not None else df.withColumn("source_bbox", F.lit(None).cast("string"))
     return df.select(
         *KEY, ORDER, "transaction_id", "comparison_id", "field_name", *[F.col(f"v.{t}").alias(t) for t in LAYERS.values()], F.col("v.confidence").alias("confidence"),
-        F.array_join(F.transform("v.source_block_indices", lambda i: i.cast("string")), ",").alias("source_block_indices"),
+        F.array_join(F.transform("v.source_block_indices", lambda i: i.cast("string")), ",").alias("source_block_indices"), "source_spans", "source_bbox",
         F.coalesce("report_status", F.lit("unknown")).alias("validation_status"), F.coalesce("field_state", "row_state", F.lit("pass")).alias("rule_state"), "status",
     )
 
@@ -187,6 +203,21 @@ def export_manifest(files: DataFrame) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def export_record(artifacts: DataFrame, unresolved: int, run_id: int | None = None, source_sha256: str | None = None, export_id: str | None = None) -> DataFrame:
+    """One row that describes an export (K8): format_version, export_id, run_id, source_sha256, exported_at, unresolved_count, outputs.
+
+    artifacts come from export_manifest, a few files; without any there is no row. export_id is random unless given.
+    """
+    if unresolved < 0 or source_sha256 is not None and len(source_sha256) != 64:
+        raise ValueError("unresolved must not be negative and source_sha256 must be a SHA-256 in hex")
+    outputs = F.array_sort(F.collect_list(F.struct("name", "size", "sha256")))
+    row = artifacts.agg(outputs.alias("outputs")).where(F.size("outputs") > 0)
+    return row.select(
+        F.lit(1).alias("format_version"), F.lit(export_id or uuid.uuid4().hex).alias("export_id"), F.lit(run_id).cast("bigint").alias("run_id"), F.lit(source_sha256).cast("string").alias("source_sha256"),
+        F.current_timestamp().alias("exported_at"), F.lit(unresolved).cast("bigint").alias("unresolved_count"), "outputs",
+    )
+
+
 def run_summaries(candidates: DataFrame, reports: DataFrame) -> DataFrame:
     """One JSON text per document (K9, A13): pages with their row count, status, score and reasons, in page order."""
     page = [DOC, "page_index"]

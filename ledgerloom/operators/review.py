@@ -54,14 +54,24 @@ def renumber(candidates: DataFrame, order: list[Column] | None = None) -> DataFr
 
 
 def move_rows(candidates: DataFrame, moves: DataFrame) -> DataFrame:
-    """Candidates with some rows moved to a position of their page (E4): moves hold key and target; one move per page at a time."""
-    rows = renumber(candidates).join(moves.select(*KEY, "target"), KEY, "left")
-    moved = F.col("target").isNotNull()
-    from_ = F.max(F.when(moved, F.col("review_order"))).over(Window.partitionBy(*PAGE))
-    to = F.max("target").over(Window.partitionBy(*PAGE))
-    place = F.when(moved, F.col("target") + F.when(to > from_, 0.5).otherwise(-0.5)).otherwise(F.col("review_order").cast("double"))
-    rows = rows.withColumn("_place", place)
-    return renumber(rows, [F.col("_place"), F.col("row_index")]).select(*candidates.columns)
+    """Candidates with some rows moved to a position of their page (E4): moves hold key, target and, where a page has several, ord.
+
+    Moves of a page run one after the other over the page's list of rows: a row is taken out and put back at
+    its target, at the end where that lies beyond. Rows of one key move together, unknown keys move nothing.
+    """
+    if "ord" not in moves.columns:
+        moves = moves.withColumn("ord", F.lit(0))
+    steps = moves.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("ord", "row_index", "target"))).alias("_moves"))
+    rows = renumber(candidates).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("review_order", "row_index"))), lambda r: r["row_index"]).alias("_rows"))
+
+    def step(rows: Column, move: Column) -> Column:
+        left, own = F.filter(rows, lambda r: r != move["row_index"]), F.filter(rows, lambda r: r == move["row_index"])
+        return F.concat(F.slice(left, 1, move["target"]), own, F.slice(left, move["target"] + 1, F.size(left)))
+
+    order = rows.join(steps, PAGE).select(*PAGE, F.array_distinct(F.aggregate("_moves", F.col("_rows"), step)).alias("_order"))
+    df = candidates.join(order, PAGE, "left").withColumn("_place", F.array_position("_order", F.col("row_index")))
+    present_order = [F.coalesce("review_order", "row_index"), F.col("row_index"), F.col(ORDER)]
+    return renumber(df, [F.col("_place"), *present_order]).select(*candidates.columns)
 
 
 def merge_rows(candidates: DataFrame, merges: DataFrame) -> DataFrame:
@@ -159,3 +169,53 @@ def audit(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
     state = lambda df, name: df.select(*KEY, F.to_json(F.struct(*columns)).alias(name))
     both = state(before, "before_json").join(state(after, "after_json"), KEY, "full_outer")
     return both.where(~F.col("before_json").eqNullSafe(F.col("after_json")))
+
+
+REVIEWED = ("status", "duplicate_of", "review_order", "fields")
+
+
+def affected_pages(candidates: DataFrame, operations: DataFrame) -> DataFrame:
+    """Pages that a structure review touches (U6): those of its candidates and of its operations."""
+    return candidates.select(*PAGE).union(operations.select(*PAGE)).distinct()
+
+
+def save_review(stored: DataFrame, reviewed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(after, events, unknown) of saving reviewed rows over the stored ones.
+
+    after is the stored table with the reviewed rows in place; events are candidate_updated rows with both
+    states as JSON where one changed; unknown are reviewed keys that are not stored: where there is one,
+    nothing may be saved, so after and events leave such rows out. reviewed holds a key once.
+    """
+    from ledgerloom.operators.runs import upsert
+
+    keys = stored.select(*KEY).distinct()
+    known, unknown = reviewed.join(keys, KEY, "left_semi"), reviewed.join(keys, KEY, "left_anti").select(*KEY)
+    changed = audit(stored.join(known.select(*KEY), KEY, "left_semi"), known, list(REVIEWED))
+    return upsert(stored, known, KEY), changed.withColumn("action", F.lit("candidate_updated")), unknown
+
+
+def _page_states(candidates: DataFrame, name: str) -> DataFrame:
+    """All rows of each page as one JSON text, in review order; a page is bounded."""
+    columns = ["page_index", "row_index", "parser_id", *REVIEWED]
+    rows = F.array_sort(F.collect_list(F.struct(F.coalesce("review_order", "row_index").alias("o"), F.col("row_index").alias("r"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("j"))))
+    return candidates.groupBy(*PAGE).agg(F.concat(F.lit('{"candidates":['), F.array_join(F.transform(rows, lambda x: x["j"]), ","), F.lit("]}")).alias(name))
+
+
+def save_structure_review(stored: DataFrame, reviewed: DataFrame, operations: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(after, events, faults) of replacing whole pages by their reviewed rows.
+
+    after is the stored table without the affected pages, and the reviewed rows. events hold the page, the row (-1
+    for a whole page), action and both states of the page as JSON: one for each operation (page, row_index,
+    action), else a structure_snapshot of every page that changed. faults are those of snapshot_faults in
+    the reviewed rows: where there is one, nothing may be saved.
+    """
+    pages = affected_pages(reviewed, operations) if operations is not None else reviewed.select(*PAGE).distinct()
+    after = stored.join(pages, PAGE, "left_anti").unionByName(reviewed)
+    none = F.lit('{"candidates":[]}')
+    states = pages.join(_page_states(stored, "before_json"), PAGE, "left").join(_page_states(reviewed, "after_json"), PAGE, "left")
+    states = states.withColumns({c: F.coalesce(c, none) for c in ("before_json", "after_json")})
+    if operations is not None:
+        events = operations.select(*PAGE, F.coalesce("row_index", F.lit(-1)).alias("row_index"), "action").join(states, PAGE)
+    else:
+        events = states.where("before_json <> after_json").select(*PAGE, F.lit(-1).alias("row_index"), F.lit("structure_snapshot").alias("action"), "before_json", "after_json")
+    return after, events, snapshot_faults(reviewed)

@@ -148,6 +148,28 @@ def task_states(events: DataFrame, task: str = "task_id", order: str = "ord") ->
     return events.groupBy(task).agg(F.aggregate(log, start, step).alias("s")).select(task, "s.state", "s.attempt")
 
 
-def queue_order(tasks: DataFrame) -> DataFrame:
-    """Queued tasks in the order they will run (O8): first in, first out; paused and cancelled ones are passed over."""
-    return tasks.where("state = 'queued'").withColumn("position", F.row_number().over(Window.orderBy("ord")))
+def queue_order(tasks: DataFrame, queue: str = "queue") -> DataFrame:
+    """Queued tasks in the order they will run in their queue (O8): first in, first out; paused and cancelled ones are passed over."""
+    return tasks.where("state = 'queued'").withColumn("position", F.row_number().over(Window.partitionBy(queue).orderBy("ord")))
+
+
+def batch_counts(tasks: DataFrame, by: list[str]) -> DataFrame:
+    """Finished tasks of each batch (A27): completed, and not completed, which is failed or cancelled."""
+    return tasks.groupBy(*by).agg(F.count_if(F.col("state") == "completed").alias("completed"), F.count_if(F.col("state").isin("failed", "cancelled")).alias("not_completed"))
+
+
+def needs_review_counts(pages: DataFrame, reports: DataFrame, run: list[str]) -> DataFrame:
+    """Pages of each run that wait for review (A26): by their stored state, and by the status of their report."""
+    stored = pages.groupBy(*run).agg(F.count_if(F.col("status") == "needs_review").alias("by_state"))
+    reported = reports.groupBy(*run).agg(F.count_if(F.col("status").isin("review", "page_review")).alias("by_report"))
+    return stored.join(reported, run, "full_outer").fillna(0, ["by_state", "by_report"])
+
+
+def project_runs(projects: DataFrame, runs: DataFrame, project: str = "project_id") -> DataFrame:
+    """Runs with the columns of their project (J14); runs of no project and projects without runs have no row."""
+    return runs.join(projects, project)
+
+
+def delete_project(projects: DataFrame, runs: DataFrame, gone: DataFrame, project: str = "project_id") -> tuple[DataFrame, DataFrame]:
+    """(projects, runs) without some projects and all that belongs to them."""
+    return projects.join(gone.select(project), project, "left_anti"), runs.join(gone.select(project), project, "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import geometry
 from ledgerloom.functions.ids import template_fingerprint
+from ledgerloom.functions.money import parse_amount
 from ledgerloom.functions.nested import fields_from_json, fields_to_json
 from ledgerloom.operators import evaluate, export, ledger, review, runs
 from ledgerloom.plans import oracle
@@ -190,11 +191,11 @@ def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review events from the event table, spread over the candidates by their user."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    """Review events from the event table, dealt to all candidates in turn."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     c = table(spark, sf_dir, "candidates").select(*KEY, "candidate_id")
-    k = F.pmod("user_id", F.lit(97))
-    on = e.select(k.alias("candidate_id"), F.col("event_id").alias("ord"), "event_type", "value").join(c, "candidate_id")
+    last = c.agg(F.max("candidate_id")).first()[0] or 1
+    on = e.select((F.pmod("event_id", F.lit(last)) + 1).alias("candidate_id"), F.col("event_id").alias("ord"), "event_type", "value").join(c, "candidate_id")
     action = F.when(F.col("event_type") == "purchase", "accept").when(F.col("event_type") == "click", "edit").when(F.col("event_type") == "view", "edit").otherwise("reject")
     name = F.when(F.col("event_type") == "click", "balance").otherwise("transaction_amount")
     return on.select(*KEY, "ord", action.alias("action"), name.alias("field_name"), F.col("ord").cast("string").alias("value"), F.lit(None).cast("int").alias("related_page_index"), F.lit(None).cast("int").alias("related_row_index"))
@@ -230,7 +231,106 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.snapshot_faults(table(spark, sf_dir, "candidates"))
+    """Faults of the candidates after every 33rd was made a copy of no row and every 40th was stored twice."""
+    c = table(spark, sf_dir, "candidates")
+    lost = F.struct(F.col("page_index"), F.lit(99_999).alias("row_index"))
+    c = c.withColumn("duplicate_of", F.when(F.col("candidate_id") % 33 == 0, lost).otherwise(F.col("duplicate_of")))
+    return review.snapshot_faults(c.unionByName(c.where("candidate_id % 40 = 0")))
+
+
+def moved_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of every page moved to its end, then what was the second one place down."""
+    c = table(spark, sf_dir, "candidates")
+    w = Window.partitionBy(*PAGE).orderBy(F.coalesce("review_order", "row_index"), "row_index")
+    placed = c.select(*KEY, F.row_number().over(w).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(*PAGE)).cast("int").alias("n"))
+    moves = placed.where("k <= 2").select(*KEY, F.when(F.col("k") == 1, F.col("n") - 1).otherwise(1).alias("target"), F.col("k").alias("ord"))
+    return review.move_rows(c, moves).select("candidate_id", F.col("review_order").cast("bigint").alias("review_order"))
+
+
+def saved_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row accepted and saved, and rows that were never stored: what was updated, what is unknown."""
+    c = table(spark, sf_dir, "candidates")
+    reviewed = c.where("row_index % 3 = 0").withColumn("status", F.lit("accepted"))
+    strange = c.where("row_index % 50 = 0").withColumn("row_index", F.col("row_index") + 100_000)
+    after, events, unknown = review.save_review(c, reviewed.unionByName(strange))
+    told = events.select(*KEY, F.col("action").alias("what")).unionByName(unknown.withColumn("what", F.lit("unknown")))
+    return told.join(after.select(*KEY, "status"), KEY, "left")
+
+
+def structure_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every even page saved without its last row: an event for each page that changed, with the rows left on it."""
+    c = table(spark, sf_dir, "candidates")
+    last = F.max("row_index").over(Window.partitionBy(*PAGE))
+    reviewed = c.where("page_index % 2 = 0").withColumn("_last", last).where("row_index < _last").drop("_last")
+    after, events, _ = review.save_structure_review(c, reviewed)
+    return events.select(*KEY, "action").join(after.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("rows")), PAGE, "left")
+
+
+def affected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of accepted rows and of review events."""
+    return review.affected_pages(table(spark, sf_dir, "candidates").where("status = 'accepted'"), _edit_log(spark, sf_dir))
+
+
+def source_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source index with the box of every field, over blocks laid out by their index."""
+    c, issues, reports, records = _all(spark, sf_dir)
+    df = export.source_index(c, reports, issues, records, _indexed_blocks(c))
+    return df.select("candidate_id", "field_name", "source_spans", "source_bbox")
+
+
+def field_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of missing, wrong and extra predictions of each sample."""
+    df = evaluate.field_labels(truth_join(spark, sf_dir), ["sample_id"])
+    return df.select("sample_id", *[F.array_join(c, ",").alias(c) for c in ("missing", "mismatches", "extra")])
+
+
+def repeated_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.repeated_truth(table(spark, sf_dir, "golden_mirror"))
+
+
+def split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Release metrics if the mirror prints every readable amount as income or expense, and the balance as closing balance."""
+    key = ["sample_id", "page_index", "row_index"]
+    truth, predicted = _golden(spark, sf_dir)
+    amount = parse_amount(F.try_element_at("fields", F.lit("transaction_amount")))
+    split = F.filter(
+        F.array(
+            F.struct(F.lit("income_amount").alias("key"), F.when(F.col("_a") >= 0, F.col("_a").cast("string")).alias("value")),
+            F.struct(F.lit("expense").alias("key"), F.when(F.col("_a") < 0, (-F.col("_a")).cast("string")).alias("value")),
+            F.struct(F.lit("closing_balance").alias("key"), F.try_element_at("fields", F.lit("balance")).alias("value")),
+        ),
+        lambda e: e["value"].isNotNull(),
+    )
+    rest = F.map_filter("fields", lambda k, _: ~k.isin("transaction_amount", "balance"))
+    two = predicted.withColumn("_a", amount).select(*key, F.map_concat(rest, F.map_from_entries(split)).alias("fields"))
+    df = evaluate.gate_metrics(truth, two, predicted.limit(0), key)
+    return df.select("truth_rows", "predicted_rows", F.round("amount_exact", 6).alias("amount_exact"), F.round("balance_exact", 6).alias("balance_exact"))
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks from the orders: a queue per priority, the state from the order's status."""
+    states = F.create_map(*[F.lit(x) for x in ("F", "completed", "O", "queued", "P", "cancelled")])
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderpriority").alias("queue"), F.col("o_orderkey").alias("ord"), F.try_element_at(states, F.col("o_orderstatus")).alias("state"))
+
+
+def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.queue_order(_tasks(spark, sf_dir)).select("task_id", F.col("position").cast("bigint").alias("position"))
+
+
+def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.batch_counts(_tasks(spark, sf_dir), ["queue"])
+
+
+def needs_review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, reports, _ = _all(spark, sf_dir)
+    return runs.needs_review_counts(_page_table(spark, sf_dir), reports, ["statement_id"])
+
+
+def project_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements as runs of their account's project, without the projects of one currency, which are deleted."""
+    accounts = table(spark, sf_dir, "accounts").select(F.col("account_number").alias("project_id"), "currency", "bank_code")
+    projects, left = runs.delete_project(accounts, table(spark, sf_dir, "statements").select("statement_id", F.col("account_number").alias("project_id")), accounts.where("currency = 'EUR'"))
+    return runs.project_runs(projects, left).select("statement_id", "project_id", "currency", "bank_code")
 
 
 def slot_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +392,8 @@ QUERIES = {
     for f in (
         comparison_ids, wide_pivot, processing_report, source_index, review_queue, unresolved_count, review_grid, layout_index, marker_colors, issue_sources, candidate_boxes, run_summaries, truth_join, field_accuracy, v1_metrics,
         review_keys, char_accuracy, reading_baseline, resume_pages, page_status_rollup, refreshed_pages, finalized_runs, stored_fields, plain_reports, upsert_snapshot, review_fold, reviewed_candidates, review_order, merged_rows, split_rows, snapshot_faults,
-        slot_rollback, task_states, manifest_diff, pack_fingerprints, streaming_ledger,
+        slot_rollback, task_states, manifest_diff, pack_fingerprints, streaming_ledger, moved_rows, saved_review, structure_review, affected_pages, source_boxes, field_labels, repeated_truth, split_metrics, queue_order,
+        batch_counts, needs_review_counts, project_runs,
     )
 }
 
@@ -306,7 +407,9 @@ _STATES = """pg AS (
   SELECT statement_id, page_index, (length(statement_id) * 7 + CAST(right(statement_id, 4) AS INTEGER) + page_index) % 9 AS k
   FROM (SELECT statement_id, unnest(range(0, page_count + 1))::INTEGER AS page_index FROM statements)),
 states AS (SELECT *, CASE k WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'running' WHEN 3 THEN 'needs_review' ELSE 'completed' END AS status, CASE WHEN k = 0 THEN 'unreadable' END AS error FROM pg)"""
-_GOLD = lambda n: f"SELECT DISTINCT ON (sample_id, page_index, row_index) sample_id, t.page_index AS page_index, t.row_index AS row_index, t.fields AS fields FROM (SELECT sample_id, unnest(transactions) AS t FROM {n})"
+_PAIRS = "coalesce(array_to_string(list_sort(list_transform(map_entries(t.fields), lambda e: e.key || '=' || coalesce(e.value, ''))), ';'), '')"
+_PF_AMOUNT = "pf['transaction_amount']"
+_GOLD = lambda n: f"SELECT sample_id, t.page_index AS page_index, t.row_index AS row_index, arg_min(t.fields, {_PAIRS}) AS fields FROM (SELECT sample_id, unnest(transactions) AS t FROM {n}) GROUP BY ALL"
 _VERDICTS = f"""t AS ({_GOLD("golden_primary")}), p AS ({_GOLD("golden_mirror")}),
 tf AS (SELECT sample_id, page_index, row_index, e.key AS field_name, e.value AS expected FROM (SELECT *, unnest(map_entries(fields)) AS e FROM t)),
 v AS (SELECT sample_id, page_index, row_index, field_name, CASE WHEN p.fields[field_name] IS NULL THEN 'missing' WHEN p.fields[field_name] = expected THEN 'exact' ELSE 'mismatch' END AS verdict
@@ -323,7 +426,7 @@ _LOG = """log AS (
   SELECT statement_id, page_index, row_index, candidate_id, event_id AS ord, event_type,
          CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'click' THEN 'edit' WHEN 'view' THEN 'edit' ELSE 'reject' END AS action,
          CASE event_type WHEN 'click' THEN 'balance' ELSE 'transaction_amount' END AS field_name
-  FROM events JOIN candidates ON candidate_id = user_id % 97)"""
+  FROM events JOIN candidates ON candidate_id = event_id % (SELECT max(candidate_id) FROM candidates) + 1)"""
 
 ORACLE = {
     "comparison_ids": oracle.ledger("SELECT candidate_id, comparison_id FROM comparison"),
@@ -429,10 +532,40 @@ SELECT candidate_id, CASE WHEN fields['transaction_amount'] IS NOT NULL AND othe
     "split_rows": """WITH c AS (SELECT *, row_index % 2 = 0 AND fields['balance'] IS NOT NULL AND len(map_keys(fields)) > 1 AS cut, max(row_index) OVER (PARTITION BY statement_id, page_index) AS most FROM candidates)
 SELECT statement_id, page_index, row_index, CAST(len(map_keys(fields)) - cut::INT AS INTEGER) AS fields FROM c
 UNION ALL SELECT statement_id, page_index, CAST(most + row_number() OVER (PARTITION BY statement_id, page_index ORDER BY row_index, candidate_id) AS INTEGER), 1 FROM c WHERE cut""",
-    "snapshot_faults": """SELECT statement_id, page_index, row_index, 'duplicate_key' AS fault FROM candidates GROUP BY ALL HAVING count(*) > 1
-UNION ALL SELECT statement_id, page_index, max(row_index), 'duplicate_order' FROM candidates WHERE review_order IS NOT NULL GROUP BY statement_id, page_index, review_order HAVING count(*) > 1
-UNION ALL SELECT statement_id, page_index, row_index, 'unknown_duplicate_of' FROM candidates c WHERE duplicate_of IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM candidates o WHERE o.statement_id = c.statement_id AND o.page_index = c.duplicate_of.page_index AND o.row_index = c.duplicate_of.row_index)""",
+    "snapshot_faults": """WITH planted AS (SELECT statement_id, page_index, row_index, review_order, candidate_id, CASE WHEN candidate_id % 33 = 0 THEN struct_pack(page_index := page_index, row_index := 99999) ELSE duplicate_of END AS duplicate_of FROM candidates),
+candidates_ AS (SELECT * FROM planted UNION ALL SELECT * FROM planted WHERE candidate_id % 40 = 0)
+SELECT statement_id, page_index, row_index, 'duplicate_key' AS fault FROM candidates_ GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT statement_id, page_index, max(row_index), 'duplicate_order' FROM candidates_ WHERE review_order IS NOT NULL GROUP BY statement_id, page_index, review_order HAVING count(*) > 1
+UNION ALL SELECT statement_id, page_index, row_index, 'unknown_duplicate_of' FROM candidates_ c WHERE duplicate_of IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM candidates_ o WHERE o.statement_id = c.statement_id AND o.page_index = c.duplicate_of.page_index AND o.row_index = c.duplicate_of.row_index)""",
+    "slot_rollback": """WITH s AS (SELECT user_id, list_reduce(list(event_type ORDER BY event_id), lambda s, e: CASE
+    WHEN e = 'purchase' THEN CASE WHEN split_part(s, '|', 1) <> '' AND split_part(s, '|', 2) <> '' THEN split_part(s, '|', 2) || '|' || split_part(s, '|', 1) ELSE s END
+    WHEN split_part(s, '|', 1) NOT IN ('', e) THEN e || '|' || split_part(s, '|', 1) ELSE e || '|' || split_part(s, '|', 2) END, '|') AS s FROM events GROUP BY 1)
+SELECT user_id AS slot, nullif(split_part(s, '|', 1), '') AS current, nullif(split_part(s, '|', 2), '') AS previous FROM s""",
+    "task_states": """WITH s AS (SELECT user_id, list_reduce(list(event_id % 7 ORDER BY event_id)::VARCHAR[], lambda s, a: CASE split_part(s, '|', 1) || a
+    WHEN 'queued0' THEN 'running' WHEN 'running3' THEN 'completed' WHEN 'running4' THEN 'failed' WHEN 'queued1' THEN 'paused' WHEN 'running1' THEN 'paused' WHEN 'paused2' THEN 'queued'
+    WHEN 'queued5' THEN 'cancelled' WHEN 'running5' THEN 'cancelled' WHEN 'paused5' THEN 'cancelled' WHEN 'completed6' THEN 'queued' WHEN 'failed6' THEN 'queued' WHEN 'cancelled6' THEN 'queued' ELSE split_part(s, '|', 1) END
+    || '|' || (CAST(split_part(s, '|', 2) AS INTEGER) + CASE WHEN a = '6' AND split_part(s, '|', 1) IN ('completed', 'failed', 'cancelled') THEN 1 ELSE 0 END), 'queued|1') AS s FROM events GROUP BY 1)
+SELECT user_id AS task_id, split_part(s, '|', 1) AS state, CAST(split_part(s, '|', 2) AS INTEGER) AS attempt FROM s""",
+    "moved_rows": """WITH o AS (SELECT candidate_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY statement_id, page_index) AS n FROM candidates WINDOW w AS (PARTITION BY statement_id, page_index ORDER BY coalesce(review_order, row_index), row_index))
+SELECT candidate_id, CASE WHEN n = 2 THEN k - 1 WHEN k = 1 THEN n - 1 WHEN k = 2 THEN 1 WHEN k = 3 THEN 0 ELSE k - 2 END AS review_order FROM o""",
+    "saved_review": """SELECT statement_id, page_index, row_index, 'candidate_updated' AS what, 'accepted' AS status FROM candidates WHERE row_index % 3 = 0 AND status IS DISTINCT FROM 'accepted'
+UNION ALL SELECT statement_id, page_index, row_index + 100000, 'unknown', NULL FROM candidates WHERE row_index % 50 = 0""",
+    "structure_review": """SELECT statement_id, page_index, -1 AS row_index, 'structure_snapshot' AS action, count(*) - 1 AS rows FROM candidates WHERE page_index % 2 = 0 GROUP BY 1, 2 HAVING count(*) > 1""",
+    "affected_pages": f"WITH {_LOG} SELECT statement_id, page_index FROM candidates WHERE status = 'accepted' UNION SELECT statement_id, page_index FROM log",
+    "source_boxes": """SELECT candidate_id, e.key AS field_name, CAST(NULL AS VARCHAR) AS source_spans, CASE WHEN len(e.value.source_block_indices) > 0 THEN concat_ws(',', list_min(e.value.source_block_indices) * 10,
+       list_min(e.value.source_block_indices) * 3, list_max(e.value.source_block_indices) * 10 + 8, list_max(e.value.source_block_indices) * 3 + 2) END AS source_bbox FROM (SELECT candidate_id, unnest(map_entries(fields)) AS e FROM candidates)""",
+    "field_labels": f"""WITH {_VERDICTS}, l AS (SELECT sample_id, verdict, concat_ws(':', page_index, row_index, field_name) AS x FROM v)
+SELECT sample_id, {", ".join(f"coalesce(string_agg(x, ',' ORDER BY x) FILTER (verdict = '{v}'), '') AS {n}" for v, n in (("missing", "missing"), ("mismatch", "mismatches"), ("extra", "extra")))} FROM l GROUP BY 1""",
+    "repeated_truth": f"""SELECT sample_id, page_index, row_index, count(*) AS versions FROM (SELECT DISTINCT sample_id, t.page_index AS page_index, t.row_index AS row_index, {_PAIRS} AS p FROM (SELECT sample_id, unnest(transactions) AS t FROM golden_mirror))
+GROUP BY ALL HAVING count(*) > 1""",
+    "split_metrics": f"""WITH t AS ({_GOLD("golden_primary")}), p AS ({_GOLD("golden_mirror")}), j AS (SELECT t.fields AS tf, p.fields AS pf, t.fields IS NOT NULL AS tt, p.fields IS NOT NULL AS pp FROM t FULL JOIN p USING (sample_id, page_index, row_index))
+SELECT count_if(tt) AS truth_rows, count_if(pp) AS predicted_rows, round({_exact("transaction_amount", f"CAST({oracle.amount(_PF_AMOUNT)} AS VARCHAR)")}, 6) AS amount_exact, round({_exact("balance", _MONEY_OF("balance"))}, 6) AS balance_exact FROM j""",
+    "queue_order": "SELECT o_orderkey AS task_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS position FROM orders WHERE o_orderstatus = 'O'",
+    "batch_counts": "SELECT o_orderpriority AS queue, count_if(o_orderstatus = 'F') AS completed, count_if(o_orderstatus = 'P') AS not_completed FROM orders GROUP BY 1",
+    "needs_review_counts": oracle.ledger(f""", {_STATES}, a AS (SELECT statement_id, count_if(status = 'needs_review') AS by_state FROM states GROUP BY 1), b AS (SELECT statement_id, count_if(status IN ('review', 'page_review')) AS by_report FROM reports GROUP BY 1)
+SELECT statement_id, coalesce(by_state, 0) AS by_state, coalesce(by_report, 0) AS by_report FROM a FULL JOIN b USING (statement_id)"""),
+    "project_runs": "SELECT statement_id, account_number AS project_id, currency, bank_code FROM statements JOIN accounts USING (account_number) WHERE currency <> 'EUR'",
     "manifest_diff": """WITH p AS (SELECT p_partkey, sha256(concat_ws('|', p_name, p_brand, p_size)) AS h FROM part),
 c AS (SELECT CASE WHEN p_partkey % 77 = 0 THEN p_partkey + 10000000 ELSE p_partkey END AS p_partkey, CASE WHEN p_partkey % 31 = 0 THEN 'x' ELSE h END AS g FROM p WHERE p_partkey % 50 <> 0)
 SELECT p_partkey, CASE WHEN g IS NULL THEN 'missing' WHEN h IS NULL THEN 'unlisted' ELSE 'changed' END AS verdict FROM p FULL JOIN c USING (p_partkey) WHERE h IS DISTINCT FROM g""",

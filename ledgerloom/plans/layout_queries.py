@@ -190,9 +190,13 @@ def generic_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome of every page by its own way: matched grid, or a layout inferred from its header, or review."""
+    """Outcome of every page by its own way: matched grid, or a layout inferred from its header, or review.
+
+    The template asks for two of the printed headers and a third that no page has, so that pages which lack one of the two are on their own.
+    """
     page, blocks = printed_pages(spark, sf_dir)
-    return layout.parse_pages(page, blocks, templates(spark))[1].select("doc_id", "page_index", "status", "candidates")
+    asked = templates(spark).where("template_id = 'printed_v1'").withColumn("header_tokens", F.array(F.lit(COLUMNS[1][3]), F.lit(COLUMNS[3][3]), F.lit("凭证号")))
+    return layout.parse_pages(page.withColumn("page_height", F.lit(80.0)), blocks, asked)[1].select("doc_id", "page_index", "status", "candidates")
 
 
 def row_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,12 +305,26 @@ kinds AS (SELECT *, CASE WHEN broken THEN 'page_error' WHEN chars > 0 AND image
 groups AS (SELECT doc, print, list(page ORDER BY page) AS pages FROM pg GROUP BY ALL HAVING count(*) > 1)"""
 _CELLS_OF = "SELECT doc_id, page_index, place, n, trim(fields['{0}'].raw_text, ' ' || chr(9) || chr(10) || chr(13)) AS t, '{0}' AS field_name FROM ranked"
 _ALL_CELLS = "cells AS (" + " UNION ALL ".join(_CELLS_OF.format(n) for n, *_ in COLUMNS) + ")"
+_BLOCKS = """blocks AS (
+  SELECT doc_id, page_index, CAST(k AS INTEGER) AS block_index, k, 0 AS r, header AS text, l, r AS right_, 8 AS y FROM (SELECT * FROM sizes, cols) WHERE (n + k) % 4 <> 0
+  UNION ALL SELECT doc_id, page_index, CAST(place * 10 + k AS INTEGER), k, place, fields[name].raw_text, l, r, 35 + 20 * (place - 1) FROM ranked, cols WHERE fields[name].raw_text IS NOT NULL)"""
 _LINES = """lines AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(l_linenumber * 1000000 + l_partkey AS INTEGER) AS block_index, 'line' || (l_linenumber % 2) AS t, (l_partkey % 5) * 40.0 AS x0, (l_suppkey % 3) * 30.0 AS y0,
          (l_partkey % 5) * 40.0 + 30 + (l_quantity % 3) AS x1, (l_suppkey % 3) * 30.0 + 20 AS y1, CASE WHEN l_linestatus = 'O' THEN 'native_pdf' ELSE 'ocr' END AS source_type FROM lineitem)"""
 
 from ledgerloom.plans import oracle  # noqa: E402
 
+_TARGETS = """
+, wide AS (
+  SELECT i.*, f.name, f.k FROM (SELECT i.*, c.fields FROM issues i JOIN (SELECT DISTINCT ON (statement_id, page_index, row_index) * FROM candidates) c USING (statement_id, page_index, row_index)
+                                WHERE code IN ('invalid_amount', 'invalid_balance', 'invalid_date', 'low_confidence', 'balance_mismatch')) i,
+       LATERAL (SELECT unnest(CASE WHEN list_contains(map_keys(i.fields), coalesce(i.field_name, '')) THEN [i.field_name]
+                                   WHEN code = 'invalid_balance' THEN list_filter(['balance', 'online_balance', 'closing_balance'], lambda n: list_contains(map_keys(i.fields), n))
+                                   WHEN code = 'balance_mismatch' THEN list_filter(['transaction_amount', 'amount', 'income_amount', 'expense_amount', 'balance', 'online_balance'], lambda n: list_contains(map_keys(i.fields), n)) END) AS name,
+                       0 AS k) f),
+numbered AS (SELECT statement_id, page_index, row_index, name, min(struct_pack(r := row_index, e := emit_ord, k := k)) AS pos FROM wide GROUP BY ALL),
+targets AS (SELECT statement_id, page_index, row_index, name AS field_name, o AS target_order FROM (SELECT *, row_number() OVER (PARTITION BY statement_id, page_index ORDER BY pos) AS o FROM numbered) WHERE o <= 24)"""
+
 ORACLE = {
     "page_classify": f"WITH {_TEXT_PAGES} SELECT page_id, kind FROM kinds",
     "repeated_pages": f"WITH {_TEXT_PAGES} SELECT doc AS doc_id, print AS content_fingerprint, array_to_string(pages, ',') AS pages FROM groups",
@@ -329,6 +347,30 @@ a AS (SELECT user_id, m AS top, CAST(row_number() OVER w - 1 AS INTEGER) AS row_
 SELECT event_id, row_index FROM e JOIN a USING (user_id) WHERE m >= top AND m < bottom""",
     "cell_assembly": """SELECT l_orderkey, l_returnflag AS field_name, string_agg('p' || l_partkey, ' ' ORDER BY l_linenumber * 1000000 + l_partkey) AS raw_text, round(min(l_quantity / 50), 6) AS confidence,
        string_agg(CAST(l_linenumber * 1000000 + l_partkey AS VARCHAR), ',' ORDER BY l_linenumber * 1000000 + l_partkey) AS indices, min(l_quantity) AS x0, max(l_quantity) AS x1 FROM lineitem GROUP BY 1, 2""",
+    "block_evidence": f"""WITH {_RANKED}, {_COLS}, {_BLOCKS}
+SELECT doc_id, page_index, block_index, concat_ws(',', CAST(round(l * 600 + 4) AS INTEGER), y, CAST(round(right_ * 600 - 4) AS INTEGER), y + 10) AS box, printf('%.4f', CAST((l + right_) / 2 AS DOUBLE)) AS center_ratio FROM blocks""",
+    "row_grouping": f"""WITH {_RANKED}, {_COLS}, {_BLOCKS}
+SELECT doc_id, page_index, block_index, CAST(dense_rank() OVER (PARTITION BY doc_id, page_index ORDER BY r) - 1 AS INTEGER) AS row_index, CAST(row_number() OVER (PARTITION BY doc_id, page_index, r ORDER BY k) - 1 AS INTEGER) AS place FROM blocks""",
+    "generic_layouts": f"""WITH {_RANKED}
+SELECT doc_id, page_index, CASE WHEN n % 4 = 1 THEN 'accounting_date:0.0,transaction_amount:0.15,balance:0.3,counterparty_name:0.6125' END AS columns, n % 4 = 1 AS inferred FROM sizes""",
+    "page_parse": f"""WITH {_RANKED}, {_ALL_CELLS},
+flat AS (SELECT doc_id, page_index, n, place, max(CASE WHEN field_name = 'transaction_date' THEN t END) AS d, max(CASE WHEN field_name = 'transaction_amount' THEN t END) AS m,
+                bool_or(t <> '' AND field_name IN ('balance', 'description')) AS rest, bool_or(t <> '') AS inked FROM cells GROUP BY ALL),
+grid AS (SELECT doc_id, page_index, bool_and(coalesce(d, '') <> '' AND coalesce(m, '') <> '') AS ok, count(*) AS c FROM flat WHERE n % 2 = 0 AND inked GROUP BY ALL),
+owned AS (SELECT *, sum(CASE WHEN {oracle.date("d")} IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_index ORDER BY place) AS anchor FROM flat WHERE n % 4 = 1),
+anchored AS (SELECT doc_id, page_index, anchor, coalesce(bool_or(rest), false) AS ok FROM owned WHERE anchor > 0 GROUP BY ALL),
+found AS (SELECT doc_id, page_index, bool_and(ok) AS ok, count(*) AS c FROM anchored GROUP BY ALL)
+SELECT doc_id, page_index, CASE WHEN n % 4 = 3 THEN 'page_review' WHEN coalesce(g.ok, f.ok, false) THEN 'success' ELSE 'failed' END AS status, CAST(CASE WHEN coalesce(g.ok, f.ok, false) THEN coalesce(g.c, f.c) ELSE 0 END AS INTEGER) AS candidates
+FROM sizes LEFT JOIN grid g USING (doc_id, page_index) LEFT JOIN found f USING (doc_id, page_index)""",
+    "text_quality": r"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, length(text) AS n FROM documents), m AS (
+  SELECT doc_id, concat_ws(',', CASE WHEN text IS NULL THEN 'empty_text_layer' END, CASE WHEN regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]') THEN 'invalid_characters' END,
+         CASE WHEN n % 700 > 600 OR n % 700 = 0 THEN 'bbox_out_of_bounds' END, CASE WHEN n % 300 + 1 > 200 THEN 'bbox_height_anomaly' END,
+         CASE WHEN text IS NULL OR length(regexp_replace(text, '[\s\p{Z}\x0b\x1c-\x1f\x{85}]', '', 'g')) < 4 THEN 'text_layer_too_sparse' END) AS reasons FROM d)
+SELECT doc_id, reasons = '' AS accepted, reasons FROM m""",
+    "variant_choice": rf"""WITH c AS (SELECT candidate_id AS region_id, fields['transaction_amount'].raw_text AS t, coalesce(fields['transaction_amount'].confidence, 0) AS p FROM candidates),
+three AS (SELECT region_id, 0 AS k, 'original' AS variant, replace(t, '0', 'O') AS x, p FROM c UNION ALL SELECT region_id, 1, 'contrast', t, p * 0.75 FROM c UNION ALL SELECT region_id, 2, 'upscale', regexp_replace(t, '[,.]', '', 'g'), p * 0.5 FROM c),
+scored AS (SELECT *, p + CASE WHEN {oracle.amount("x")} IS NOT NULL THEN 10 WHEN regexp_matches(x, '\d') THEN 0.25 ELSE 0 END AS score FROM three)
+SELECT region_id, variant FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY score DESC, k) AS place FROM scored) WHERE place = 1""",
     "template_match": f"""WITH {_RANKED}, {_COLS}, heads AS (SELECT doc_id, page_index, count(*) AS hits, bool_or(name = 'transaction_amount') AS amount FROM sizes, cols WHERE (n + k) % 4 <> 0 GROUP BY ALL)
 SELECT doc_id, page_index, 'printed_v1' AS template_id, round(hits / 5.0, 6) AS score FROM heads WHERE hits * 10 >= 5 * 6""",
     "grid_parse": f"WITH {_RANKED}, {_ALL_CELLS} SELECT doc_id, page_index, CAST(place AS INTEGER) AS row_index, field_name, t AS raw_text FROM cells WHERE t <> ''",
@@ -345,16 +387,12 @@ FROM cells JOIN owned USING (doc_id, page_index, place) WHERE row_index >= 0 AND
 SELECT doc_id, page_index, CAST(band AS INTEGER) AS row_index, name AS field_name, round(l * 600 + 1.5, 4)::DOUBLE AS x0, round(30 + 20 * (band - 1) + 1.5, 4)::DOUBLE AS y0,
        round(r * 600 - 1.5, 4)::DOUBLE AS x1, round(30 + 20 * band - 1.5, 4)::DOUBLE AS y1
 FROM (SELECT doc_id, page_index, unnest(range(1, n + 1)) AS band FROM sizes), cols""",
-    "topk_targets": oracle.ledger("""
-, wide AS (
-  SELECT i.*, f.name, f.k FROM (SELECT i.*, c.fields FROM issues i JOIN (SELECT DISTINCT ON (statement_id, page_index, row_index) * FROM candidates) c USING (statement_id, page_index, row_index)
-                                WHERE code IN ('invalid_amount', 'invalid_balance', 'invalid_date', 'low_confidence', 'balance_mismatch')) i,
-       LATERAL (SELECT unnest(CASE WHEN list_contains(map_keys(i.fields), coalesce(i.field_name, '')) THEN [i.field_name]
-                                   WHEN code = 'invalid_balance' THEN list_filter(['balance', 'online_balance', 'closing_balance'], lambda n: list_contains(map_keys(i.fields), n))
-                                   WHEN code = 'balance_mismatch' THEN list_filter(['transaction_amount', 'amount', 'income_amount', 'expense_amount', 'balance', 'online_balance'], lambda n: list_contains(map_keys(i.fields), n)) END) AS name,
-                       0 AS k) f),
-numbered AS (SELECT statement_id, page_index, row_index, name, min(struct_pack(r := row_index, e := emit_ord, k := k)) AS pos FROM wide GROUP BY ALL)
-SELECT statement_id, page_index, row_index, name AS field_name, o AS target_order FROM (SELECT *, row_number() OVER (PARTITION BY statement_id, page_index ORDER BY pos) AS o FROM numbered) WHERE o <= 24"""),
+    "topk_targets": oracle.ledger(f"""{_TARGETS}
+SELECT * FROM targets"""),
+    "field_regions": oracle.ledger(f"""{_TARGETS}
+SELECT t.statement_id, t.page_index, t.row_index, t.field_name, min((i % 10) * 50.0 - 2)::DOUBLE AS x0, min(i * 3.0 - 2)::DOUBLE AS y0, max((i % 10) * 50.0 + 42)::DOUBLE AS x1, max(i * 3.0 + 4)::DOUBLE AS y1
+FROM targets t JOIN (SELECT statement_id, page_index, row_index, e.key AS field_name, unnest(e.value.source_block_indices) AS i FROM (SELECT *, unnest(map_entries(fields)) AS e FROM candidates)) b
+  ON t.statement_id = b.statement_id AND t.page_index = b.page_index AND t.row_index = b.row_index AND t.field_name = b.field_name WHERE i IS NOT NULL GROUP BY ALL"""),
     "ruling_boundaries": """WITH g AS (SELECT DISTINCT l_orderkey AS doc_id, l_suppkey AS y FROM lineitem WHERE l_quantity * 5 >= 50 AND l_quantity <= 40)
 SELECT doc_id, string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) AS boundaries FROM g GROUP BY 1""",
     "header_suggestions": f"""WITH {_RANKED}, {_COLS} SELECT doc_id, page_index, string_agg(header, '|' ORDER BY k) AS suggestions FROM sizes, cols WHERE (n + k) % 4 <> 0 GROUP BY ALL""",

@@ -30,6 +30,30 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# The two published layouts that are known without any file.
+KNOWN_TEMPLATES = [
+    (
+        "bohai_detail_v1", ["交易日期", "交易金额", "余额", "交易渠道", "摘要码描述", "对方账号", "对方名称", "交易时间"],
+        [("transaction_date", 0.032, 0.143), ("transaction_amount", 0.143, 0.255), ("balance", 0.255, 0.385), ("channel", 0.385, 0.496),
+         ("description", 0.496, 0.607), ("counterparty_account", 0.607, 0.701), ("counterparty_name", 0.701, 0.887), ("transaction_time", 0.887, 0.979)],
+        ["transaction_date", "transaction_amount", "balance"], "grid",
+    ),
+    (
+        "online_statement_v1", ["记账日期", "币种", "收入金额", "支出金额", "联机余额", "交易摘要", "交易对手信息", "客户摘要"],
+        [("accounting_date", 0.034, 0.101), ("currency", 0.101, 0.195), ("income_amount", 0.195, 0.309), ("expense_amount", 0.309, 0.413),
+         ("online_balance", 0.413, 0.520), ("transaction_summary", 0.520, 0.654), ("counterparty_info", 0.654, 0.832), ("customer_summary", 0.832, 0.980)],
+        ["accounting_date", "currency", "online_balance"], "anchor_date",
+    ),
+]
+
+
+def known_templates(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """Layout templates of a directory, else the built-in ones."""
+    if path is not None:
+        return read_templates(spark, path)
+    return spark.createDataFrame([(t, "1", k, tokens, columns, required, strategy, 0.25) for k, (t, tokens, columns, required, strategy) in enumerate(KNOWN_TEMPLATES)], schemas.TEMPLATES)
+
+
 def template_faults(templates: DataFrame) -> DataFrame:
     """Templates that cannot be confirmed (E10, W10): template_id, fault no_columns, bad_range or overlap."""
     by_left = F.array_sort(F.transform("columns", lambda c: F.struct(c["left_ratio"].alias("l"), c["right_ratio"].alias("r"))))
