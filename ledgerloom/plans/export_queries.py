@@ -285,7 +285,8 @@ def field_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.repeated_truth(table(spark, sf_dir, "golden_mirror"))
+    """Rows that the two copies of the golden samples, taken as one, hold in several versions."""
+    return evaluate.repeated_truth(table(spark, sf_dir, "golden_primary").unionByName(table(spark, sf_dir, "golden_mirror")))
 
 
 def split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -557,7 +558,7 @@ UNION ALL SELECT statement_id, page_index, row_index + 100000, 'unknown', NULL F
        list_min(e.value.source_block_indices) * 3, list_max(e.value.source_block_indices) * 10 + 8, list_max(e.value.source_block_indices) * 3 + 2) END AS source_bbox FROM (SELECT candidate_id, unnest(map_entries(fields)) AS e FROM candidates)""",
     "field_labels": f"""WITH {_VERDICTS}, l AS (SELECT sample_id, verdict, concat_ws(':', page_index, row_index, field_name) AS x FROM v)
 SELECT sample_id, {", ".join(f"coalesce(string_agg(x, ',' ORDER BY x) FILTER (verdict = '{v}'), '') AS {n}" for v, n in (("missing", "missing"), ("mismatch", "mismatches"), ("extra", "extra")))} FROM l GROUP BY 1""",
-    "repeated_truth": f"""SELECT sample_id, page_index, row_index, count(*) AS versions FROM (SELECT DISTINCT sample_id, t.page_index AS page_index, t.row_index AS row_index, {_PAIRS} AS p FROM (SELECT sample_id, unnest(transactions) AS t FROM golden_mirror))
+    "repeated_truth": f"""SELECT sample_id, page_index, row_index, count(*) AS versions FROM (SELECT DISTINCT sample_id, t.page_index AS page_index, t.row_index AS row_index, {_PAIRS} AS p FROM (SELECT sample_id, unnest(transactions) AS t FROM (SELECT sample_id, transactions FROM golden_primary UNION ALL SELECT sample_id, transactions FROM golden_mirror)))
 GROUP BY ALL HAVING count(*) > 1""",
     "split_metrics": f"""WITH t AS ({_GOLD("golden_primary")}), p AS ({_GOLD("golden_mirror")}), j AS (SELECT t.fields AS tf, p.fields AS pf, t.fields IS NOT NULL AS tt, p.fields IS NOT NULL AS pp FROM t FULL JOIN p USING (sample_id, page_index, row_index))
 SELECT count_if(tt) AS truth_rows, count_if(pp) AS predicted_rows, round({_exact("transaction_amount", f"CAST({oracle.amount(_PF_AMOUNT)} AS VARCHAR)")}, 6) AS amount_exact, round({_exact("balance", _MONEY_OF("balance"))}, 6) AS balance_exact FROM j""",

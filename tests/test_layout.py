@@ -142,3 +142,37 @@ def test_quality_and_copies(spark):
     two = spark.createDataFrame([("d", 0, 0, "A b", 0.0, 0.0, 10.0, 10.0, 0.9, "ocr"), ("d", 0, 1, "ＡB", 0.0, 0.0, 10.0, 10.0, None, "native_pdf"), ("d", 0, 2, "ab", 0.0, 0.0, 10.0, 9.0, 0.8, "ocr"), ("d", 0, 3, "ab", 50.0, 0.0, 60.0, 9.0, 0.8, "ocr")], schemas.BLOCKS)
     assert [r["block_index"] for r in pages.deduplicate_blocks(two).collect()] == [1, 3]
     assert sorted(r["block_index"] for r in pages.drop_ocr_copies(two).collect()) == [1, 3]
+
+
+def test_rows_by_height_match_comparing_all():
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(60):
+        tolerance, least = rng.choice([0.0, 4.0, 8.0]), rng.choice([0.0, 0.25, 0.6])
+        boxes = sorted((rng.uniform(0, 120), rng.uniform(1, 25)) for _ in range(40))
+        tops, bottoms = np.array([a for a, _ in boxes]), np.array([a + h for a, h in boxes])
+        rows, expected = [], []
+        for a, b in zip(tops, bottoms):
+            fit = []
+            for k, (low, high) in enumerate(rows):
+                share, away = max(0.0, min(b, high) - max(a, low)) / (b - a), abs((low + high) / 2 - (a + b) / 2)
+                if share >= least or away <= tolerance:
+                    fit.append((-share, away, k))
+            k = min(fit)[2] if fit else len(rows)
+            if not fit:
+                rows.append((a, b))
+            rows[k] = (min(rows[k][0], a), max(rows[k][1], b))
+            expected.append(k)
+        assert layout.rows_by_height(tops, bottoms, tolerance, least).tolist() == expected
+
+
+def test_many_templates_and_bands(spark, monkeypatch):
+    one = template(spark, COLUMNS)
+    for at_once in (1, 2, 500):
+        monkeypatch.setattr(layout, "TEMPLATES_AT_ONCE", at_once)
+        many = one.unionByName(template(spark, COLUMNS, tokens=("日期", "柜员"), name="t2")).unionByName(template(spark, COLUMNS, tokens=("金额", "2026-08-02"), name="t3", ratio=0.5)).unionByName(template(spark, COLUMNS, tokens=("x",), name="t0"))
+        assert {(r["template_id"], r["score"]) for r in layout.match_templates(page(spark), blocks(spark, GRID), many).collect()} == set()  # t1 and t3 tie
+        best = many.where("template_id <> 't3'")
+        assert [(r["template_id"], r["score"]) for r in layout.match_templates(page(spark), blocks(spark, GRID), best).collect()] == [("t1", 1.0)]
+    assert layout.match_templates(page(spark), blocks(spark, GRID), one.limit(0)).count() == 0
