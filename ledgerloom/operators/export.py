@@ -12,7 +12,7 @@ from ledgerloom.functions.dates import parse_date
 from ledgerloom.functions.geometry import box_text, union_box
 from ledgerloom.functions.money import parse_amount
 from ledgerloom.functions.nested import spans_json
-from ledgerloom.operators.ledger import DOC, KEY, ORDER, shown_text
+from ledgerloom.operators.ledger import DOC, KEY, ORDER, shown_text, with_values
 
 # Canonical columns and the field names they are filled from, first present one wins.
 CANONICAL = {
@@ -59,60 +59,50 @@ def field_names(candidates: DataFrame, most: int = 2_000) -> list[str]:
     return names
 
 
-def transactions_wide(candidates: DataFrame, reports: DataFrame, records: DataFrame, boxes: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
-    """The wide transactions sheet (K1, P13): seven canonical columns, typed values of four of them (P21), the technical ones, then four text layers per field name.
+def transactions_wide(rows: DataFrame, boxes: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
+    """The wide transactions sheet of ledger.reviewed_rows (K1, P13): seven canonical columns, typed values of four of them (P21), the technical ones, then four text layers per field name.
 
-    The layers come straight from the field map, so the pivot needs no shuffle. Duplicate rows have no
-    transaction; a row whose page has no report is 'unknown'.
+    The layers come straight from the field map, so the pivot needs no shuffle.
     """
-    names = field_names(candidates) if names is None else names
-    page = [DOC, "page_index"]
-    df = candidates.join(comparison_ids(candidates), [*KEY, ORDER])
-    df = df.join(reports.select(*page, F.col("status").alias("validation_status")), page, "left").join(records.select(*KEY, ORDER, "transaction_id", "statement_stream_id"), [*KEY, ORDER], "left")
+    names = field_names(rows) if names is None else names
     if boxes is not None:
-        df = df.join(boxes.select(*KEY, box_text(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("source_box")), KEY, "left")
+        df = rows.join(boxes.select(*KEY, box_text(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("source_box")), KEY, "left")
     else:
-        df = df.withColumn("source_box", F.lit(None).cast("string"))
+        df = rows.withColumn("source_box", F.lit(None).cast("string"))
     layers = [F.try_element_at("fields", F.lit(n))[text].alias(f"{n}.{layer}") for n in names for layer, text in LAYERS.items()]
-    typed = {name: typed_value(name, shown_text(*CANONICAL[name])) for name in ("date", "income", "expense", "balance")}
+    money = ("income", "expense", "balance")
+    shown = {f"shown_{name}": shown_text(*aliases) for name, aliases in CANONICAL.items()}
+    df = df.withColumns(shown).withColumns({f"_{n}_value": F.col(f"shown_{n}") for n in (*money, "date")})
+    df = with_values(df, tuple(f"{n}_value" for n in money), ("date_value",))
     return df.select(
-        *[shown_text(*aliases).alias(name) for name, aliases in CANONICAL.items()],
-        typed["date"][0].alias("date_value"), *[typed[n][1].alias(f"{n}_value") for n in ("income", "expense", "balance")],
+        *[F.col(f"shown_{name}").alias(name) for name in CANONICAL], "date_value", *[f"{n}_value" for n in money],
         (F.col("page_index") + 1).alias("page"), "status", "comparison_id", (F.col("page_index") + 1).alias("source_page"), "source_box",
         F.when(F.col("source_box").isNull(), "unlocated").otherwise("located").alias("source_location_status"),
         F.when(F.col("duplicate_of").isNotNull(), F.concat_ws(":", "duplicate_of.page_index", "duplicate_of.row_index")).alias("duplicate_reference"),
-        F.coalesce("validation_status", F.lit("unknown")).alias("validation_status"),
+        F.col("report_status").alias("validation_status"),
         "transaction_id", "statement_stream_id", *KEY, ORDER, "parser_id", *layers,
     )
 
 
-def processing_report(candidates: DataFrame, reports: DataFrame, issues: DataFrame) -> DataFrame:
-    """Metrics of each document as (statement_id, metric, value) (K2, A11, U5); critical issues count whatever their state (Q12)."""
-    page = [DOC, "page_index"]
+def processing_report(rows: DataFrame) -> DataFrame:
+    """Metrics of each document of ledger.reviewed_rows as (statement_id, metric, value) (K2, A11, U5); critical issues count whatever their state (Q12)."""
     count = lambda cond: F.count_if(cond).cast("string")
-    rows = candidates.groupBy(DOC).agg(
-        F.count(F.lit(1)).cast("string").alias("transaction_count"),
+    found = lambda cond: F.sum(F.size(F.filter("issues", cond)).cast("bigint")).cast("string")
+    pages = F.array_sort(F.collect_set(F.struct("page_index", "report_status")))
+    df = rows.groupBy(DOC).agg(
+        F.count_distinct("page_index").cast("string").alias("page_count"), F.count(F.lit(1)).cast("string").alias("transaction_count"),
         *[count(F.col("status") == s).alias(n) for n, s in (("accepted_count", "accepted"), ("rejected_count", "rejected"), ("duplicate_count", "duplicate"), ("needs_review_count", "unreviewed"))],
-    )
-    pages = candidates.select(*page).union(reports.select(*page)).groupBy(DOC).agg(F.count_distinct("page_index").cast("string").alias("page_count"))
-    found = issues.groupBy(DOC).agg(
-        F.count(F.lit(1)).cast("string").alias("validation_issue_count"), count(F.col("rule_state") == "fail").alias("confirmed_failure_count"),
-        count(F.col("rule_state") == "indeterminate").alias("indeterminate_count"), count(F.col("severity") == "critical").alias("critical_issue_count"),
+        F.sum(F.size("issues").cast("bigint")).cast("string").alias("validation_issue_count"), found(lambda i: i["rule_state"] == "fail").alias("confirmed_failure_count"),
+        found(lambda i: i["rule_state"] == "indeterminate").alias("indeterminate_count"), found(lambda i: i["severity"] == "critical").alias("critical_issue_count"),
+        F.array_join(F.transform(pages, lambda s: F.concat_ws(":", s["page_index"], s["report_status"])), ", ").alias("validation_statuses"),
     )
-    states = F.array_sort(F.collect_list(F.struct("page_index", "status")))
-    shown = reports.groupBy(DOC).agg(F.array_join(F.transform(states, lambda s: F.concat_ws(":", s["page_index"], s["status"])), ", ").alias("validation_statuses"))
-    df = pages.join(rows, DOC, "left").join(found, DOC, "left").join(shown, DOC, "left")
-    metrics = [c for c in df.columns if c != DOC]
-    df = df.fillna("0", [c for c in metrics if c.endswith("_count")]).fillna("", ["validation_statuses"])
-    return df.unpivot(DOC, metrics, "metric", "value")
+    return df.unpivot(DOC, [c for c in df.columns if c != DOC], "metric", "value")
 
 
-def field_rule_states(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Worst rule state per (row, field) and per row of row-level issues (P20)."""
-    rank = F.array_position(F.array(F.lit("fail"), F.lit("indeterminate"), F.lit("pass"), F.lit("not_applicable")), F.col("rule_state"))
-    by_field = issues.where("field_name is not null").groupBy(*KEY, "field_name").agg(F.min_by("rule_state", rank).alias("field_state"))
-    by_row = issues.where("field_name is null").groupBy(*KEY).agg(F.min_by("rule_state", rank).alias("row_state"))
-    return by_field, by_row
+def worst_state(issues: Column) -> Column:
+    """The worst rule state of an array of issues (P20), null where there are none."""
+    of = lambda s: F.exists(issues, lambda i: i["rule_state"] == s)
+    return F.when(of("fail"), "fail").when(of("indeterminate"), "indeterminate").when(of("pass"), "pass").when(of("not_applicable"), "not_applicable")
 
 
 def field_boxes(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -123,51 +113,47 @@ def field_boxes(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
     return boxed.select(*KEY, ORDER, "field_name", box_text(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("source_bbox"))
 
 
-def source_index(candidates: DataFrame, reports: DataFrame, issues: DataFrame, records: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-    """One row per candidate and field with its text layers, evidence, rule state and ids (K3).
+def source_index(rows: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """One row per field of ledger.reviewed_rows with its text layers, evidence, rule state and ids (K3).
 
-    source_spans is JSON where the fields hold source_spans, else null; source_bbox is null without blocks.
+    The rule state is the worst of the field's issues, else of the row's own, else pass. source_spans is JSON
+    where the fields hold source_spans, else null; source_bbox is null without blocks.
     """
-    page = [DOC, "page_index"]
-    by_field, by_row = field_rule_states(issues)
-    df = candidates.select(*KEY, ORDER, "status", F.explode("fields").alias("field_name", "v"))
-    df = df.join(comparison_ids(candidates), [*KEY, ORDER]).join(records.select(*KEY, ORDER, "transaction_id"), [*KEY, ORDER], "left")
-    df = df.join(reports.select(*page, F.col("status").alias("report_status")), page, "left").join(by_field, [*KEY, "field_name"], "left").join(by_row, KEY, "left")
-    spans = "source_spans" in candidates.schema["fields"].dataType.valueType.names
+    of_row = worst_state(F.filter("key_issues", lambda i: i["field_name"].isNull()))
+    df = rows.select(*KEY, ORDER, "status", "transaction_id", "comparison_id", "report_status", "key_issues", of_row.alias("row_state"), F.explode("fields").alias("field_name", "v"))
+    of_field = worst_state(F.filter("key_issues", lambda i: i["field_name"] == F.col("field_name")))
+    spans = "source_spans" in rows.schema["fields"].dataType.valueType.names
     df = df.withColumn("source_spans", spans_json("v.source_spans") if spans else F.lit(None).cast("string"))
-    df = df.join(field_boxes(candidates, blocks), [*KEY, ORDER, "field_name"], "left") if blocks is not None else df.withColumn("source_bbox", F.lit(None).cast("string"))
+    df = df.join(field_boxes(rows, blocks), [*KEY, ORDER, "field_name"], "left") if blocks is not None else df.withColumn("source_bbox", F.lit(None).cast("string"))
     return df.select(
         *KEY, ORDER, "transaction_id", "comparison_id", "field_name", *[F.col(f"v.{t}").alias(t) for t in LAYERS.values()], F.col("v.confidence").alias("confidence"),
         F.array_join(F.transform("v.source_block_indices", lambda i: i.cast("string")), ",").alias("source_block_indices"), "source_spans", "source_bbox",
-        F.coalesce("report_status", F.lit("unknown")).alias("validation_status"), F.coalesce("field_state", "row_state", F.lit("pass")).alias("rule_state"), "status",
+        F.col("report_status").alias("validation_status"), F.coalesce(of_field, "row_state", F.lit("pass")).alias("rule_state"), "status",
     )
 
 
-def review_queue(candidates: DataFrame, reports: DataFrame, issues: DataFrame, page_errors: DataFrame | None = None) -> DataFrame:
-    """Issues with their row and field, and page errors as row -1 (K4, U2, O6): queue_order sorts by page, row, severity and code inside a document."""
-    page = [DOC, "page_index"]
-    values = candidates.select(*KEY, ORDER, "status", "fields")
-    df = issues.join(values, [*KEY, ORDER], "left").join(reports.select(*page, F.col("status").alias("validation_status")), page, "left")
+def review_queue(rows: DataFrame, page_errors: DataFrame | None = None) -> DataFrame:
+    """Issues of ledger.reviewed_rows with their row and field, and page errors as row -1 (K4, U2, O6): queue_order sorts by page, row, severity and code inside a document."""
+    df = rows.select(*KEY, ORDER, "status", "fields", "report_status", F.inline("issues"))
     value = F.try_element_at("fields", F.col("field_name"))
-    rows = df.select(*KEY, ORDER, "emit_ord", "code", "severity", "rule_state", "field_name", F.col("status").alias("candidate_status"), value["raw_text"].alias("raw_text"), value["suggested_text"].alias("suggested_text"), "validation_status")
+    df = df.select(*KEY, ORDER, "emit_ord", "code", "severity", "rule_state", "field_name", F.col("status").alias("candidate_status"), value["raw_text"].alias("raw_text"), value["suggested_text"].alias("suggested_text"), F.col("report_status").alias("validation_status"))
     if page_errors is not None:
         error = page_errors.select(
-            *page, F.lit(-1).alias("row_index"), F.lit(None).cast("bigint").alias(ORDER), F.lit(0).alias("emit_ord"), F.lit("page_error").alias("code"), F.lit("critical").alias("severity"),
+            DOC, "page_index", F.lit(-1).alias("row_index"), F.lit(None).cast("bigint").alias(ORDER), F.lit(0).alias("emit_ord"), F.lit("page_error").alias("code"), F.lit("critical").alias("severity"),
             F.lit("fail").alias("rule_state"), F.lit("page_review").alias("validation_status"),
         )
-        rows = rows.unionByName(error, allowMissingColumns=True)
+        df = df.unionByName(error, allowMissingColumns=True)
     order = Window.partitionBy(DOC).orderBy("page_index", "row_index", "severity", "code", ORDER, "emit_ord")
-    return rows.withColumn("queue_order", F.row_number().over(order))
+    return df.withColumn("queue_order", F.row_number().over(order))
 
 
-def unresolved_counts(candidates: DataFrame, reports: DataFrame, page_errors: DataFrame) -> DataFrame:
-    """Rows on review pages plus error pages not on review, per document (A12, J18, U8): statement_id, unresolved."""
+def unresolved_counts(rows: DataFrame, page_errors: DataFrame) -> DataFrame:
+    """Rows of ledger.reviewed_rows on review pages plus error pages not on review, per document (A12, J18, U8): statement_id, unresolved."""
     page = [DOC, "page_index"]
-    review = reports.where(F.col("status").isin("review", "page_review")).select(*page)
-    rows = candidates.join(review, page, "left_semi").groupBy(DOC).agg(F.count(F.lit(1)).alias("n"))
-    errors = page_errors.select(*page).distinct().join(review, page, "left_anti").groupBy(DOC).agg(F.count(F.lit(1)).alias("n"))
-    docs = candidates.select(DOC).union(page_errors.select(DOC)).distinct()
-    return docs.join(rows.union(errors).groupBy(DOC).agg(F.sum("n").alias("unresolved")), DOC, "left").fillna(0, ["unresolved"])
+    waits = F.col("report_status").isin("review", "page_review")
+    found = rows.select(*page, waits.cast("int").alias("rows"), waits.alias("waits"), F.lit(False).alias("error")).unionByName(page_errors.select(*page, F.lit(0).alias("rows"), F.lit(False).alias("waits"), F.lit(True).alias("error")))
+    per_page = found.groupBy(*page).agg(F.sum("rows").alias("rows"), (F.bool_or("error") & ~F.bool_or("waits")).cast("int").alias("lone"))
+    return per_page.groupBy(DOC).agg(F.sum(F.col("rows") + F.col("lone")).alias("unresolved"))
 
 
 def review_grid(candidates: DataFrame) -> DataFrame:
@@ -182,20 +168,16 @@ def layout_index(candidates: DataFrame) -> DataFrame:
     return candidates.select(*KEY, ORDER, F.left(F.array_join(parts, "；"), F.lit(SUMMARY_CHARS)).alias("field_summary"))
 
 
-def marker_colors(candidates: DataFrame, reports: DataFrame, issues: DataFrame) -> DataFrame:
+def marker_colors(rows: DataFrame) -> DataFrame:
     """Colour of each row's marker in the comparison view (P19): grey rejected or duplicate, red critical failure, amber anything open, green accepted on a passed page."""
-    page = [DOC, "page_index"]
-    by_row = issues.groupBy(*KEY).agg(
-        F.bool_or((F.col("severity") == "critical") & (F.col("rule_state") == "fail")).alias("critical"),
-        F.bool_or(~F.col("rule_state").isin("pass", "not_applicable")).alias("open"),
-    )
-    df = candidates.select(*KEY, ORDER, "status").join(by_row, KEY, "left").join(reports.select(*page, F.col("status").alias("report")), page, "left")
-    reported = F.col("report").isNotNull()
+    critical = F.exists("key_issues", lambda i: (i["severity"] == "critical") & (i["rule_state"] == "fail"))
+    open_ = F.exists("key_issues", lambda i: ~i["rule_state"].isin("pass", "not_applicable"))
+    reported = F.col("report_status") != "unknown"
     color = (
-        F.when(F.col("status").isin("rejected", "duplicate"), GREY).when(reported & F.col("critical"), RED).when(reported & F.col("open"), AMBER)
-        .when((F.col("status") == "accepted") & (F.col("report") == "pass"), GREEN).otherwise(AMBER)
+        F.when(F.col("status").isin("rejected", "duplicate"), GREY).when(reported & critical, RED).when(reported & open_, AMBER)
+        .when((F.col("status") == "accepted") & (F.col("report_status") == "pass"), GREEN).otherwise(AMBER)
     )
-    return df.select(*KEY, ORDER, color.alias("color"))
+    return rows.select(*KEY, ORDER, color.alias("color"))
 
 
 def export_manifest(files: DataFrame) -> DataFrame:

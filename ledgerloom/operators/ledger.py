@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import ids
 from ledgerloom.functions.dates import parse_date
-from ledgerloom.functions.money import account_ok, currency_ok, net_amount, parse_amount
+from ledgerloom.functions.money import account_ok, currency_ok, net_amount, parse_amount_text
 from ledgerloom.functions.text import casefold, compact, no_space, present
 
 DOC, ORDER = "statement_id", "candidate_id"
@@ -95,13 +95,26 @@ def logical_stream() -> Column:
     )
 
 
-def checked_rows(candidates: DataFrame) -> DataFrame:
+def with_values(df: DataFrame, money: tuple[str, ...], dates: tuple[str, ...]) -> DataFrame:
+    """df with text columns _<x> read as money or dates x; the text columns are dropped.
+
+    All texts of a kind go through one expression as an array: parsers are large, and plans with a copy of
+    one for each column are slow to build.
+    """
+    texts = lambda names: F.array(*[F.col(f"_{n}") for n in names]).cast("array<string>")
+    df = df.withColumns({"_money": F.transform(texts(money), lambda t: parse_amount_text(t)), "_dates": F.transform(texts(dates), lambda t: parse_date(t))})
+    read = {n: F.get("_money", F.lit(k)).try_cast("decimal(38,2)") for k, n in enumerate(money)} | {n: F.get("_dates", F.lit(k)) for k, n in enumerate(dates)}
+    return df.withColumns(read).drop("_money", "_dates", *[f"_{n}" for n in (*money, *dates)])
+
+
+def checked_rows(candidates: DataFrame, also: tuple[Column | str, ...] = (), money: tuple[str, ...] = (), dates: tuple[str, ...] = ()) -> DataFrame:
     """Each candidate with its parsed values: stream, date_name, date, amount_name, amount, income, expense, balance, online_balance.
 
     A value is null where the field is absent or unreadable; columns <x>_there say whether it is present.
+    ``also`` are further columns to carry, of which those called _<x> for x in money and dates are read too.
     """
     df = candidates.select(
-        *KEY, ORDER, "fields", "status",
+        *KEY, ORDER, "fields", "status", *also,
         validation_stream().alias("stream"),
         first_name(*DATE_NAMES).alias("date_name"), first_checked(*DATE_NAMES).alias("_date"),
         first_name(*CHECKED_ACCOUNT_NAMES).alias("account_name"), first_checked(*CHECKED_ACCOUNT_NAMES).alias("_account"),
@@ -109,13 +122,10 @@ def checked_rows(candidates: DataFrame) -> DataFrame:
         first_checked(*AMOUNT_NAMES).alias("_direct"),
         *[checked_text(n).alias(f"_{n}") for n in ("income_amount", "expense_amount", "balance", "online_balance")],
     )
-    there = lambda n: F.col(f"_{n}").isNotNull()
-    df = df.select(
-        *KEY, ORDER, "fields", "status", "stream", "date_name", "account_name", "currency_name",
-        parse_date("_date").alias("date"), account_ok(F.col("_account")).alias("account_ok"), currency_ok(F.col("_currency")).alias("currency_ok"),
-        *[there(n).alias(f"{n}_there") for n in ("direct", "income_amount", "expense_amount", "balance", "online_balance")],
-        *[parse_amount(f"_{n}").alias(n) for n in ("direct", "income_amount", "expense_amount", "balance", "online_balance")],
-    )
+    checked = ("direct", "income_amount", "expense_amount", "balance", "online_balance")
+    there = {f"{n}_there": F.col(f"_{n}").isNotNull() for n in checked}
+    df = df.withColumns({"account_ok": account_ok(F.col("_account")), "currency_ok": currency_ok(F.col("_currency"))} | there).drop("_account", "_currency")
+    df = with_values(df, (*checked, *money), ("date", *dates))
     amount = F.when(F.col("direct_there"), F.col("direct")).otherwise(net_amount(F.col("income_amount"), F.col("expense_amount")))
     return df.withColumns({"amount": amount, "known_balance": F.coalesce("balance", "online_balance")})
 
@@ -143,7 +153,11 @@ def validation_issues(candidates: DataFrame, min_confidence: float = MIN_CONFIDE
     emit_ord orders the issues of a row. Rejected and duplicate rows are validated like all others, and
     review order does not matter (Q1). A null field map is an empty one; an empty table gives no rows.
     """
-    rows = chained_rows(checked_rows(candidates))
+    return chained_rows(checked_rows(candidates)).select(*KEY, ORDER, F.inline(row_issues(candidates, min_confidence)))
+
+
+def row_issues(candidates: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> Column:
+    """The issues of a row of chained_rows as an array, as validation_issues describes them."""
 
     def issue(order: int, code: str, when: Column, name: Column | str | None) -> Column:
         severity, state = ISSUES[code]
@@ -178,7 +192,39 @@ def validation_issues(candidates: DataFrame, min_confidence: float = MIN_CONFIDE
         issue(1010, "possible_missing_transaction", broken, "transaction_amount"),
         issue(1011, "date_order", F.col("date_breaks"), "date"),
     )
-    return rows.select(*KEY, ORDER, F.inline(F.concat(F.array_compact(fixed), low)))
+    return F.concat(F.array_compact(fixed), low)
+
+
+def reviewed_rows(candidates: DataFrame, min_confidence: float = MIN_CONFIDENCE, reports: DataFrame | None = None) -> DataFrame:
+    """Each candidate with all that exports show of it, in one scan and one shuffle, by document.
+
+    Adds to the candidate's columns: issues (its own, an array), key_issues (those of all rows of its key),
+    report_status (of its page), comparison_id, and statement_stream_id and transaction_id, which a row
+    marked duplicate lacks. reports may give the status of pages, as after stored reviews; a page without
+    one is 'unknown'. Without them it follows from the issues as in page_reports.
+    """
+    record = {"r_direct": AMOUNT_NAMES, "r_income": BUILT_INCOME_NAMES, "r_expense": BUILT_EXPENSE_NAMES, "r_balance": BUILT_BALANCE_NAMES}
+    also = (*[c for c in candidates.columns if c not in (*KEY, ORDER, "fields", "status")], logical_stream().alias("_logical"), shown_text(*DATE_NAMES).alias("_r_date"), *[shown_text(*n).alias(f"_{x}") for x, n in record.items()])
+    by_document = checked_rows(candidates, also, tuple(record), ("r_date",)).repartition(DOC)
+    rows = chained_rows(by_document).withColumn("issues", row_issues(candidates, min_confidence))
+    by_key, by_page, by_doc = Window.partitionBy(*KEY), Window.partitionBy(DOC, "page_index"), Window.partitionBy(DOC).orderBy("page_index", F.coalesce("review_order", "row_index"), "row_index", ORDER)
+    stream = F.when(F.coalesce(F.col("status"), F.lit("")) != "duplicate", ids.stream_id(F.col("_logical")))
+    rows = rows.withColumns({
+        "key_issues": F.flatten(F.collect_list("issues").over(by_key)), "comparison_id": ids.comparison_id(F.row_number().over(by_doc)), "statement_stream_id": stream,
+    }).withColumn("transaction_id", F.when(F.col("statement_stream_id").isNotNull(), ids.transaction_id(F.col("statement_stream_id"), F.col("page_index"), F.col("row_index"))))
+    if reports is not None:
+        rows = rows.join(reports.select(DOC, "page_index", F.col("status").alias("report_status")), [DOC, "page_index"], "left")
+    else:
+        anywhere = lambda c: F.coalesce(F.bool_or(c).over(by_page), F.lit(False))
+        open_ = F.exists("issues", lambda i: i["rule_state"].isin("fail", "indeterminate"))
+        status = F.when(anywhere(open_) | anywhere(F.col("status") == "rejected"), "review").when(anywhere(is_normalized()), "pass_with_normalization").otherwise("pass")
+        rows = rows.withColumn("report_status", status)
+    return rows.select(*candidates.columns, "issues", "key_issues", F.coalesce("report_status", F.lit("unknown")).alias("report_status"), "comparison_id", "statement_stream_id", "transaction_id")
+
+
+def is_normalized() -> Column:
+    """Whether a field's suggestion differs from what was read."""
+    return F.exists(F.map_values("fields"), lambda v: v["raw_text"] != F.coalesce(present(v["suggested_text"]), v["raw_text"]))
 
 
 def attach_provenance(issues: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -206,12 +252,12 @@ def page_reports(candidates: DataFrame, issues: DataFrame, outcomes: DataFrame |
     ``by`` = [statement_id] the report is one per document (A8).
     """
     group = by or [DOC, "page_index"]
-    rows = checked_rows(candidates)
-    normal = F.exists(F.map_values("fields"), lambda v: v["raw_text"] != F.coalesce(present(v["suggested_text"]), v["raw_text"]))
+    rows = candidates.select(*KEY, ORDER, "fields", "status", *[checked_text(n).alias(f"_{n}") for n in ("balance", "online_balance")])
+    rows = with_values(rows, ("balance", "online_balance"), ()).withColumn("known_balance", F.coalesce("balance", "online_balance"))
     per_page = rows.groupBy(*group).agg(
         F.count(F.lit(1)).cast("int").alias("checked_rows"),
         F.coalesce(F.bool_or(F.col("status") == "rejected"), F.lit(False)).alias("rejected"),
-        F.coalesce(F.bool_or(normal), F.lit(False)).alias("normalized"),
+        F.coalesce(F.bool_or(is_normalized()), F.lit(False)).alias("normalized"),
         F.transform(F.array_sort(F.collect_list(F.struct("page_index", "row_index", ORDER, "known_balance"))), lambda r: r["known_balance"]).alias("final_balances"),
     )
     late = (F.col("code") == "date_order").cast("int")
@@ -278,14 +324,15 @@ def transaction_records(candidates: DataFrame, overrides: DataFrame | None = Non
     )
     if overrides is not None:
         df = df.join(overrides.select(*KEY, "logical_key"), KEY, "left").withColumn("_key", F.coalesce("logical_key", "_key"))
-    df = df.withColumn("statement_stream_id", ids.stream_id(F.col("_key")))
-    amount = F.when(present(F.col("_direct")).isNotNull(), parse_amount("_direct")).otherwise(net_amount(parse_amount("_income"), parse_amount("_expense")))
+    df = df.withColumns({"statement_stream_id": ids.stream_id(F.col("_key")), "direct_there": present(F.col("_direct")).isNotNull()})
+    df = with_values(df, ("direct", "income", "expense", "balance"), ("date",))
+    amount = F.when(F.col("direct_there"), F.col("direct")).otherwise(net_amount(F.col("income"), F.col("expense")))
     in_document = Window.partitionBy(DOC).orderBy("page_index", F.coalesce("review_order", "row_index"), "row_index", ORDER)
     return df.select(
         *KEY, ORDER,
         ids.transaction_id(F.col("statement_stream_id"), F.col("page_index"), F.col("row_index")).alias("transaction_id"),
         "statement_stream_id",
-        parse_date("_date").alias("transaction_date"), amount.alias("amount"), parse_amount("_balance").alias("balance"),
+        F.col("date").alias("transaction_date"), amount.alias("amount"), "balance",
         F.row_number().over(in_document).alias("record_order"),
     )
 

@@ -29,21 +29,22 @@ def comparison_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.comparison_ids(table(spark, sf_dir, "candidates")).select("candidate_id", "comparison_id")
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.reviewed_rows(table(spark, sf_dir, "candidates"))
+
+
 def wide_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide sheet with the four layers of four fields; column names with underscores for SQL."""
-    c, _, reports, records = _all(spark, sf_dir)
-    df = export.transactions_wide(c, reports, records, names=NAMES).drop("source_box", "statement_id", "parser_id")
+    df = export.transactions_wide(_rows(spark, sf_dir), names=NAMES).drop("source_box", "statement_id", "parser_id")
     return df.toDF(*[n.replace(".", "_") for n in df.columns])
 
 
 def processing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, issues, reports, _ = _all(spark, sf_dir)
-    return export.processing_report(c, reports, issues)
+    return export.processing_report(_rows(spark, sf_dir))
 
 
 def source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, issues, reports, records = _all(spark, sf_dir)
-    return export.source_index(c, reports, issues, records).select("candidate_id", "transaction_id", "comparison_id", "field_name", "raw_text", "suggested_text", "final_text", "confidence", "source_block_indices", "validation_status", "rule_state", "status")
+    return export.source_index(_rows(spark, sf_dir)).select("candidate_id", "transaction_id", "comparison_id", "field_name", "raw_text", "suggested_text", "final_text", "confidence", "source_block_indices", "validation_status", "rule_state", "status")
 
 
 def _page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,14 +53,12 @@ def _page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, issues, reports, _ = _all(spark, sf_dir)
-    df = export.review_queue(c, reports, issues, _page_errors(spark, sf_dir))
+    df = export.review_queue(_rows(spark, sf_dir), _page_errors(spark, sf_dir))
     return df.select("statement_id", "page_index", "row_index", "code", "severity", "rule_state", "field_name", "raw_text", "validation_status", F.col("queue_order").cast("bigint").alias("queue_order"))
 
 
 def unresolved_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, _, reports, _ = _all(spark, sf_dir)
-    return export.unresolved_counts(c, reports, _page_errors(spark, sf_dir))
+    return export.unresolved_counts(_rows(spark, sf_dir), _page_errors(spark, sf_dir))
 
 
 def review_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +70,7 @@ def layout_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marker_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, issues, reports, _ = _all(spark, sf_dir)
-    return export.marker_colors(c, reports, issues).select("candidate_id", "color")
+    return export.marker_colors(_rows(spark, sf_dir)).select("candidate_id", "color")
 
 
 def _indexed_blocks(c: DataFrame) -> DataFrame:
@@ -273,8 +271,7 @@ def affected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source index with the box of every field, over blocks laid out by their index."""
-    c, issues, reports, records = _all(spark, sf_dir)
-    df = export.source_index(c, reports, issues, records, _indexed_blocks(c))
+    df = export.source_index(_rows(spark, sf_dir), _indexed_blocks(table(spark, sf_dir, "candidates")))
     return df.select("candidate_id", "field_name", "source_spans", "source_bbox")
 
 

@@ -29,26 +29,34 @@ def built(candidates):
 
 def test_exports(built, spark):
     c, issues, reports, records = built
-    wide = {(r["page_index"], r["row_index"]): r for r in export.transactions_wide(c, reports, records).collect()}
+    rows = ledger.reviewed_rows(c)
+    wide = {(r["page_index"], r["row_index"]): r for r in export.transactions_wide(rows).collect()}
     assert wide[0, 0]["date"] == "2026-08-01" and wide[0, 0]["transaction_amount.raw"] == "10,00" and wide[0, 0]["comparison_id"] == "T0001"
     assert wide[0, 1]["transaction_id"] is None and wide[0, 1]["duplicate_reference"] == "0:0" and wide[0, 0]["source_location_status"] == "unlocated"
     assert wide[1, 0]["summary"] == "x" and "description.final" in wide[1, 0].asDict()
-    metrics = {r["metric"]: r["value"] for r in export.processing_report(c, reports, issues).collect()}
+    metrics = {r["metric"]: r["value"] for r in export.processing_report(rows).collect()}
     assert (metrics["transaction_count"], metrics["duplicate_count"], metrics["page_count"], metrics["critical_issue_count"]) == ("3", "1", "2", "1")
-    index = {(r["row_index"], r["field_name"]): r for r in export.source_index(c, reports, issues, records).where("page_index = 0").collect()}
+    index = {(r["row_index"], r["field_name"]): r for r in export.source_index(rows).where("page_index = 0").collect()}
     assert index[0, "transaction_amount"]["source_block_indices"] == "0,1" and index[0, "transaction_amount"]["rule_state"] == "indeterminate"
     assert index[1, "balance"]["rule_state"] == "fail" and index[0, "balance"]["rule_state"] == "pass"
     errors = spark.createDataFrame([("s", 7)], "statement_id string, page_index int")
-    queue = export.review_queue(c, reports, issues, errors).orderBy("queue_order").collect()
+    queue = export.review_queue(rows, errors).orderBy("queue_order").collect()
     assert queue[-1]["code"] == "page_error" and queue[-1]["row_index"] == -1 and [r["queue_order"] for r in queue] == list(range(1, len(queue) + 1))
-    assert export.unresolved_counts(c, reports, errors).first()["unresolved"] == 4
-    colors = {(r["page_index"], r["row_index"]): r["color"] for r in export.marker_colors(c, reports, issues).collect()}
+    assert export.unresolved_counts(rows, errors).first()["unresolved"] == 4
+    colors = {(r["page_index"], r["row_index"]): r["color"] for r in export.marker_colors(rows).collect()}
     assert colors == {(0, 0): "amber", (0, 1): "grey", (1, 0): "grey"}
     assert json.loads(export.run_summaries(c, reports).first()["summary"])["pages"][0]["candidates"] == 2
     assert export.layout_index(c).where("page_index = 1").first()["field_summary"] == "description=x"
     blocks = spark.createDataFrame([("s", 0, 0, 1.0, 2.0, 3.0, 4.0), ("s", 0, 1, 2.0, 0.5, 9.0, 3.0)], "statement_id string, page_index int, block_index int, x0 double, y0 double, x1 double, y1 double")
+    stored = ledger.reviewed_rows(c, reports=reports.where("page_index = 0").withColumn("status", F.lit("page_review")))
+    assert {(r["page_index"], r["report_status"]) for r in stored.collect()} == {(0, "page_review"), (1, "unknown")}
+    assert export.unresolved_counts(stored, errors).first()["unresolved"] == 3
+    assert {(r["page_index"], r["status"]) for r in reports.collect()} == {(r["page_index"], r["report_status"]) for r in rows.collect()}
+    by_field = {(r["row_index"], r["field_name"]): r["source_bbox"] for r in export.source_index(rows, blocks).where("page_index = 0").collect()}
+    assert by_field[0, "transaction_amount"] == "1,0.5,9,4" and by_field[0, "balance"] is None
+    assert export.source_index(ledger.reviewed_rows(c.limit(0))).count() == 0
     boxes = export.candidate_boxes(c, blocks)
-    located = {r["row_index"]: r["source_box"] for r in export.transactions_wide(c, reports, records, boxes).where("page_index = 0").collect()}
+    located = {r["row_index"]: r["source_box"] for r in export.transactions_wide(rows, boxes).where("page_index = 0").collect()}
     assert located == {0: "1,0.5,9,4", 1: None}
 
 
