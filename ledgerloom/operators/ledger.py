@@ -153,7 +153,8 @@ def validation_issues(candidates: DataFrame, min_confidence: float = MIN_CONFIDE
     emit_ord orders the issues of a row. Rejected and duplicate rows are validated like all others, and
     review order does not matter (Q1). A null field map is an empty one; an empty table gives no rows.
     """
-    return chained_rows(checked_rows(candidates)).select(*KEY, ORDER, F.inline(row_issues(candidates, min_confidence)))
+    # All windows are inside a document, so one shuffle by document serves them all.
+    return chained_rows(checked_rows(candidates).repartition(DOC)).select(*KEY, ORDER, F.inline(row_issues(candidates, min_confidence)))
 
 
 def row_issues(candidates: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> Column:

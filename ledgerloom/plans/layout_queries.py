@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import geometry
 from ledgerloom.operators import layout, pages
-from ledgerloom.session import table
+from ledgerloom.session import table, written
 
 #: Printed columns: field, left and right ratio, header wording.
 COLUMNS = [
@@ -196,7 +196,7 @@ def page_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     page, blocks = printed_pages(spark, sf_dir)
     asked = templates(spark).where("template_id = 'printed_v1'").withColumn("header_tokens", F.array(F.lit(COLUMNS[1][3]), F.lit(COLUMNS[3][3]), F.lit("凭证号")))
-    return layout.parse_pages(page.withColumn("page_height", F.lit(80.0)), blocks, asked)[1].select("doc_id", "page_index", "status", "candidates")
+    return layout.parse_pages(page.withColumn("page_height", F.lit(80.0)), written(blocks), asked)[1].select("doc_id", "page_index", "status", "candidates")
 
 
 def row_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
