@@ -95,8 +95,11 @@ def candidate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the JSON summary of each document says of its pages."""
     c, _, reports, _ = _all(spark, sf_dir)
-    return export.run_summaries(c, reports)
+    df = export.run_summaries(c, reports)
+    said = lambda path: F.get_json_object("summary", path)
+    return df.select("statement_id", (said("$.document") == F.col("statement_id")).alias("named"), F.json_array_length(said("$.pages")).alias("pages"), said("$.pages[0].status").alias("first_status"), said("$.pages[0].candidates").cast("int").alias("first_rows"), said("$.pages[0].risk_score").cast("int").alias("first_score"))
 
 
 def _golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -482,6 +485,8 @@ FROM (SELECT i.*, c.fields[i.field_name].source_block_indices AS s FROM issues i
 SELECT statement_id, page_index, row_index, min(i) * 10.0::DOUBLE AS x0, min(i) * 3.0::DOUBLE AS y0, (max(i) * 10.0 + 8)::DOUBLE AS x1, (max(i) * 3.0 + 2)::DOUBLE AS y1,
        CASE WHEN min(i) * 10 < 300 AND min(i) * 3 < 100 THEN least(max(i) * 10.0 + 8, 300.0)::DOUBLE END AS clipped_x1, min(i) * 10 < 300 AND min(i) * 3 < 100 AS visible
 FROM (SELECT statement_id, page_index, row_index, unnest(flatten(list_transform(map_values(fields), lambda v: v.source_block_indices))) AS i FROM candidates) WHERE i IS NOT NULL GROUP BY ALL""",
+    "run_summaries": oracle.ledger("""
+SELECT statement_id, true AS named, CAST(count(*) AS INTEGER) AS pages, arg_min(status, page_index) AS first_status, arg_min(checked_rows, page_index) AS first_rows, arg_min(risk_score, page_index) AS first_score FROM reports GROUP BY 1"""),
     "truth_join": f"WITH {_VERDICTS} SELECT * FROM v",
     "field_accuracy": f"""WITH {_VERDICTS} SELECT sample_id, count_if(verdict = 'exact') AS exact_matches, count_if(verdict = 'missing') AS missing, count_if(verdict = 'mismatch') AS mismatches, count_if(verdict = 'extra') AS extra_rows,
        count_if(verdict <> 'extra') AS total_fields, round(coalesce(count_if(verdict = 'exact') / nullif(count_if(verdict <> 'extra'), 0), 0), 6) AS accuracy FROM v GROUP BY 1""",

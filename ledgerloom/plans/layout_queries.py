@@ -65,12 +65,11 @@ def printed_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages from the documents: a statement page of its source, with text length, an image for scanned kinds, and its content's fingerprint."""
+    """Pages from the documents: forty neighbours of a source are one, with text length, an image for scanned kinds, and the content's fingerprint."""
     d = table(spark, sf_dir, "documents")
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     text = F.coalesce("text", F.lit(""))
     return d.select(
-        F.coalesce("source", F.lit("")).alias("doc_id"), (rank - 1).cast("int").alias("page_index"), F.length(F.trim(text)).alias("native_text_chars"),
+        F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.floor(F.col("doc_id") / 40).cast("string")).alias("doc_id"), (F.col("doc_id") % 40).cast("int").alias("page_index"), F.length(F.trim(text)).alias("native_text_chars"),
         F.when(F.col("kind").isin("statement_page", "process_log"), 1).otherwise(0).alias("image_count"), F.when(F.col("text").isNull(), "no text layer").alias("error"),
         F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), F.when(F.col("doc_id") % 10 == 0, 90).otherwise(0).cast("int").alias("rotation"), F.sha2(text, 256).alias("content_fingerprint"), "doc_id",
     ).toDF("doc_id", "page_index", "native_text_chars", "image_count", "error", "page_width", "page_height", "rotation", "content_fingerprint", "source_doc")
@@ -299,7 +298,7 @@ sizes AS (SELECT DISTINCT doc_id, page_index, n FROM ranked)"""
 _VALUES = ", ".join(f"({k}, '{n}', {a}, {b}, '{h}')" for k, (n, a, b, h) in enumerate(COLUMNS))
 _COLS = f"cols AS (SELECT * FROM (VALUES {_VALUES}) AS t(k, name, l, r, header))"
 _TEXT_PAGES = """pg AS (
-  SELECT coalesce(source, '') AS doc, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS page, doc_id AS page_id, length(trim(coalesce(text, ''))) AS chars,
+  SELECT coalesce(source, '') || '/' || (doc_id // 40) AS doc, CAST(doc_id % 40 AS INTEGER) AS page, doc_id AS page_id, length(trim(coalesce(text, ''))) AS chars,
          kind IN ('statement_page', 'process_log') AS image, text IS NULL AS broken, doc_id % 10 = 0 AS turned, sha256(coalesce(text, '')) AS print FROM documents),
 kinds AS (SELECT *, CASE WHEN broken THEN 'page_error' WHEN chars > 0 AND image THEN 'hybrid' WHEN chars > 0 THEN 'native_text' WHEN image THEN 'scan_image' ELSE 'blank' END AS kind FROM pg),
 groups AS (SELECT doc, print, list(page ORDER BY page) AS pages FROM pg GROUP BY ALL HAVING count(*) > 1)"""
@@ -314,6 +313,18 @@ _LINES = """lines AS (
 
 from ledgerloom.plans import oracle  # noqa: E402
 
+
+def _folded(lines: str) -> str:
+    """Blocks left of each page: a fold over its equal texts, in order, of lists of one block each."""
+    inter = "greatest(0, least(k.x1, e[1].x1) - greatest(k.x0, e[1].x0)) * greatest(0, least(k.y1, e[1].y1) - greatest(k.y0, e[1].y0))"
+    whole = "(k.x1 - k.x0) * (k.y1 - k.y0) + (e[1].x1 - e[1].x0) * (e[1].y1 - e[1].y0)"
+    at = f"coalesce(list_position(list_transform(a, lambda k: ({inter}) >= 0.75 * ({whole} - ({inter}))), true), 0)"
+    return f"""folded AS (
+  SELECT doc_id, list_reduce(list([struct_pack(block_index := block_index, source_type := source_type, x0 := x0, y0 := y0, x1 := x1, y1 := y1)] ORDER BY block_index),
+         lambda a, e: CASE WHEN {at} = 0 THEN list_concat(a, e) WHEN e[1].source_type = 'native_pdf' AND a[{at}].source_type <> 'native_pdf' THEN list_concat(list_concat(a[1:{at} - 1], e), a[{at} + 1:]) ELSE a END) AS left_
+  FROM {lines} GROUP BY doc_id, t),
+kept AS (SELECT doc_id, unnest(left_, recursive := true) FROM folded)"""
+
 _TARGETS = """
 , wide AS (
   SELECT i.*, f.name, f.k FROM (SELECT i.*, c.fields FROM issues i JOIN (SELECT DISTINCT ON (statement_id, page_index, row_index) * FROM candidates) c USING (statement_id, page_index, row_index)
@@ -339,6 +350,10 @@ FROM kinds LEFT JOIN reps USING (doc) GROUP BY doc""",
          (o.x1 - o.x0) * (o.y1 - o.y0) + (n.x1 - n.x0) * (n.y1 - n.y0) AS s
   FROM lines o JOIN lines n ON o.doc_id = n.doc_id AND o.t = n.t AND o.source_type = 'ocr' AND n.source_type = 'native_pdf')
 SELECT doc_id, block_index, source_type FROM lines l WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE l.source_type = 'ocr' AND p.doc_id = l.doc_id AND p.block_index = l.block_index AND i / (s - i) >= 0.75)""",
+    "block_dedup_exact": f"""WITH {_LINES}, {_folded("lines")} SELECT doc_id, block_index, source_type FROM kept""",
+    "hybrid_blocks": f"""WITH {_LINES}, last AS (SELECT doc_id, max(block_index) + 1 AS n FROM lines WHERE source_type = 'native_pdf' GROUP BY 1),
+merged AS (SELECT l.* REPLACE (CAST(CASE WHEN source_type = 'ocr' THEN block_index + coalesce(n, 0) ELSE block_index END AS INTEGER) AS block_index) FROM lines l LEFT JOIN last USING (doc_id)),
+{_folded("merged")} SELECT doc_id, block_index, source_type FROM kept""",
     "column_assign": """SELECT l_orderkey, l_linenumber, CASE WHEN r < 0.3 THEN 'first' WHEN r < 0.5 THEN 'second' WHEN r < 0.9 THEN 'third' END AS field_name
 FROM (SELECT *, (l_partkey % 1000) / 1000.0 AS r FROM lineitem)""",
     "band_assign": "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_quantity >= 5 AND l_quantity < 15 THEN 0 WHEN l_quantity >= 15 AND l_quantity < 30 THEN 1 WHEN l_quantity >= 30 AND l_quantity < 45 THEN 2 END AS INTEGER) AS band FROM lineitem",
