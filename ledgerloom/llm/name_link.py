@@ -15,9 +15,10 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -406,13 +407,26 @@ def near(kind: str, typed: str, anchor: str) -> bool:
     return distance(typed, anchor, 1) <= 1 if kind == WHOLE else typed == anchor
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _beside(batch: pa.RecordBatch, sizes: list[int], made: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Columns of batch, row k as often as sizes[k], beside made columns of so many rows."""
+    kept = batch.take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+    return pa.RecordBatch.from_arrays([*made.values(), *kept.columns], names=[*made, *batch.schema.names])
+
+
+def _texts(rows: list[tuple[str, ...]], names: list[str]) -> dict[str, pa.Array]:
+    return {n: pa.array([r[k] for r in rows], pa.string()) for k, n in enumerate(names)}
+
+
 def _vocabulary(register: DataFrame) -> tuple[Chinese, frozenset[str], int]:
     """Places and trades of the register, the letters of its cores, and the longest whole Chinese name in Latin letters; whole vocabularies."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Batches) -> Batches:
         for b in batches:
             out: list[tuple[str, str]] = []
-            for name, kind in zip(b["registered_name"], b["kind"]):
+            for name, kind in zip(b.column("registered_name").to_pylist(), b.column("kind").to_pylist()):
                 if _CJK.search(name):
                     text = re.sub(r"\s", "", name.translate(str.maketrans("（）", "()")))
                     place = re.search(r"\((.+?)\)", text)
@@ -421,9 +435,9 @@ def _vocabulary(register: DataFrame) -> tuple[Chinese, frozenset[str], int]:
                     out += [("tail", bare[-k:]) for k in (2, 3, 4, 5, 6) if len(bare) > k]
                 elif kind == "person" and len(w := tokens(name)) == 2 and is_chinese_latin(*w):
                     out.append(("length", str(len(w[0] + w[1]))))
-            yield pd.DataFrame(out, columns=["what", "text"])
+            yield pa.RecordBatch.from_pydict(_texts(out, ["what", "text"]))
 
-    counts = register.mapInPandas(pieces, "what string, text string").groupBy("what", "text").count()
+    counts = register.mapInArrow(pieces, "what string, text string").groupBy("what", "text").count()
     found: dict[str, dict[str, int]] = {"place": {}, "tail": {}, "length": {}}
     for what, text, n in counts.where("what = 'length' or what = 'place' and count >= 2 or what = 'tail' and count >= 5").collect():
         found[what][text] = n
@@ -435,21 +449,12 @@ def _vocabulary(register: DataFrame) -> tuple[Chinese, frozenset[str], int]:
     trades = [t for t, n in tails.items() if longer.get(t, 0) * 4 < n and n * 4 >= tails.get(t[1:], 0)]
     model = Chinese(list(found["place"]), trades)
 
-    @F.pandas_udf("array<string>")
-    def core(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: list(model.parts(n)[1]))
+    def letters(batches: Batches) -> Batches:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"c": pa.array(sorted({c for n in b.column("registered_name").to_pylist() for c in model.parts(n)[1]}), pa.string())})
 
     chinese = register.where(F.col("registered_name").rlike("[㐀-鿿]"))
-    letters = chinese.select(F.explode(core("registered_name")).alias("c")).distinct().collect()
-    return model, frozenset(r[0] for r in letters), max(map(int, found["length"]), default=0)
-
-
-def _rows_of(column: list[set], rest: pd.DataFrame, names: list[str]) -> pd.DataFrame:
-    """A row per element of each row's set, beside the row's other columns."""
-    sizes = [len(x) for x in column]
-    flat = [y for x in column for y in x]
-    made = pd.DataFrame(flat, columns=names) if flat else pd.DataFrame({n: [] for n in names})
-    return pd.concat([made, rest.loc[rest.index.repeat(sizes)].reset_index(drop=True)], axis=1)
+    return model, frozenset(r[0] for r in chinese.mapInArrow(letters, "c string").distinct().collect()), max(map(int, found["length"]), default=0)
 
 
 def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
@@ -464,48 +469,57 @@ def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
     chinese, letters, longest = _vocabulary(register)
     id_type = register.schema["counterparty_id"].dataType.simpleString()
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Batches) -> Batches:
         for b in batches:
-            found = [typed_words(n, chinese, longest) for n in b["name"]]
-            yield b.assign(words=[[{"kind": k, "word": w} for k, w in f] for f in found])
+            found = [[*typed_words(n, chinese, longest)] for n in b.column("name").to_pylist()]
+            flat = _texts(list(chain.from_iterable(found)), ["kind", "word"])
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            words = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(list(flat.values()), list(flat)))
+            yield pa.RecordBatch.from_arrays([*b.columns, words], names=[*b.schema.names, "words"])
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def entries(batches: Batches) -> Batches:
         for b in batches:
-            yield _rows_of([anchors(n, k, chinese) for n, k in zip(b["registered_name"], b["kind"])], b.rename(columns={"kind": "entry_kind"}), ["anchor_kind", "anchor"])
+            found = [[*anchors(n, k, chinese)] for n, k in zip(b.column("registered_name").to_pylist(), b.column("entry_kind").to_pylist())]
+            yield _beside(b, [len(f) for f in found], _texts(list(chain.from_iterable(found)), ["anchor_kind", "anchor"]))
 
-    def keyed(keys: Callable[[str, str], set[int]]) -> Callable:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(keys: Callable[[str, str], set[int]]) -> Callable[[Batches], Batches]:
+        def run(batches: Batches) -> Batches:
             for b in batches:
-                yield _rows_of([{(x,) for x in keys(k, w)} for k, w in zip(b.iloc[:, 0], b.iloc[:, 1])], b, ["key"])
+                found = [keys(k, w) for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                sizes = [len(f) for f in found]
+                yield _beside(b, sizes, {"key": pa.array(np.fromiter(chain.from_iterable(found), np.int64, sum(sizes)))})
 
         return run
 
-    def sort_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sort_out(batches: Batches) -> Batches:
         for b in batches:
-            yield b[[near(k, w, a) for k, w, a in zip(b["kind"], b["word"], b["anchor"])]]
+            yield b.filter(pa.array([near(k, w, a) for k, w, a in zip(*(b.column(c).to_pylist() for c in ("kind", "word", "anchor")))], pa.bool_()))
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decide(batches: Batches) -> Batches:
         for b in batches:
-            b = b.drop_duplicates(["name", "counterparty_id"])  # a pair may meet by several words
-            cost = [link_cost(n, r, k, chinese, letters) for n, r, k in zip(b["name"], b["registered_name"], b["entry_kind"])]
-            yield b.assign(cost=cost).loc[lambda d: d["cost"] < NEVER, ["name", "n", "counterparty_id", "cost"]]
+            names, ids, meant, kinds = (b.column(c).to_pylist() for c in ("name", "counterparty_id", "registered_name", "entry_kind"))
+            pairs: dict[tuple, float] = {}  # a pair may meet by several words
+            cost = [pairs[n, i] if (n, i) in pairs else pairs.setdefault((n, i), link_cost(n, r, k, chinese, letters)) for n, i, r, k in zip(names, ids, meant, kinds)]
+            fits = pa.array(cost, pa.float64())
+            made = pa.RecordBatch.from_arrays([b.column("name"), b.column("n"), b.column("counterparty_id"), fits], names=["name", "n", "counterparty_id", "cost"])
+            yield made.filter(pa.array([c < NEVER for c in cost], pa.bool_()))
 
     # Names are few bytes and much work: as many tasks as a shuffle has, however small they are.
     tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = names.where("trim(name) <> ''").select("name", "n").repartition(tasks, F.xxhash64("name"))
-    names = written(names.mapInPandas(split, "name string, n bigint, words array<struct<kind:string,word:string>>"))
+    names = written(names.mapInArrow(split, "name string, n bigint, words array<struct<kind:string,word:string>>"))
     words = names.select("name", "n", F.inline("words"))
-    index = written(register.mapInPandas(entries, f"anchor_kind string, anchor string, counterparty_id {id_type}, registered_name string, entry_kind string"))
+    index = written(register.withColumnRenamed("kind", "entry_kind").mapInArrow(entries, f"anchor_kind string, anchor string, counterparty_id {id_type}, registered_name string, entry_kind string"))
     asked = words.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("asked"))
-    asked_keys = asked.mapInPandas(keyed(word_keys), "key bigint, kind string, word string, asked bigint")
-    index_keys = index.select("anchor_kind", "anchor").distinct().mapInPandas(keyed(anchor_keys), "key bigint, anchor_kind string, anchor string")
+    asked_keys = asked.mapInArrow(keyed(word_keys), "key bigint, kind string, word string, asked bigint")
+    index_keys = index.select("anchor_kind", "anchor").distinct().mapInArrow(keyed(anchor_keys), "key bigint, anchor_kind string, anchor string")
     met = asked_keys.join(index_keys, "key").select("kind", "word", "asked", "anchor_kind", "anchor").distinct()
-    met = written(met.mapInPandas(sort_out, "kind string, word string, asked bigint, anchor_kind string, anchor string"))
+    met = written(met.mapInArrow(sort_out, "kind string, word string, asked bigint, anchor_kind string, anchor string"))
     wanted = salted_lookup(words, met, ["kind", "word"], "name", "asked").select("name", "n", "anchor_kind", "anchor")
     # How many names ask for an anchor, at most, decides whether its entries are repeated.
     asking = met.groupBy("anchor_kind", "anchor").agg(F.sum("asked").alias("asked"))
     full = salted_lookup(wanted, index.join(asking, ["anchor_kind", "anchor"]), ["anchor_kind", "anchor"], "name", "asked")
-    costs = full.select("name", "n", "counterparty_id", "registered_name", "entry_kind").mapInPandas(decide, f"name string, n bigint, counterparty_id {id_type}, cost double")
+    costs = full.select("name", "n", "counterparty_id", "registered_name", "entry_kind").mapInArrow(decide, f"name string, n bigint, counterparty_id {id_type}, cost double")
     # A name written exactly like an entry means it, whatever its words are.
     same = names.join(register, names["name"] == register["registered_name"]).select("name", "n", "counterparty_id", F.lit(-1.0).alias("cost"))
     cost = F.round("cost", 6)
