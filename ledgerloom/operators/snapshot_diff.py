@@ -44,15 +44,14 @@ def _canonical_fields(fields: Column) -> Column:
 
 
 def _rows(samples: DataFrame, mirrored: bool) -> DataFrame:
-    """One row per row of a copy: its key k, its fields as they stand, and the copy."""
+    """One row per row of a copy: its key, its fields as they stand, and the copy."""
     rows = samples.select("sample_id", F.explode("transactions").alias("t")).where("t is not null")
-    return rows.select(F.struct("sample_id", "t.page_index", "t.row_index").alias("k"), F.col("t.fields").alias("fields"), F.lit(mirrored).alias("mirrored"))
+    return rows.select("sample_id", "t.page_index", "t.row_index", "t.fields", F.lit(mirrored).alias("mirrored"))
 
 
 def _key_hash() -> Column:
     """64 bits of a key; which parts are null is hashed too."""
-    parts = [F.col("k")[c] for c in _KEY]
-    return F.xxhash64(*parts, *[c.isNull() for c in parts])
+    return F.xxhash64(*_KEY, *[F.col(c).isNull() for c in _KEY])
 
 
 def _input_bytes(*inputs: DataFrame) -> int:
@@ -62,19 +61,19 @@ def _input_bytes(*inputs: DataFrame) -> int:
 
 
 def differing_keys(rows: DataFrame, cut_bits: int, parts: int, tasks: int | None) -> DataFrame:
-    """Keys k that one copy lacks or whose rows have other hashes there, by the fingerprints of chunks.
+    """Keys that one copy lacks or whose rows have other hashes there, by the fingerprints of chunks.
 
-    rows hold k, fields and mirrored. Repeats collapse before the first shuffle, and no row is wider than
+    rows hold a key, fields and mirrored. Repeats collapse before the first shuffle, and no row is wider than
     its key and two numbers. The 64-bit hash of a row is only compared with that of the same key.
     """
-    own = rows.select("k", "mirrored", F.xxhash64(_canonical_fields(F.col("fields"))).alias("h")).distinct()
-    block = F.xxhash64(F.col("k.sample_id"), F.col("k.page_index"), F.floor(F.col("k.row_index") / BLOCK_ROWS))
+    own = rows.select(*_KEY, "mirrored", F.xxhash64(_canonical_fields(F.col("fields"))).alias("h")).distinct()
+    block = F.xxhash64("sample_id", "page_index", F.floor(F.col("row_index") / BLOCK_ROWS))
     routed = own.withColumn("part", F.pmod(block, F.lit(parts)).cast("int"))
     routed = routed.repartition(tasks, "part") if tasks else routed.repartition("part")
     # One hash per key and copy: of the set of its rows, nearly always one.
-    keyed = routed.groupBy("part", "mirrored", "k").agg(F.bit_xor(F.xxhash64("h")).alias("h")).withColumn("kh", _key_hash())
+    keyed = routed.groupBy("part", "mirrored", *_KEY).agg(F.bit_xor(F.xxhash64("h")).alias("h")).withColumn("kh", _key_hash())
 
-    by_key = Window.partitionBy("part", "mirrored").orderBy("k")
+    by_key = Window.partitionBy("part", "mirrored").orderBy(*[F.col(c).asc_nulls_first() for c in _KEY])
     rolling = F.lit(0).cast("long")
     for back in range(ROLL):
         rolling = rolling.bitwiseXOR(F.shiftleft(F.coalesce(F.lag("kh", back).over(by_key), F.lit(back).cast("long")), back))
@@ -83,12 +82,12 @@ def differing_keys(rows: DataFrame, cut_bits: int, parts: int, tasks: int | None
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("kh", "h")).alias("lo"),
         F.bit_xor(F.xxhash64(F.lit("again"), "h", "kh")).alias("hi"),
-        F.collect_list(F.struct("k", "h")).alias("rows"),
+        F.collect_list(F.struct(*_KEY, "h")).alias("rows"),
     )
     # The anti-join of fingerprints, both ways at once: chunks of both copies share a partition, so it needs no shuffle.
     unmatched = chunks.groupBy("part", "n", "lo", "hi").agg(F.count(F.lit(1)).alias("sides"), F.first("rows").alias("rows")).where("sides = 1")
-    pairs = unmatched.select("part", F.inline("rows")).groupBy("part", "k").agg(F.count(F.lit(1)).alias("sides"), F.min("h").alias("a"), F.max("h").alias("b"))
-    return pairs.where("sides = 1 or a <> b").select("k")
+    pairs = unmatched.select("part", F.inline("rows")).groupBy("part", *_KEY).agg(F.count(F.lit(1)).alias("sides"), F.min("h").alias("a"), F.max("h").alias("b"))
+    return pairs.where("sides = 1 or a <> b").select(*_KEY)
 
 
 def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -117,9 +116,9 @@ def diff_snapshots(primary: DataFrame, mirror: DataFrame, cut_bits: int = CUT_BI
     rows = _rows(primary, False).unionByName(_rows(mirror, True))
     keys = differing_keys(rows, cut_bits, parts, parts // 8 if parts > at_least else None)
 
-    full = _marked(rows, keys).select("k", "mirrored", _canonical_fields(F.col("fields")).alias("fields"))
+    full = _marked(rows, keys).select(*_KEY, "mirrored", _canonical_fields(F.col("fields")).alias("fields"))
     side = lambda mirrored: F.collect_set(F.when(F.col("mirrored") == mirrored, F.col("fields")))
-    pairs = full.groupBy("k").agg(side(False).alias("p"), side(True).alias("m"))
+    pairs = full.groupBy(*_KEY).agg(side(False).alias("p"), side(True).alias("m"))
 
     def values(versions: Column, name: Column) -> Column:
         """The sorted set of values that a side has for a field; an absent field is an empty set."""
@@ -129,4 +128,4 @@ def diff_snapshots(primary: DataFrame, mirror: DataFrame, cut_bits: int = CUT_BI
     names = F.array_distinct(F.transform(F.flatten(F.concat("p", "m")), lambda e: e["name"]))
     changed = F.filter(names, lambda n: values(F.col("p"), n) != values(F.col("m"), n))
     what = F.when(F.size("m") == 0, F.array(F.lit("only_primary"))).when(F.size("p") == 0, F.array(F.lit("only_mirror"))).otherwise(changed)
-    return pairs.select("k.*", F.explode(what).alias("difference"))
+    return pairs.select(*_KEY, F.explode(what).alias("difference"))
