@@ -26,6 +26,18 @@ def classify_pages(pages: DataFrame) -> DataFrame:
     return pages.fillna(0, ["native_text_chars", "image_count"]).withColumn("kind", page_kind())
 
 
+def select_pages(pages: DataFrame, indexes: list[int]) -> DataFrame:
+    """The pages of some indexes of every document."""
+    return pages.where(F.col("page_index").isin(indexes))
+
+
+def routed_pages(pages: DataFrame) -> DataFrame:
+    """pages with kind and the route they are read by (P3): native for text, image for scans and both together, none for blank and unreadable ones."""
+    rows = classify_pages(pages)
+    route = F.when(F.col("kind") == "native_text", "native").when(F.col("kind").isin("scan_image", "hybrid"), "image").otherwise("none")
+    return rows.withColumn("route", route)
+
+
 def repeated_pages(pages: DataFrame) -> DataFrame:
     """Groups of pages of one document with equal content: doc_id, content_fingerprint, pages (A5). Null and empty fingerprints group nothing; rotation and size do not matter (Q11)."""
     known = pages.where(F.col("content_fingerprint") != "")

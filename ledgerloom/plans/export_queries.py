@@ -363,7 +363,6 @@ def pack_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuity issues of the ledger read as a stream, in one trigger over all files."""
-    import tempfile
     import uuid
 
     from pyspark.sql.functions import concat_ws
@@ -372,9 +371,7 @@ def streaming_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.streaming.ledger_stream import validate_stream
 
     share_code(spark)
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get() or tempfile.gettempdir()
-    mark = f"{base}/ledger-stream-{uuid.uuid4().hex}"
+    mark = f"{ensure_checkpoint_dir(spark)}/ledger-stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/ledger_transactions.parquet"
     schema = spark.read.parquet(path).schema
     fs = spark._jvm.org.apache.hadoop.fs.Path(path)
