@@ -165,7 +165,7 @@ def needs_review_counts(pages: DataFrame, reports: DataFrame, run: list[str]) ->
     return stored.join(reported, run, "full_outer").fillna(0, ["by_state", "by_report"])
 
 
-def project_runs(projects: DataFrame, runs: DataFrame, project: str = "project_id") -> DataFrame:
+def project_runs(projects: DataFrame, runs: DataFrame, project: str | list[str] = "project_id") -> DataFrame:
     """Runs with the columns of their project (J14); runs of no project and projects without runs have no row."""
     return runs.join(projects, project)
 

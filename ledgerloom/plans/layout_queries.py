@@ -65,11 +65,11 @@ def printed_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages from the documents: forty neighbours of a source are one, with text length, an image for scanned kinds, and the content's fingerprint."""
+    """Pages from the documents: a thousand neighbours of a source are one, with text length, an image for scanned kinds, and the content's fingerprint."""
     d = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     return d.select(
-        F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.floor(F.col("doc_id") / 40).cast("string")).alias("doc_id"), (F.col("doc_id") % 40).cast("int").alias("page_index"), F.length(F.trim(text)).alias("native_text_chars"),
+        F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.floor(F.col("doc_id") / 1000).cast("string")).alias("doc_id"), (F.col("doc_id") % 1000).cast("int").alias("page_index"), F.length(F.trim(text)).alias("native_text_chars"),
         F.when(F.col("kind").isin("statement_page", "process_log"), 1).otherwise(0).alias("image_count"), F.when(F.col("text").isNull(), "no text layer").alias("error"),
         F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), F.when(F.col("doc_id") % 10 == 0, 90).otherwise(0).cast("int").alias("rotation"), F.sha2(text, 256).alias("content_fingerprint"), "doc_id",
     ).toDF("doc_id", "page_index", "native_text_chars", "image_count", "error", "page_width", "page_height", "rotation", "content_fingerprint", "source_doc")
@@ -298,7 +298,7 @@ sizes AS (SELECT DISTINCT doc_id, page_index, n FROM ranked)"""
 _VALUES = ", ".join(f"({k}, '{n}', {a}, {b}, '{h}')" for k, (n, a, b, h) in enumerate(COLUMNS))
 _COLS = f"cols AS (SELECT * FROM (VALUES {_VALUES}) AS t(k, name, l, r, header))"
 _TEXT_PAGES = """pg AS (
-  SELECT coalesce(source, '') || '/' || (doc_id // 40) AS doc, CAST(doc_id % 40 AS INTEGER) AS page, doc_id AS page_id, length(trim(coalesce(text, ''))) AS chars,
+  SELECT coalesce(source, '') || '/' || (doc_id // 1000) AS doc, CAST(doc_id % 1000 AS INTEGER) AS page, doc_id AS page_id, length(trim(coalesce(text, ''))) AS chars,
          kind IN ('statement_page', 'process_log') AS image, text IS NULL AS broken, doc_id % 10 = 0 AS turned, sha256(coalesce(text, '')) AS print FROM documents),
 kinds AS (SELECT *, CASE WHEN broken THEN 'page_error' WHEN chars > 0 AND image THEN 'hybrid' WHEN chars > 0 THEN 'native_text' WHEN image THEN 'scan_image' ELSE 'blank' END AS kind FROM pg),
 groups AS (SELECT doc, print, list(page ORDER BY page) AS pages FROM pg GROUP BY ALL HAVING count(*) > 1)"""

@@ -88,7 +88,7 @@ def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way every second page of a document is read."""
-    t = pages.select_pages(layout_queries.text_pages(spark, sf_dir), [*range(0, 40, 2)])
+    t = pages.select_pages(layout_queries.text_pages(spark, sf_dir), [*range(0, 1000, 2)])
     return pages.routed_pages(t).select(F.col("source_doc").alias("page_id"), "route")
 
 
