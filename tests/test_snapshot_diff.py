@@ -88,3 +88,17 @@ def test_hot_sample_is_spread(spark):
     rows = spark.range(40_000).select(F.lit("hot").alias("sample_id"), F.array(F.struct(F.lit(0).alias("page_index"), F.col("id").cast("int").alias("row_index"), F.create_map(F.lit("balance"), F.col("id").cast("string")).alias("fields"))).alias("transactions"))
     changed = rows.withColumn("transactions", F.when(F.col("transactions")[0]["row_index"] % 10_000 == 0, F.lit(None)).otherwise(F.col("transactions")))
     assert diff_snapshots(rows, changed).count() == 4
+
+
+def test_hot_key_and_few_differences(spark):
+    """A third of all rows repeat one key; one other row differs, one is only printed differently."""
+    from pyspark.sql import functions as F
+
+    def copy(amount):
+        key = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).cast("int")
+        value = F.when(F.col("id") == 1, F.lit(amount)).when(F.col("id") % 3 == 0, F.lit("7.00")).otherwise(F.concat(F.col("id").cast("string"), F.lit(".50")))
+        row = F.struct(F.lit(0).alias("page_index"), key.alias("row_index"), F.create_map(F.lit("balance"), value, F.lit("note"), F.lit(None).cast("string")).alias("fields"))
+        return spark.range(30_000).select((F.col("id") % 3).cast("string").alias("sample_id"), F.array(row).alias("transactions"))
+
+    assert diff_snapshots(copy("2,000.00"), copy("+2000")).count() == 0
+    assert [tuple(r) for r in diff_snapshots(copy("2,000.00"), copy("2000.01")).collect()] == [("1", 0, 1, "balance")]
