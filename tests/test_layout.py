@@ -176,3 +176,13 @@ def test_many_templates_and_bands(spark, monkeypatch):
         best = many.where("template_id <> 't3'")
         assert [(r["template_id"], r["score"]) for r in layout.match_templates(page(spark), blocks(spark, GRID), best).collect()] == [("t1", 1.0)]
     assert layout.match_templates(page(spark), blocks(spark, GRID), one.limit(0)).count() == 0
+
+
+def test_anchor_without_a_block_is_a_row(spark):
+    """The centre of the first date lies below the top of the second one, so the first row has no block."""
+    close = [("2026-08-01", 2, 97, 18, 105), ("2026-08-02", 2, 100, 18, 108), ("9.00", 25, 100, 40, 108)]
+    strict = template(spark, ANCHOR_COLUMNS, required=("accounting_date",), strategy="anchor_date")
+    found, outcome = layout.parse_anchors(page(spark), blocks(spark, close), strict)
+    assert found.count() == 0 and outcome.first()["reason"] == "anchor row 0 lacks required fields: accounting_date"
+    found, outcome = layout.parse_anchors(page(spark), blocks(spark, close), template(spark, ANCHOR_COLUMNS, strategy="anchor_date"))
+    assert [r["row_index"] for r in found.collect()] == [1] and outcome.first()["candidates"] == 2
