@@ -134,18 +134,36 @@ TASK_STEPS = {
 }
 
 
+#: Events of a task that are folded as one; a task with more is folded chunk by chunk.
+LOG_CHUNK = 1_000
+
+
 def task_states(events: DataFrame, task: str = "task_id", order: str = "ord") -> DataFrame:
-    """State and attempt of each task after its events (M15, W9); a restart begins a new attempt."""
-    log = F.array_sort(F.collect_list(F.struct(order, "action")))
+    """State and attempt of each task after its events (M15, W9); a restart begins a new attempt.
+
+    A chunk of a task's events is folded to what it makes of every state, and these few states of each chunk
+    are folded in turn, so no row holds the whole log of a task.
+    """
     steps = F.create_map(*[F.lit(x) for (s, a), t in TASK_STEPS.items() for x in (f"{s}:{a}", t)])
-    start = F.struct(F.lit("queued").alias("state"), F.lit(1).alias("attempt"))
+    names = list(dict.fromkeys(s for pair in TASK_STEPS.items() for s in (pair[0][0], pair[1])))
+    states = F.array(*[F.lit(s) for s in names])
+    at = lambda state, restarts: F.struct(state.alias("state"), restarts.alias("restarts"))
 
     def step(s: Column, e: Column) -> Column:
         to = F.try_element_at(steps, F.concat_ws(":", s["state"], e["action"]))
         again = to.isNotNull() & (e["action"] == "restart")
-        return F.struct(F.coalesce(to, s["state"]).alias("state"), (s["attempt"] + F.when(again, 1).otherwise(0)).alias("attempt"))
-
-    return events.groupBy(task).agg(F.aggregate(log, start, step).alias("s")).select(task, "s.state", "s.attempt")
+        return at(F.coalesce(to, s["state"]), s["restarts"] + F.when(again, 1).otherwise(0))
+
+    def follow(s: Column, chunk: Column) -> Column:
+        end = F.get(chunk["ends"], (F.array_position(states, s["state"]) - 1).cast("int"))
+        return at(end["state"], s["restarts"] + end["restarts"])
+
+    place = F.row_number().over(Window.partitionBy(task).orderBy(order))
+    rows = events.select(task, order, "action", F.floor((place - 1) / LOG_CHUNK).alias("_chunk"))
+    chunks = rows.groupBy(task, "_chunk").agg(F.array_sort(F.collect_list(F.struct(order, "action"))).alias("log"))
+    ends = chunks.select(task, F.struct("_chunk", F.transform(states, lambda s: F.aggregate("log", at(s, F.lit(0)), step)).alias("ends")).alias("c"))
+    done = ends.groupBy(task).agg(F.aggregate(F.array_sort(F.collect_list("c")), at(F.lit("queued"), F.lit(0)), follow).alias("s"))
+    return done.select(task, "s.state", (F.col("s.restarts") + 1).alias("attempt"))
 
 
 def queue_order(tasks: DataFrame, queue: str = "queue") -> DataFrame:

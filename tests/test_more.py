@@ -104,3 +104,23 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "pack/a.json").write_text("{} ")
     (tmp_path / "pack/b.json").write_text("{}")
     assert {r["name"]: r["verdict"] for r in assets.verify_pack(spark, str(tmp_path / "pack"), str(tmp_path / "manifest")).collect()} == {"a.json": "changed", "b.json": "unlisted"}
+
+
+def test_task_logs_are_folded_in_chunks(spark, monkeypatch):
+    import random
+
+    from ledgerloom.operators import runs
+
+    rng = random.Random(3)
+    actions = sorted({a for _, a in runs.TASK_STEPS})
+    log = [(t, k, rng.choice(actions)) for t in range(12) for k in range(rng.randint(1, 60))]
+    expected = {}
+    for t, _, a in log:
+        state, attempt = expected.get(t, ("queued", 1))
+        to = runs.TASK_STEPS.get((state, a))
+        expected[t] = (to or state, attempt + (to is not None and a == "restart"))
+    events = spark.createDataFrame(log, "task_id int, ord int, action string")
+    for chunk in (1, 7, 1000):
+        monkeypatch.setattr(runs, "LOG_CHUNK", chunk)
+        assert {r["task_id"]: (r["state"], r["attempt"]) for r in runs.task_states(events).collect()} == expected
+    assert runs.task_states(events.limit(0)).count() == 0
