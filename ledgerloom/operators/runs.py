@@ -48,6 +48,19 @@ def requeue_review(pages: DataFrame) -> DataFrame:
     return pages.withColumn("error", F.when(waiting, F.lit(None).cast("string")).otherwise(F.col("error"))).withColumn("status", F.when(waiting, "pending").otherwise(F.col("status")))
 
 
+def confirm_templates(temporary: DataFrame, pages: DataFrame, run: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(confirmed, faults, pages) of confirming the temporary templates of some runs.
+
+    A template with faults is not confirmed. The waiting pages of a run with a confirmed one are queued again.
+    """
+    from ledgerloom.sources.assets import template_faults
+
+    faults = template_faults(temporary)
+    confirmed = temporary.join(faults.select("template_id"), "template_id", "left_anti")
+    runs = confirmed.select(*run).distinct()
+    return confirmed, faults, requeue_review(pages.join(runs, run, "left_semi")).unionByName(pages.join(runs, run, "left_anti"))
+
+
 def page_state(kind: Column, parser_status: Column, report_status: Column) -> Column:
     """State of a processed page."""
     review = parser_status.isin("failed", "page_review") | F.coalesce(report_status.isin("review", "page_review"), F.lit(False))

@@ -42,3 +42,13 @@ def test_known_layouts(spark):
     known = assets.known_templates(spark)
     assert [r["template_id"] for r in known.orderBy("template_ord").collect()] == ["bohai_detail_v1", "online_statement_v1"]
     assert assets.template_faults(known).count() == 0 and all(len(r["columns"]) == len(r["header_tokens"]) == 8 for r in known.collect())
+
+
+def test_confirmed_templates_requeue_their_runs(spark):
+    column = "array<struct<name:string,left_ratio:double,right_ratio:double>>"
+    temporary = spark.createDataFrame([("r1", "good", [("a", 0.0, 0.5), ("b", 0.5, 1.0)]), ("r2", "lap", [("a", 0.0, 0.6), ("b", 0.5, 1.0)]), ("r3", "none", [])], f"run string, template_id string, columns {column}")
+    pages = spark.createDataFrame([(r, k, s, "why") for r in ("r1", "r2", "r3") for k, s in enumerate(("needs_review", "completed"))], "run string, page_index int, status string, error string")
+    confirmed, faults, after = runs.confirm_templates(temporary, pages, ["run"])
+    assert [r["template_id"] for r in confirmed.collect()] == ["good"] and {r["template_id"]: r["fault"] for r in faults.collect()} == {"lap": "overlap", "none": "no_columns"}
+    state = {(r["run"], r["page_index"]): (r["status"], r["error"]) for r in after.collect()}
+    assert state["r1", 0] == ("pending", None) and state["r1", 1] == ("completed", "why") and state["r2", 0] == state["r3", 0] == ("needs_review", "why")
