@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import parse_amount_text
-from ledgerloom.functions.text import casefold, nfc
+from ledgerloom.functions.text import NON_ASCII, casefold, let, nfc
 from ledgerloom.operators.skew import salted_lookup
 from ledgerloom.session import written
 
@@ -21,7 +21,7 @@ DROPPED = r"[\p{P}\p{Z}\s$+<=>^`|~]"
 
 def plain_text(text: Column) -> Column:
     """Text without letter case, spacing and punctuation; nothing else is equated, so x² stays apart from x2."""
-    return F.regexp_replace(nfc(casefold(nfc(text))), DROPPED, "")
+    return let(text, lambda t: F.regexp_replace(F.when(t.rlike(NON_ASCII), nfc(casefold(nfc(t)))).otherwise(F.lower(t)), DROPPED, ""))
 
 
 def canonical_record(fields: Column) -> Column:
@@ -33,7 +33,7 @@ def canonical_record(fields: Column) -> Column:
         shown = F.coalesce(F.concat(F.lit("+"), value), F.lit("-"))
         return F.concat(F.length(e["key"]).cast("string"), F.lit(":"), e["key"], F.lit(":"), F.length(shown).cast("string"), F.lit(":"), shown)
 
-    return F.coalesce(F.array_join(F.array_sort(F.transform(F.map_entries(fields), one)), ""), F.lit(""))
+    return F.coalesce(F.array_join(F.sort_array(F.transform(F.map_entries(fields), one)), ""), F.lit(""))
 
 
 def record_keys(records: DataFrame, key: str, fields: str) -> DataFrame:
